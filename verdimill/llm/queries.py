@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
+from .bpe import tokenize_documents
 from .common import table
 from .mixing import MIX_SQL, mix_documents
+from .quality import quality_rules
 from .sharding import shard_documents
+from .simhash import near_duplicates
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def op1_simhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_byte_bpe(spark, sf_dir):
+    return tokenize_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
 def op6_ring_sharding(spark, sf_dir):
@@ -15,5 +30,9 @@ def op7_source_mixing(spark, sf_dir):
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_ring_sharding, op7_source_mixing)}
+def op9_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_byte_bpe, op6_ring_sharding, op7_source_mixing, op9_quality_rules)}
 ORACLE = {"op7_source_mixing": MIX_SQL}

@@ -6,10 +6,13 @@ import public_tokenizers
 
 from .bpe import tokenize_documents
 from .common import table
+from .html_extract import extract_pages
 from .mixing import MIX_SQL, mix_documents
 from .quality import quality_rules
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .topk import TOPK_SQL, top_k
+from .toxicity import toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -22,6 +25,18 @@ def op2_byte_bpe(spark, sf_dir):
     return tokenize_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op3_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_html_extraction(spark, sf_dir):
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op5_exact_topk(spark, sf_dir):
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_ring_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -34,5 +49,5 @@ def op9_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_byte_bpe, op6_ring_sharding, op7_source_mixing, op9_quality_rules)}
-ORACLE = {"op7_source_mixing": MIX_SQL}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_byte_bpe, op3_toxicity, op4_html_extraction, op5_exact_topk, op6_ring_sharding, op7_source_mixing, op9_quality_rules)}
+ORACLE = {"op5_exact_topk": TOPK_SQL, "op7_source_mixing": MIX_SQL}

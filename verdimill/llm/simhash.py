@@ -131,6 +131,8 @@ def _bucket_links(keys: DataFrame, radius: int) -> DataFrame:
 
 def near_links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Links a, b that connect all nodes (node, fp; fp distinct) whose fingerprints differ in ``radius`` bits or fewer."""
+    if bucket < 256:
+        raise ValueError("three splits leave up to 8 free bits, so a bucket must take 256 fingerprints")
     full = (1 << 64) - 1
     masks = covering_masks(full, radius)  # fixed bits of table t
     rows = nodes.select("node", "fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks))).alias("t", "key"))

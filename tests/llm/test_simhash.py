@@ -60,8 +60,8 @@ def test_buckets_beyond_the_limit_are_split_not_cut(spark):
     rng = random.Random(1)
     centre = rng.getrandbits(64)
     fps = {centre}
-    while len(fps) < 500:
-        x = rng.choice(sorted(fps)) if rng.random() < 0.5 else centre
+    while len(fps) < 1500:
+        x = rng.choice(tuple(fps)) if rng.random() < 0.5 else centre
         for _ in range(rng.randint(1, 3)):
             x ^= 1 << rng.randrange(20)
         fps.add(x)
@@ -70,7 +70,7 @@ def test_buckets_beyond_the_limit_are_split_not_cut(spark):
     near = np.argwhere(np.bitwise_count(arr[:, None] ^ arr[None, :]) <= 3)
     want = slow_components(near.tolist(), len(arr))
     nodes = spark.createDataFrame([(i, int(x) - (1 << 64) if int(x) >> 63 else int(x)) for i, x in enumerate(arr)], "node long, fp long")
-    got = {r.node: r.component for r in connected_components(near_links(nodes, bucket=16)).collect()}
+    got = {r.node: r.component for r in connected_components(near_links(nodes, bucket=256)).collect()}
     assert [got.get(i, i) for i in range(len(arr))] == want
 
 

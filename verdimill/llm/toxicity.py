@@ -28,7 +28,11 @@ from .common import text_bytes
 #: Labelled rows of each class that training takes at most (the sample's documented bound).
 SAMPLE_TOXIC, SAMPLE_CLEAN = 700, 1400
 BUCKETS, DIM, GRAMS = 1 << 18, 6, (3, 4, 5, 6)
-PASSAGE, STEPS, RATE, DECAY, MIN_TEXTS = 40, 60, 0.5, 1e-6, 4
+PASSAGE, STEPS, RATE = 40, 40, 0.05
+#: Least association of a bucket with the label, as the signed root of a likelihood ratio.
+MIN_STRENGTH = 4.0
+#: Texts shorter than this are averaged as if neutral words filled them up.
+LEAST = 8
 THRESHOLD = 0.3
 CACHE = 300_000
 _EDGE = b".,;:!?\"'()[]{}*#$%&"
@@ -62,18 +66,40 @@ def _passages(n: int) -> np.ndarray:
     return np.unique(np.r_[np.arange(0, n - PASSAGE, PASSAGE // 2), n - PASSAGE])
 
 
-def log_odds(values: np.ndarray) -> float:
-    """The highest mean of a passage."""
+def first_uses(ids: np.ndarray) -> np.ndarray:
+    """False where the same word stands less than a passage before: repeating a word adds nothing."""
+    order = np.argsort(ids, kind="stable")
+    s = ids[order]
+    out = np.ones(len(ids), bool)
+    out[order[1:][(s[1:] == s[:-1]) & (order[1:] - order[:-1] < PASSAGE)]] = False
+    return out
+
+
+def log_odds(values: np.ndarray, ids: np.ndarray) -> float:
+    """The highest mean of a passage, from the values and numbers of a text's words."""
     n = len(values)
     if not n:
         return 0.0
+    values = values * first_uses(ids)
     if n <= PASSAGE:
-        return float(values.mean())
+        return float(values.sum() / max(n, LEAST))
     total = np.r_[0.0, np.cumsum(values)]
     at = _passages(n)
     return float((total[at + PASSAGE] - total[at]).max() / PASSAGE)
 
 
+def _association(t: np.ndarray, c: np.ndarray, n_t: float, n_c: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds and strength (root of twice the log likelihood ratio) of buckets found in t toxic and c clean texts."""
+    odds = np.log((t + 0.5) / (n_t + 1)) - np.log((c + 0.5) / (n_c + 1))
+    n, got = n_t + n_c, t + c
+    ratio = np.zeros(len(t))
+    for seen, all_of in ((t, n_t), (c, n_c)):
+        for part, whole in ((seen, got), (all_of - seen, n - got)):
+            expected = np.maximum(whole * all_of / n, 1e-12)
+            ratio += np.where(part > 0, part * np.log(np.maximum(part, 1e-12) / expected), 0.0)
+    return odds, np.sqrt(np.maximum(2 * ratio, 0))
+
+
 def train(texts: list[bytes] | Iterator[bytes], labels: list[int], steps: int = STEPS, seed: int = 7) -> Model | None:
     """Fit vectors and softmax; None unless both classes occur."""
     number: dict[bytes, int] = {}
@@ -90,15 +116,17 @@ def train(texts: list[bytes] | Iterator[bytes], labels: list[int], steps: int =
     owner = np.repeat(np.arange(len(bags)), sizes)
     first = np.r_[0, np.cumsum(sizes)[:-1]]
     del bags, number
-    # Buckets of fewer than MIN_TEXTS texts keep the vector 0: they say nothing about other texts.
-    texts_with = np.zeros(len(flat), np.int32)
-    for d in docs:
+    # Buckets whose texts tell nothing about the label keep the vector 0, so that chance is not learned.
+    with_t, with_c = np.zeros(len(flat)), np.zeros(len(flat))
+    for d, label in zip(docs, y, strict=True):
         seen = np.zeros(len(sizes), bool)
         seen[d] = True
-        texts_with += np.bincount(inverse[seen[owner]], minlength=len(flat)) > 0
-    common = (texts_with >= MIN_TEXTS).astype(np.float32)[:, None]
+        (with_t if label > 0 else with_c)[np.unique(inverse[seen[owner]])] += 1
+    odds, strength = _association(with_t, with_c, float(y.sum()), float(len(y) - y.sum()))
+    telling = (strength >= MIN_STRENGTH).astype(np.float32)[:, None]
     # All passages of all texts, as ranges of one long array of words.
     words = np.concatenate([d for d in docs if len(d)] or [np.zeros(1, np.int32)])
+    fresh = np.concatenate([first_uses(d) for d in docs if len(d)] or [np.ones(1, bool)])[:, None]
     begin, end, doc, at = [], [], [], 0
     for k, d in enumerate(docs):
         p = _passages(len(d))
@@ -107,11 +135,14 @@ def train(texts: list[bytes] | Iterator[bytes], labels: list[int], steps: int =
         doc.append(np.full(len(p), k))
         at += len(d)
     begin, end, doc = map(np.concatenate, (begin, end, doc))
-    size = np.maximum(end - begin, 1).astype(np.float32)
+    size = np.maximum(end - begin, LEAST).astype(np.float32)
     docs_at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     rng = np.random.default_rng(seed)
-    vec = rng.normal(0, 0.1, (len(flat), DIM)).astype(np.float32) * common
+    vec = rng.normal(0, 0.1, (len(flat), DIM)).astype(np.float32)
+    vec[:, 0] = odds  # the first coordinate starts from the counts
+    vec *= telling
     out = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
+    out[0] = -0.5, 0.5
     bias = np.zeros(2, np.float32)
     params, m1, m2 = [vec, out, bias], [0.0] * 3, [0.0] * 3
     class_w = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
@@ -123,7 +154,7 @@ def train(texts: list[bytes] | Iterator[bytes], labels: list[int], steps: int =
     for step in range(1, steps + 1):
         wv = per_word()
         total = np.zeros((len(words) + 1, DIM), np.float64)
-        np.cumsum(wv[words], axis=0, out=total[1:])
+        np.cumsum(wv[words] * fresh, axis=0, out=total[1:])
         mean = ((total[end] - total[begin]) / size[:, None]).astype(np.float32)
         z = mean @ out + bias
         d = z[:, 1] - z[:, 0]
@@ -144,24 +175,23 @@ def train(texts: list[bytes] | Iterator[bytes], labels: list[int], steps: int =
         edge = np.zeros((len(words) + 1, DIM), np.float64)
         np.add.at(edge, begin[used], gm)
         np.add.at(edge, end[used], -gm)
-        on_word = np.cumsum(edge[:-1], axis=0)
+        on_word = np.cumsum(edge[:-1], axis=0) * fresh
         g_vec = np.empty_like(vec)
         for j in range(DIM):
             gw = np.bincount(words, on_word[:, j], minlength=len(sizes)) / sizes
             g_vec[:, j] = np.bincount(inverse, gw[owner], minlength=len(flat))
         for k, (x, gx) in enumerate(zip(params, (g_vec, g_out, g_bias), strict=True)):
             if k == 0:
-                gx = (gx + DECAY * x) * common
-            # One step size for each layer, not for each number: what is rare moves little.
+                gx = gx * telling
             m1[k] = 0.9 * m1[k] + 0.1 * gx
-            m2[k] = 0.9 * m2[k] + 0.1 * float(np.abs(gx).max()) ** 2
-            x -= (RATE * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.9**step)) + 1e-12)).astype(np.float32)
+            m2[k] = 0.99 * m2[k] + 0.01 * gx * gx
+            x -= (RATE * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
     share = np.zeros(BUCKETS, np.float32)
     share[flat] = vec @ (out[:, 1] - out[:, 0])
     model = Model(share, float(bias[1] - bias[0]))
     # Calibration on the same texts: the cut with the best F1 gets the score THRESHOLD.
     value = per_word() @ (out[:, 1] - out[:, 0])
-    odds = np.array([log_odds(value[d]) for d in docs])
+    odds = np.array([log_odds(value[d], d) for d in docs])
     order = np.argsort(-odds, kind="stable")
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
@@ -212,13 +242,15 @@ def score_documents(documents: DataFrame, model: Model | None) -> DataFrame:
         for texts in batches:
             found = []
             for t in texts:
-                w = t.split()
                 if len(known) > CACHE:
                     known.clear()
-                for x in w:
+                number: dict[bytes, int] = {}
+                ids = np.fromiter((number.setdefault(x, len(number)) for x in t.split()), np.int32)
+                for x in number:
                     if x not in known:
                         known[x] = m.word(x)
-                found.append(_score(log_odds(np.fromiter(map(known.__getitem__, w), np.float64, len(w))), m))
+                value = np.fromiter(map(known.__getitem__, number), np.float64, len(number))
+                found.append(_score(log_odds(value[ids], ids), m))
             yield pd.Series(found, dtype="float64")
 
     out = documents.withColumn("score", score(text_bytes()))

@@ -13,6 +13,7 @@ from .sharding import shard_documents
 from .simhash import near_duplicates
 from .topk import TOPK_SQL, top_k
 from .toxicity import toxicity
+from .warc import archive_round_trip
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -45,9 +46,13 @@ def op7_source_mixing(spark, sf_dir):
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark, sf_dir):
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_byte_bpe, op3_toxicity, op4_html_extraction, op5_exact_topk, op6_ring_sharding, op7_source_mixing, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_byte_bpe, op3_toxicity, op4_html_extraction, op5_exact_topk, op6_ring_sharding, op7_source_mixing, op8_warc, op9_quality_rules)}
 ORACLE = {"op5_exact_topk": TOPK_SQL, "op7_source_mixing": MIX_SQL}

@@ -11,6 +11,7 @@ from .mixing import MIX_SQL, mix_documents
 from .quality import quality_rules
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .substring import near_passages
 from .topk import TOPK_SQL, top_k
 from .toxicity import toxicity
 from .warc import archive_round_trip
@@ -54,5 +55,9 @@ def op9_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_byte_bpe, op3_toxicity, op4_html_extraction, op5_exact_topk, op6_ring_sharding, op7_source_mixing, op8_warc, op9_quality_rules)}
+def op10_substring_dedup(spark, sf_dir):
+    return near_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_byte_bpe, op3_toxicity, op4_html_extraction, op5_exact_topk, op6_ring_sharding, op7_source_mixing, op8_warc, op9_quality_rules, op10_substring_dedup)}
 ORACLE = {"op5_exact_topk": TOPK_SQL, "op7_source_mixing": MIX_SQL}

@@ -1,9 +1,9 @@
 """Toxicity scores from subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams (with marks for its two ends) and
-itself, hashed into buckets; every bucket has a vector.  A word's vector is
-the mean of its buckets' vectors, a passage's the mean of its words', and a
-softmax layer over two classes reads it.  Vectors and layer are trained
+itself; every n-gram has a vector, which is 0 for those that say nothing about
+the label.  A word's vector is the mean of its bag's vectors, a passage's the
+mean of its words', and a softmax layer over two classes reads it.  Vectors and layer are trained
 together.  A text is as toxic as its most toxic passage, so one insult in a long
 text is not averaged away; in training the label of a text acts on
 that passage.  Misspellings never seen share n-grams with words that were.
@@ -14,7 +14,8 @@ its share of the log-odds; scoring adds these up.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,36 +28,37 @@ from .common import text_bytes
 
 #: Labelled rows of each class that training takes at most (the sample's documented bound).
 SAMPLE_TOXIC, SAMPLE_CLEAN = 700, 1400
-BUCKETS, DIM, GRAMS = 1 << 18, 6, (3, 4, 5, 6)
+DIM, GRAMS = 6, (3, 4, 5, 6)
 PASSAGE, STEPS, RATE = 40, 40, 0.05
-#: Least association of a bucket with the label, as the signed root of a likelihood ratio.
+#: Least association of an n-gram with the label, as the signed root of a likelihood ratio.
 MIN_STRENGTH = 4.0
 #: Texts shorter than this are averaged as if neutral words filled them up.
 LEAST = 8
 THRESHOLD = 0.3
-CACHE = 300_000
+CACHE = 600_000
 _EDGE = b".,;:!?\"'()[]{}*#$%&"
 
 
-def subwords(word: bytes) -> list[int]:
-    """Buckets of a word: itself and its character n-grams, with ends marked."""
-    w = word.strip(_EDGE).decode("utf-8", "replace").lower()
-    marked = f"<{w}>"
-    grams = {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)} | {marked}
-    return sorted({zlib.crc32(g.encode("utf-8", "replace")) & (BUCKETS - 1) for g in grams})
+def subwords(word: bytes) -> list[str]:
+    """A word's bag: itself and its character n-grams, with ends marked."""
+    marked = f"<{word.strip(_EDGE).decode('utf-8', 'replace').lower()}>"
+    n = len(marked)
+    return [marked, *(marked[i : i + k] for k in GRAMS for i in range(n - k + 1))]
 
 
 @dataclass
 class Model:
-    """share: log-odds of each bucket; bias: of every passage; scale and shift: calibration of a text's log-odds."""
+    """share: log-odds of each telling n-gram; bias: of every passage; scale and shift: calibration of a text's log-odds."""
 
-    share: np.ndarray
+    share: dict[str, float]
     bias: float
     scale: float = 1.0
     shift: float = 0.0
 
     def word(self, w: bytes) -> float:
-        return float(self.share[subwords(w)].mean())
+        bag = subwords(w)
+        known = self.share.keys() & bag
+        return sum(self.share[g] * bag.count(g) for g in known) / len(bag) if known else 0.0
 
 
 def _passages(n: int) -> np.ndarray:
@@ -66,26 +68,30 @@ def _passages(n: int) -> np.ndarray:
     return np.unique(np.r_[np.arange(0, n - PASSAGE, PASSAGE // 2), n - PASSAGE])
 
 
-def first_uses(ids: np.ndarray) -> np.ndarray:
-    """False where the same word stands less than a passage before: repeating a word adds nothing."""
+def first_uses(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """False where the same word stands less than a passage before (at: positions): repeating a word adds nothing."""
     order = np.argsort(ids, kind="stable")
-    s = ids[order]
+    s, p = ids[order], at[order]
     out = np.ones(len(ids), bool)
-    out[order[1:][(s[1:] == s[:-1]) & (order[1:] - order[:-1] < PASSAGE)]] = False
+    out[order[1:][(s[1:] == s[:-1]) & (p[1:] - p[:-1] < PASSAGE)]] = False
     return out
 
 
-def log_odds(values: np.ndarray, ids: np.ndarray) -> float:
-    """The highest mean of a passage, from the values and numbers of a text's words."""
-    n = len(values)
-    if not n:
+def log_odds(words: list, value: dict) -> float:
+    """The highest mean of a passage of a text, given the values of its words."""
+    n = len(words)
+    values = np.fromiter(map(value.__getitem__, words), np.float64, n)
+    at = np.flatnonzero(values)
+    if not len(at):
         return 0.0
-    values = values * first_uses(ids)
+    number: dict = {}
+    ids = np.fromiter((number.setdefault(words[i], len(number)) for i in at.tolist()), np.int64, len(at))
+    values[at[~first_uses(ids, at)]] = 0.0
     if n <= PASSAGE:
         return float(values.sum() / max(n, LEAST))
     total = np.r_[0.0, np.cumsum(values)]
-    at = _passages(n)
-    return float((total[at + PASSAGE] - total[at]).max() / PASSAGE)
+    p = _passages(n)
+    return float((total[p + PASSAGE] - total[p]).max() / PASSAGE)
 
 
 def _association(t: np.ndarray, c: np.ndarray, n_t: float, n_c: float) -> tuple[np.ndarray, np.ndarray]:
@@ -100,98 +106,106 @@ def _association(t: np.ndarray, c: np.ndarray, n_t: float, n_c: float) -> tuple[
     return odds, np.sqrt(np.maximum(2 * ratio, 0))
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [start, start + size), one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes - starts, sizes)
+
+
 def train(texts: list[bytes] | Iterator[bytes], labels: list[int], steps: int = STEPS, seed: int = 7) -> Model | None:
     """Fit vectors and softmax; None unless both classes occur."""
     number: dict[bytes, int] = {}
     docs = []
     for t in texts:
         w = t.split()
-        docs.append(np.fromiter((number.setdefault(x, len(number)) for x in w), np.int32, len(w)))
+        docs.append(np.fromiter((number.setdefault(x, len(number)) for x in w), np.int64, len(w)))
     y = np.asarray(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return None
-    bags = [subwords(w) for w in number] or [[0]]
-    flat, inverse = np.unique(np.concatenate([np.asarray(b, np.int64) for b in bags]), return_inverse=True)
-    sizes = np.array([len(b) for b in bags])
-    owner = np.repeat(np.arange(len(bags)), sizes)
-    first = np.r_[0, np.cumsum(sizes)[:-1]]
-    del bags, number
-    # Buckets whose texts tell nothing about the label keep the vector 0, so that chance is not learned.
-    with_t, with_c = np.zeros(len(flat)), np.zeros(len(flat))
+    grams: dict[str, int] = {}
+    bags = [[grams.setdefault(g, len(grams)) for g in subwords(w)] for w in number]
+    sizes = np.array([len(b) for b in bags], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    flat = np.fromiter((g for b in bags for g in b), np.int64, int(sizes.sum()))
+    del bags
+    # n-grams whose texts tell nothing about the label keep the vector 0, so that chance is not learned.
+    with_t, with_c = np.zeros(len(grams)), np.zeros(len(grams))
     for d, label in zip(docs, y, strict=True):
-        seen = np.zeros(len(sizes), bool)
-        seen[d] = True
-        (with_t if label > 0 else with_c)[np.unique(inverse[seen[owner]])] += 1
+        u = np.unique(d)
+        (with_t if label > 0 else with_c)[np.unique(flat[_ranges(starts[u], sizes[u])])] += 1
     odds, strength = _association(with_t, with_c, float(y.sum()), float(len(y) - y.sum()))
-    telling = (strength >= MIN_STRENGTH).astype(np.float32)[:, None]
-    # All passages of all texts, as ranges of one long array of words.
-    words = np.concatenate([d for d in docs if len(d)] or [np.zeros(1, np.int32)])
-    fresh = np.concatenate([first_uses(d) for d in docs if len(d)] or [np.ones(1, bool)])[:, None]
-    begin, end, doc, at = [], [], [], 0
+    telling = np.flatnonzero(strength >= MIN_STRENGTH)
+    names = list(grams)
+    names = [names[k] for k in telling]
+    slot = np.full(len(grams), -1, np.int64)
+    slot[telling] = np.arange(len(telling))
+    # Only words with a telling n-gram count from here on: pairs (word, n-gram) and the places of these words.
+    gram, owner = slot[flat], np.repeat(np.arange(len(sizes)), sizes)
+    gram, owner = gram[gram >= 0], owner[gram >= 0]
+    live = np.zeros(len(sizes), bool)
+    live[owner] = True
+    short = np.cumsum(live) - 1
+    owner, bag = short[owner], np.maximum(sizes[live], 1).astype(np.float64)
+    n_live = int(live.sum())
+    words, places, begin, end, doc, at = [], [], [], [], [], 0
     for k, d in enumerate(docs):
+        here = np.flatnonzero(live[d])
+        here = here[first_uses(d[here], here)] if len(here) else here
+        words.append(short[d[here]])
+        places.append(at + here)
         p = _passages(len(d))
         begin.append(at + p)
         end.append(at + np.minimum(p + PASSAGE, len(d)))
         doc.append(np.full(len(p), k))
         at += len(d)
-    begin, end, doc = map(np.concatenate, (begin, end, doc))
-    size = np.maximum(end - begin, LEAST).astype(np.float32)
+    words, places, begin, end, doc = map(np.concatenate, (words, places, begin, end, doc))
+    size = np.maximum(end - begin, LEAST).astype(np.float64)
+    begin, end = np.searchsorted(places, begin), np.searchsorted(places, end)
     docs_at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    of_doc = np.bincount(doc, minlength=len(docs))
     rng = np.random.default_rng(seed)
-    vec = rng.normal(0, 0.1, (len(flat), DIM)).astype(np.float32)
-    vec[:, 0] = odds  # the first coordinate starts from the counts
-    vec *= telling
-    out = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
+    vec = rng.normal(0, 0.1, (len(telling), DIM))
+    vec[:, 0] = odds[telling]  # the first coordinate starts from the counts
+    out = rng.normal(0, 0.1, (DIM, 2))
     out[0] = -0.5, 0.5
-    bias = np.zeros(2, np.float32)
+    bias = np.zeros(2)
     params, m1, m2 = [vec, out, bias], [0.0] * 3, [0.0] * 3
-    class_w = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
-    rows = np.arange(len(docs_at))
+    class_w = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
 
-    def per_word() -> np.ndarray:
-        return np.add.reduceat(vec[inverse], first, axis=0) / sizes[:, None]
+    def spread(values: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+        return np.stack([np.bincount(to, values[:, j], minlength=n) for j in range(DIM)], axis=1) if n else np.zeros((0, DIM))
 
     for step in range(1, steps + 1):
-        wv = per_word()
-        total = np.zeros((len(words) + 1, DIM), np.float64)
-        np.cumsum(wv[words] * fresh, axis=0, out=total[1:])
-        mean = ((total[end] - total[begin]) / size[:, None]).astype(np.float32)
+        wv = spread(vec[gram], owner, n_live) / bag[:, None]
+        total = np.zeros((len(words) + 1, DIM))
+        np.cumsum(wv[words], axis=0, out=total[1:])
+        mean = (total[end] - total[begin]) / size[:, None]
         z = mean @ out + bias
         d = z[:, 1] - z[:, 0]
+        p = 1 / (1 + np.exp(-np.clip(d, -30, 30)))
         if step <= steps // 4:  # first, all passages of a text carry its label
-            target, weight = y[doc], class_w[doc] / np.bincount(doc, minlength=len(docs))[doc]
-            p = 1 / (1 + np.exp(-np.clip(d, -30, 30)))
-            g = (p - target) * weight / len(docs)
-            used = slice(None)
+            g = (p - y[doc]) * class_w[doc] / of_doc[doc] / len(docs)
         else:  # then its most toxic one
             best = np.maximum.reduceat(d, docs_at)
-            hit = np.flatnonzero(d >= best[np.cumsum(np.r_[False, doc[1:] != doc[:-1]])])
-            used = hit[np.r_[True, doc[hit][1:] != doc[hit][:-1]]]
-            p = 1 / (1 + np.exp(-np.clip(d[used], -30, 30)))
-            g = (p - y[doc[used]]) * class_w[doc[used]] / len(rows)
-        gz = np.stack([-g, g], axis=1).astype(np.float32)
-        g_out, g_bias = mean[used].T @ gz + 1e-5 * out, gz.sum(0)
-        gm = (gz @ out.T) / size[used][:, None]
-        edge = np.zeros((len(words) + 1, DIM), np.float64)
-        np.add.at(edge, begin[used], gm)
-        np.add.at(edge, end[used], -gm)
-        on_word = np.cumsum(edge[:-1], axis=0) * fresh
-        g_vec = np.empty_like(vec)
-        for j in range(DIM):
-            gw = np.bincount(words, on_word[:, j], minlength=len(sizes)) / sizes
-            g_vec[:, j] = np.bincount(inverse, gw[owner], minlength=len(flat))
-        for k, (x, gx) in enumerate(zip(params, (g_vec, g_out, g_bias), strict=True)):
-            if k == 0:
-                gx = gx * telling
+            hit = np.flatnonzero(d >= best[doc])
+            hit = hit[np.r_[True, doc[hit][1:] != doc[hit][:-1]]]
+            g = np.zeros(len(d))
+            g[hit] = (p[hit] - y[doc[hit]]) * class_w[doc[hit]] / len(docs)
+        gz = np.stack([-g, g], axis=1)
+        gm = (gz @ out.T) / size[:, None]
+        edge = spread(gm, begin, len(words) + 1) - spread(gm, end, len(words) + 1)
+        g_word = spread(np.cumsum(edge[:-1], axis=0), words, n_live) / bag[:, None]
+        for k, gx in enumerate((spread(g_word[owner], gram, len(telling)), mean.T @ gz + 1e-5 * out, gz.sum(0))):
             m1[k] = 0.9 * m1[k] + 0.1 * gx
             m2[k] = 0.99 * m2[k] + 0.01 * gx * gx
-            x -= (RATE * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    share = np.zeros(BUCKETS, np.float32)
-    share[flat] = vec @ (out[:, 1] - out[:, 0])
-    model = Model(share, float(bias[1] - bias[0]))
+            params[k] -= RATE * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)
+    share = vec @ (out[:, 1] - out[:, 0])
+    model = Model(dict(zip(names, share.tolist(), strict=True)), float(bias[1] - bias[0]))
     # Calibration on the same texts: the cut with the best F1 gets the score THRESHOLD.
-    value = per_word() @ (out[:, 1] - out[:, 0])
-    odds = np.array([log_odds(value[d], d) for d in docs])
+    by_word = np.zeros(len(sizes))
+    by_word[live] = np.bincount(owner, share[gram], minlength=n_live) / bag
+    value = dict(enumerate(by_word.tolist()))
+    odds = np.array([log_odds(d.tolist(), value) for d in docs])
     order = np.argsort(-odds, kind="stable")
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
@@ -226,6 +240,10 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
     return train([bytes(r.text) for r in rows], [int(r.toxic == 1) for r in rows])
 
 
+#: The model of this process and the values of words seen.
+_LOADED: dict[str, tuple[Model, dict[bytes, float]]] = {}
+
+
 def score_documents(documents: DataFrame, model: Model | None) -> DataFrame:
     """``documents`` with columns score and predicted; without a model every score is 0.
 
@@ -234,23 +252,25 @@ def score_documents(documents: DataFrame, model: Model | None) -> DataFrame:
     documents = documents.drop("score", "predicted")
     if model is None:
         return documents.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
-    sent = documents.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers, whatever the input
+    data = pickle.dumps(model)
+    sent = documents.sparkSession.sparkContext.broadcast(data)  # the telling n-grams of a bounded sample
+    name = hashlib.sha256(data).hexdigest()
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m, known = sent.value, {}
+        if name not in _LOADED:
+            _LOADED.clear()
+            _LOADED[name] = pickle.loads(sent.value), {}
+        m, known = _LOADED[name]
         for texts in batches:
             found = []
             for t in texts:
+                words = t.split()
                 if len(known) > CACHE:
                     known.clear()
-                number: dict[bytes, int] = {}
-                ids = np.fromiter((number.setdefault(x, len(number)) for x in t.split()), np.int32)
-                for x in number:
-                    if x not in known:
-                        known[x] = m.word(x)
-                value = np.fromiter(map(known.__getitem__, number), np.float64, len(number))
-                found.append(_score(log_odds(value[ids], ids), m))
+                for w in set(words).difference(known):
+                    known[w] = m.word(w)
+                found.append(_score(log_odds(words, known), m))
             yield pd.Series(found, dtype="float64")
 
     out = documents.withColumn("score", score(text_bytes()))
@@ -261,3 +281,10 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every whole text of ``documents``."""
     rows = documents.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     return score_documents(rows, fit(documents, labels)).select("doc_id", "held_out", "score", "predicted")
+
+
+def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """``documents`` without the rows predicted toxic; columns unchanged."""
+    if {"score", "predicted"} & set(documents.columns):
+        raise ValueError("documents must not have columns score or predicted")
+    return score_documents(documents, fit(documents, labels)).where("predicted = 0").drop("score", "predicted")

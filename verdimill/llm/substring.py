@@ -8,12 +8,12 @@ passage are left out, so a text of n words has about 2 n / MIN_WORDS windows
 for each function.  Two texts that share a passage of MIN_WORDS words or more
 have, for every function, windows of equal hash that hold the passage.
 
-Windows are joined on their hash.  A group of equal hashes is not expanded
-into pairs: each member is linked to the group's first text (smallest doc_id), and
-to the first text among those that also share the words to the right or to the
-left of the token, so that a common phrase does not hide a longer passage.
-Groups are collapsed in each task before the shuffle: a group sends one row for
-each context and task.  Links of two texts are merged by diagonal into
+Windows are joined on the hash of their token and of some words beside it, to
+the right for some functions and to the left for others, so that a common
+phrase does not hide a longer passage.  A group of equal hashes is not
+expanded into pairs: each member is linked to the group's first text (smallest
+doc_id).  Groups are collapsed in each task before the shuffle: a group sends
+one row for each task.  Links of two texts are merged by diagonal into
 intervals, the words of the intervals are fetched, and aligned shingles
 decide: MIN_WORDS words or more on both sides and a similarity of SIMILARITY.
 """
@@ -34,8 +34,8 @@ from .common import WORD, settle, text_bytes
 
 SHINGLE, MIN_WORDS, SIMILARITY = 5, 50, 0.8
 HASHES = 4
-#: Words of context on one side of a token: any exact passage of MIN_WORDS holds so many on one side of each of its tokens.
-CONTEXT = MIN_WORDS // 2 + 2
+#: For each function, words from the token's start to the right, or (negative) from its end to the left, that must be equal.
+CONTEXTS = (10, -10, 20, -20)
 #: Rows that a task collapses at once, words whose hash a task remembers.
 BUFFER, CACHE = 1_500_000, 1_000_000
 #: Links are merged if their offsets differ by less than this.
@@ -94,10 +94,11 @@ def shingles(h: np.ndarray) -> np.ndarray:
     return _mix(s)
 
 
-def compact_windows(v: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compact_windows(v: np.ndarray, width: int, ties: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(l, c, r) of all nodes of the Cartesian tree of v whose range [l, r) is at least ``width`` wide.
 
-    Among equal minima the middle one is taken, so that repeated words do not make the tree a list.
+    Among equal minima (``ties``: there may be some) the middle one is taken, so
+    that repeated words do not make the tree a list.
     """
     out: list[tuple[int, int, int]] = []
     todo = [(0, len(v))]
@@ -107,9 +108,9 @@ def compact_windows(v: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray,
             continue
         part = v[l:r]
         c = int(part.argmin())
-        if r - l > 4 * width:
-            ties = np.flatnonzero(part == part[c])
-            c = int(ties[len(ties) // 2])
+        if ties:
+            equal = np.flatnonzero(part == part[c])
+            c = int(equal[len(equal) // 2])
         c += l
         out.append((l, c, r))
         todo.append((l, c))
@@ -124,60 +125,53 @@ def _pack(l: np.ndarray, c: np.ndarray, r: np.ndarray) -> np.ndarray:
 
 
 def _windows(data: bytes, words: Words):
-    """key, context, position of every window of a text."""
+    """key and position of every window of a text."""
     w = data.lower().split()
     if len(w) < MIN_WORDS:
         return None
     h = words(w)
     n, s = len(h), shingles(h)
     total, back = _sums(h)
-    keys, contexts, places = [], [], []
-    for k, seed in enumerate(_SEEDS):
+    ties = len(np.unique(s)) < len(s)
+    keys, places = [], []
+    for seed, context in zip(_SEEDS, CONTEXTS, strict=True):
         v = _mix(s ^ seed)
-        l, c, r = compact_windows(v, MIN_WORDS - SHINGLE + 1)
-        to, frm = np.minimum(c + CONTEXT, n), np.maximum(c + SHINGLE - CONTEXT, 0)
-        right = _mix((total[to] - total[c]) * back[c]) >> _U(32)
-        left = _mix((total[c + SHINGLE] - total[frm]) * back[frm]) >> _U(32)
-        keys.append(v[c] & _U(~(HASHES - 1) & (1 << 64) - 1) | _U(k))
-        contexts.append(right << _U(32) | left)
+        l, c, r = compact_windows(v, MIN_WORDS - SHINGLE + 1, ties)
+        frm, to = (c, np.minimum(c + context, n)) if context > 0 else (np.maximum(c + SHINGLE + context, 0), c + SHINGLE)
+        keys.append(_mix(v[c] ^ (total[to] - total[frm]) * back[frm]))
         places.append(_pack(l, c, r))
-    return np.concatenate(keys).view(np.int64), np.concatenate(contexts).view(np.int64), np.concatenate(places)
+    return np.concatenate(keys).view(np.int64), np.concatenate(places)
 
 
-_COLUMNS = ("key", "context", "doc", "pos", "doc2", "pos2")
+_COLUMNS = ("key", "doc", "pos", "doc2", "pos2")
 _SCHEMA = ", ".join(f"{c} long" for c in _COLUMNS)
 
 
 def _batch(columns: list[np.ndarray], mask: np.ndarray | None = None) -> pa.RecordBatch:
-    arrays = [pa.array(c, pa.int64()) for c in columns[:4]]
-    arrays += [pa.array(c, pa.int64(), mask=mask) for c in columns[4:]]
+    arrays = [pa.array(c, pa.int64()) for c in columns[:3]]
+    arrays += [pa.array(c, pa.int64(), mask=mask) for c in columns[3:]]
     return pa.RecordBatch.from_arrays(arrays, names=list(_COLUMNS))
 
 
-def _leaders(order: np.ndarray, *by: np.ndarray) -> np.ndarray:
-    """For rows in ``order``, which sorts by ``by`` and then by doc: the first row of each group, by row."""
-    new = np.zeros(len(order), bool)
-    new[0] = True
-    for x in by:
-        s = x[order]
-        new[1:] |= s[1:] != s[:-1]
-    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+def _leaders(key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """For each row, the row of its key with the smallest doc and position."""
+    order = np.lexsort((pos, doc, key))
+    s = key[order]
+    first = np.maximum.accumulate(np.where(np.r_[True, s[1:] != s[:-1]], np.arange(len(order)), 0))
     out = np.empty_like(order)
-    out[order] = first
+    out[order] = order[first]
     return out
 
 
-def _collapse(key, context, doc, pos) -> Iterator[pa.RecordBatch]:
-    """One row for each key and context of a task, and links of the others to it."""
-    order = np.lexsort((pos, doc, context, key))
-    lead = _leaders(order, key, context)
-    own = np.arange(len(key))
-    rep = lead == own
-    yield _batch([key[rep], context[rep], doc[rep], pos[rep], doc[rep], pos[rep]], np.ones(int(rep.sum()), bool))
+def _collapse(key, doc, pos) -> Iterator[pa.RecordBatch]:
+    """One row for each key of a task, and links of the others to it."""
+    lead = _leaders(key, doc, pos)
+    rep = lead == np.arange(len(key))
+    yield _batch([key[rep], doc[rep], pos[rep], doc[rep], pos[rep]], np.ones(int(rep.sum()), bool))
     link = ~rep & (doc != doc[lead])
     if link.any():
         to = lead[link]
-        yield _batch([key[link], context[link], doc[link], pos[link], doc[to], pos[to]])
+        yield _batch([key[link], doc[link], pos[link], doc[to], pos[to]])
 
 
 def window_rows(documents: DataFrame) -> DataFrame:
@@ -190,7 +184,7 @@ def window_rows(documents: DataFrame) -> DataFrame:
                 got = _windows(text.as_py(), words)
                 if got is None:
                     continue
-                held.append((got[0], got[1], np.full(len(got[0]), doc, np.int64), got[2]))
+                held.append((got[0], np.full(len(got[0]), doc, np.int64), got[1]))
                 rows += len(got[0])
                 if rows >= BUFFER:
                     yield from _collapse(*map(np.concatenate, zip(*held, strict=True)))
@@ -206,7 +200,7 @@ def _unpack(pos: np.ndarray):
     return c - (pos >> 16 & _FAR), c, c + (pos & _FAR)
 
 
-def _links(key, doc, pos, doc2, pos2) -> pa.RecordBatch:
+def _links(doc, pos, doc2, pos2) -> pa.RecordBatch:
     """a > b: two texts, and the words of each around an equal token that windows of both allow."""
     l, c, r = _unpack(pos)
     l2, c2, r2 = _unpack(pos2)
@@ -218,34 +212,28 @@ def _links(key, doc, pos, doc2, pos2) -> pa.RecordBatch:
 
 
 def candidate_links(rows: DataFrame) -> DataFrame:
-    """Links from each window to the first texts of its group; rows come sorted by key."""
+    """Links from each window to the first text of its group; rows come sorted by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: np.ndarray | None = None
 
         def links(x: np.ndarray) -> Iterator[pa.RecordBatch]:
-            key, context, doc, pos = x
-            once = np.r_[True, key[1:] != key[:-1]] & np.r_[key[1:] != key[:-1], True]
-            if once.all():
-                return
-            key, context, doc, pos = x[:, ~once]
-            right, left = context >> 32, context & 0xFFFFFFFF
-            own = np.arange(len(key))
-            leads = [_leaders(np.lexsort((pos, doc, key)), key), _leaders(np.lexsort((pos, doc, right, key)), key, right), _leaders(np.lexsort((pos, doc, left, key)), key, left)]
-            for j, lead in enumerate(leads):
-                use = (lead != own) & (doc != doc[lead])
-                for other in leads[:j]:
-                    use &= lead != other
+            key = x[0]
+            new = key[1:] != key[:-1]
+            key, doc, pos = x[:, ~(np.r_[True, new] & np.r_[new, True])]
+            if len(key):
+                lead = _leaders(key, doc, pos)
+                use = doc != doc[lead]
                 if use.any():
-                    yield _links(key[use], doc[use], pos[use], doc[lead[use]], pos[lead[use]])
+                    yield _links(doc[use], pos[use], doc[lead[use]], pos[lead[use]])
 
         for batch in batches:
-            x = np.stack([batch.column(k).to_numpy(zero_copy_only=False) if batch.column(k).null_count == 0 else np.nan_to_num(batch.column(k).fill_null(-1).to_numpy(zero_copy_only=False)) for k in range(6)]).astype(np.int64)
-            linked = np.asarray(batch.column(4).is_valid())
+            linked = np.asarray(batch.column(3).is_valid())
             if linked.any():
-                key, _, doc, pos, doc2, pos2 = x[:, linked]
-                yield _links(key, doc, pos, doc2, pos2)
-            x = x[:4, ~linked]
+                part = batch.filter(pa.array(linked))
+                yield _links(*(part.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 4)))
+                batch = batch.filter(pa.array(~linked))
+            x = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
             if held is not None:
                 x = np.concatenate([held, x], axis=1)
             if not x.shape[1]:
@@ -268,7 +256,7 @@ def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]
     a chain breaks where more than GAP shingles in a row find no match.  A chain
     below the similarity is cut at its widest gap.
     """
-    sa, sb = shingles(a), shingles(b)
+    sa, sb = shingles(a.astype(np.uint64)), shingles(b.astype(np.uint64))
     if len(sa) == 0 or len(sb) == 0:
         return []
     order = np.argsort(sb, kind="stable")
@@ -325,21 +313,21 @@ def near_passages(documents: DataFrame) -> DataFrame:
     links = candidate_links(rows)
     region = links.groupBy("a", "b", "diagonal").agg(F.min("a_from").alias("a_from"), F.max("a_to").alias("a_to"), F.min("b_from").alias("b_from"), F.max("b_to").alias("b_to"))
     region = settle(region.withColumn("pair", F.xxhash64("a", "b", "diagonal")))
-    # Words of both sides as hashes; a text that is asked for often is cut where it is joined.
+    # Words of both sides as 32-bit hashes (a shingle is five of them); a text that is asked for often is cut where it is joined.
     ask = region.select(F.col("a").alias("doc"), F.col("a_from").alias("lo"), F.col("a_to").alias("hi")).unionByName(region.select(F.col("b").alias("doc"), F.col("b_from").alias("lo"), F.col("b_to").alias("hi"))).distinct()
     texts = documents.where("doc_id IS NOT NULL").select("doc_id", text_bytes().alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         last: tuple[int, bytes] | None = None
-        h = np.zeros(0, np.uint64)
+        h = np.zeros(0, np.uint32)
         for batch in batches:
             out = []
             docs, lows, highs, values = (batch.column(k) for k in range(4))
             for k in range(batch.num_rows):
                 doc, data = docs[k].as_py(), values[k].as_py()
                 if last is None or last[0] != doc or last[1] != data:
-                    last, h = (doc, data), words(data.lower().split())
+                    last, h = (doc, data), words(data.lower().split()).astype(np.uint32)
                 out.append(h[lows[k].as_py() : highs[k].as_py()].tobytes())
             yield pa.RecordBatch.from_arrays([docs, lows, highs, pa.array(out, pa.binary())], names=["doc", "lo", "hi", "words"])
 
@@ -352,7 +340,7 @@ def near_passages(documents: DataFrame) -> DataFrame:
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
             for a, b, a_from, b_from, x, y in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                for i0, i1, j0, j1, similarity in align(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)):
+                for i0, i1, j0, j1, similarity in align(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)):
                     for c, v in zip(cols, (a, a_from + i0, a_from + i1, b, b_from + j0, b_from + j1, similarity), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.float64())], names=["doc_id", "start_word", "end_word", "rep_doc_id", "rep_start_word", "rep_end_word", "similarity"])

@@ -206,7 +206,7 @@ def encode_column(df: DataFrame, path: str, pattern: str, text: str = "text", ke
         ranks = spark.sparkContext.broadcast(f.read())  # a vocabulary: its size does not depend on the data
     added = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
     df = df.drop(*added)
-    df = df.withColumns({"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit("")} | ({"ids": F.array().cast("array<long>")} if keep_ids else {}))
+    df = df.withColumns({"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit("")} | ({"ids": F.array().cast("array<int>")} if keep_ids else {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks.value, pattern)
@@ -219,10 +219,11 @@ def encode_column(df: DataFrame, path: str, pattern: str, text: str = "text", ke
                 digests.append(hashlib.sha256(raw).hexdigest())
                 decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                 if keep_ids:
-                    lists.append(ids)
+                    lists.append(raw)
             new = {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
             if keep_ids:
-                new["ids"] = pa.array(lists, pa.list_(pa.int64()))
+                ends = np.cumsum([0, *(len(x) // 4 for x in lists)])
+                new["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(lists), "<i4")))
             yield pa.RecordBatch.from_arrays([new.get(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names)
 
     return df.mapInArrow(run, df.schema)

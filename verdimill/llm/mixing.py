@@ -49,6 +49,33 @@ def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return t.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
+def _key() -> Column:
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+
+
+def take(rows: DataFrame, cells: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """``rows`` (doc_id, source, _size, _cell and any others) with _source_size, _target and _taken.
+
+    ``cells`` has the size of every source and cell: source, cell, cell_size.
+    """
+    to_cell = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cells.withColumn("offset", F.coalesce(F.sum("cell_size").over(to_cell), F.lit(0)))
+    goal = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), max_epochs)
+    goal = goal.withColumnRenamed("source", "g_source")
+    offsets = offsets.join(goal, F.col("source").eqNullSafe(F.col("g_source"))).select(F.col("source").alias("_o_source"), F.col("cell").alias("_o_cell"), F.col("offset").alias("_offset"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    in_cell = Window.partitionBy("source", "_cell").orderBy(_key(), "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_in_cell", F.coalesce(F.sum("_size").over(in_cell), F.lit(0)))
+    both = rows.join(offsets, F.col("source").eqNullSafe(F.col("_o_source")) & (F.col("_cell") == F.col("_o_cell")))
+    whole = F.when(F.col("_source_size") > 0, F.expr("floor(_target) div _source_size")).otherwise(0)
+    part = F.floor(F.col("_target")) - whole * F.col("_source_size") - F.col("_offset") - F.col("_in_cell")
+    taken = whole * F.col("_size") + F.least(F.col("_size"), F.greatest(F.lit(0), part))
+    return both.withColumn("_taken", taken.cast("long")).drop("_o_source", "_o_cell", "_offset", "_in_cell")
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("source", F.col("_cell").alias("cell")).agg(F.sum("_size").alias("cell_size"))
+
+
 def mix(rows: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """doc_id, source, size -> doc_id, size, source_size, target, taken.
 
@@ -58,22 +85,29 @@ def mix(rows: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     taken in part.  A null source is a source of its own and comes last; a null
     doc_id has an empty key.  Rows with equal keys are ordered by doc_id and size.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = settle(rows.select("doc_id", "source", F.col("size").cast("long").alias("size"), key.alias("key"), F.substring(key, 1, CELL_DIGITS).alias("cell")))
-    cells = rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
-    to_cell = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.withColumn("offset", F.coalesce(F.sum("cell_size").over(to_cell), F.lit(0)))
-    goal = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), max_epochs)
-    goal = goal.withColumnRenamed("source", "g_source")
-    offsets = offsets.join(goal, F.col("source").eqNullSafe(F.col("g_source"))).select(F.col("source").alias("o_source"), F.col("cell").alias("o_cell"), "offset", "source_size", "target")
-    in_cell = Window.partitionBy("source", "cell").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("in_cell", F.coalesce(F.sum("size").over(in_cell), F.lit(0)))
-    both = rows.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("cell") == F.col("o_cell")))
-    budget = F.floor(F.col("target"))
-    whole = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(0)
-    part = budget - whole * F.col("source_size") - F.col("offset") - F.col("in_cell")
-    taken = whole * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), part))
-    return both.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    rows = settle(rows.select("doc_id", "source", F.col("size").cast("long").alias("_size"), F.substring(_key(), 1, CELL_DIGITS).alias("_cell")))
+    return take(rows, _cells(rows), max_epochs).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
+
+
+def repeat_to_targets(documents: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """``documents`` as the mix takes them: whole rows once for each epoch; the row on which a
+    source's budget ends is cut at that word in its last copy, and n_chars (if there) follows.
+
+    Rows without words are part of no budget and stay once.
+    """
+    names = documents.columns
+    rows = documents.withColumns({"_size": n_words(F.col("text")), "_cell": F.substring(_key(), 1, CELL_DIGITS)})
+    cells = settle(_cells(rows))  # at most 16 ** CELL_DIGITS rows for each source
+    out = take(rows, cells, max_epochs)
+    last = F.when(F.col("_size") > 0, F.col("_taken") % F.col("_size")).otherwise(0)
+    copies = F.when(F.col("_size") > 0, F.ceil(F.col("_taken") / F.col("_size"))).otherwise(1)
+    out = out.withColumns({"_last": last, "_copies": copies}).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    cut = (F.col("_copy") == F.col("_copies")) & (F.col("_last") > 0)
+    start = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), 0), F.lit(1), F.col("_last").cast("int")), "")
+    out = out.withColumn("text", F.when(cut, start).otherwise(F.col("text")))
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType))
+    return out.select(*names)
 
 
 def mix_documents(documents: DataFrame) -> DataFrame:

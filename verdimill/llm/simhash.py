@@ -164,9 +164,30 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     without words have fingerprint 0 and link like any other.  A row without
     doc_id belongs to the component of its fingerprint; the id is null if no row with that fingerprint has one.
     """
-    fps = settle(fingerprints(documents))
+    return _components(settle(fingerprints(documents)), radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _components(fps: DataFrame, radius: int) -> DataFrame:
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
     parts = connected_components(near_links(nodes.where("node IS NOT NULL"), radius))
     named = nodes.join(parts.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left")
     named = named.select(F.col("fp").alias("nfp"), F.coalesce("component", "node").alias("component_id"))
-    return fps.join(named, F.col("fp") == F.col("nfp")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(named, F.col("fp") == F.col("nfp")).select("doc_id", "fp", "component_id")
+
+
+def one_of_each_group(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``documents`` whose doc_id is their component's; columns unchanged.
+
+    Of rows that repeat such an id one stays.  Rows without doc_id can't be named by a component and all stay.
+    """
+    fps = settle(fingerprints(documents))
+    found = _components(fps, radius)
+    keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("k_id")).agg(F.count("*").alias("k_n"))
+    kept = documents.join(keep, F.col("doc_id") == F.col("k_id"))
+    single = kept.where("k_n = 1").drop("k_id", "k_n")
+    again = kept.where("k_n > 1").drop("k_id", "k_n").dropDuplicates(["doc_id"])
+    if fps.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        out = single
+    else:
+        out = single.unionByName(again)
+    return out.unionByName(documents.where("doc_id IS NULL"))

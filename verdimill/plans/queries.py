@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dist, text
@@ -717,3 +717,157 @@ def limit_in_order(spark, sf):
 def sample_fixed_seed(spark, sf):
     d = table(spark, sf, "documents").select("doc_id")
     return d.orderBy(F.md5(F.concat(F.lit("sample|"), "doc_id").cast("binary")), "doc_id").limit(100)
+
+
+# Sources and sinks over the test tables
+
+
+@query("SELECT doc_id, doc_id || '.jsonl:1' AS label, json_object('id', doc_id, 'lang', lang) AS state FROM documents")
+def jsonl_records(spark, sf):
+    """One JSON line for each document, read back as items by the same code that reads files."""
+    from ..sources import files
+
+    raw = F.to_json(F.struct(F.col("doc_id").alias("id"), "lang"))
+    docs = table(spark, sf, "documents").select("doc_id", raw.alias("line"))
+    options = files.Options()
+    read = F.udf(lambda i, t: [(r[0], r[3]) for r in files.items_of(f"{i}.jsonl", t, "jsonl", options)], "array<struct<label:string,state:string>>")
+    return docs.select("doc_id", F.inline(read("doc_id", "line")))
+
+
+@query("SELECT doc_id, count(*) AS parts FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY doc_id")
+def lines_of_documents(spark, sf):
+    from ..sources import files
+
+    options = files.Options(each="line", budget=1 << 30)
+    n = F.udf(lambda i, t: len(files.items_of(f"{i}.txt", t, "lines", options)), "long")
+    return table(spark, sf, "documents").select("doc_id", n("doc_id", "text").alias("parts")).where("parts > 0")
+
+
+@query("SELECT doc_id, length(replace(text, chr(10), '')) AS kept FROM documents WHERE trim(text, ' ' || chr(10)) <> ''")
+def split_parts(spark, sf):
+    """Documents cut into parts of 1,024 JSON bytes: no character but line ends is lost."""
+    from ..sources import split
+
+    def kept(t):
+        parts = split.split(t.split("\n"), 1024)
+        assert all(split.json_size(x) <= 1024 for *_, x in parts)
+        return sum(len(x.replace("\n", "")) for *_, x in parts)
+
+    docs = table(spark, sf, "documents")
+    return docs.where("trim(BOTH ' \n' FROM text) <> ''").select("doc_id", F.udf(kept, "long")("text").alias("kept"))
+
+
+@query()
+def markdown_sections(spark, sf):
+    from ..sources import markdown
+
+    def read(t):
+        lines = t.split("\n")
+        # every third line of a document becomes a heading
+        return [(s.anchor, s.start, s.end, " > ".join(s.path)) for s in markdown.sections([f"{'#' * (i % 3 + 1)} {x}" if i % 3 == 0 else x for i, x in enumerate(lines)])]
+
+    found = F.udf(read, "array<struct<anchor:string,start_line:int,end_line:int,path:string>>")
+    return table(spark, sf, "documents").select("doc_id", F.inline(found("text")))
+
+
+_CODE = (
+    ("a.go", "package a\n\n// Add adds.\nfunc Add(a, b int) int {\n\treturn a + b\n}\n"),
+    ("b.py", "class B:\n    def m(self):\n        return 1\n\ndef f():\n    pass\n"),
+    ("c.ts", "export function g(x: number): number {\n  return x;\n}\n"),
+    ("D.java", "class D {\n  int n(int x) {\n    return x;\n  }\n}\n"),
+)
+
+
+@query("SELECT * FROM (VALUES ('a.go', 'Add', 4, 6), ('b.py', 'B.m', 2, 3), ('b.py', 'f', 5, 6), ('c.ts', 'g', 1, 3), ('D.java', 'D.n', 2, 4)) AS t(path, function, first_line, last_line)")
+def functions_by_language(spark, sf):
+    from ..sources import diff
+
+    rows = F.udf(diff.function_rows, "array<struct<function:string,lead:int,start:int,end:int>>")
+    df = spark.createDataFrame(list(_CODE), "path string, text string")
+    return df.select("path", F.inline(rows("path", "text"))).select("path", "function", F.col("start").alias("first_line"), F.col("end").alias("last_line"))
+
+
+_DIFF = "diff --git a/b.py b/b.py\n--- a/b.py\n+++ b/b.py\n@@ -1,5 +1,6 @@\n class B:\n     def m(self):\n-        return 0\n+        return 1\n \n def f():\n+    pass\n"
+
+
+@query("SELECT * FROM (VALUES ('b.py', 3, '        return 1'), ('b.py', 6, '    pass')) AS t(name, line, text)")
+def added_lines(spark, sf):
+    from ..sources import diff
+
+    return diff.added_lines(diff.read_hunks(spark, spark.createDataFrame([(_DIFF,)], "value string")))
+
+
+@query("SELECT * FROM (VALUES ('b.py', 'B.m', 3), ('b.py', 'f', 6)) AS t(name, function, line)")
+def changed_functions(spark, sf):
+    from ..sources import diff
+
+    hunks = diff.read_hunks(spark, spark.createDataFrame([(_DIFF,)], "value string"))
+    return diff.changed_functions(hunks, spark.createDataFrame(list(_CODE), "path string, text string"))
+
+
+@query(sql("SELECT 'doc' || doc_id AS source, 'complete' AS status, CASE WHEN relevant >= 0.6 THEN 'true' ELSE 'false' END AS flagged, CASE WHEN bug >= 0.5 OR score >= 3 THEN 'true' ELSE 'false' END AS matched, choice AS queue, '' AS error FROM c"))
+def csv_output(spark, sf):
+    from .. import sinks
+
+    df = verdicts.verdicts(answered(spark, sf), FLAGS, MATCHES, list(TRIAGE.questions))
+    df = df.withColumns({"source": F.concat(F.lit("doc"), "doc_id"), "status": F.lit("complete"), "error": F.lit(None).cast("string")})
+    return sinks.csv_cells(df, TRIAGE.questions).select("source", "status", "flagged", "matched", "queue", "error")
+
+
+@query(sql("SELECT '::' || CASE WHEN relevant >= 0.6 THEN 'warning' ELSE 'notice' END || ' file=doc' || doc_id || '.txt,line=1' AS place, count(*) AS n FROM c WHERE relevant >= 0.6 OR bug >= 0.5 OR score >= 3 GROUP BY place"))
+def annotation_places(spark, sf):
+    from .. import sinks
+
+    df = verdicts.verdicts(answered(spark, sf), FLAGS, MATCHES, list(TRIAGE.questions))
+    df = df.withColumns({"source": F.concat(F.lit("doc"), "doc_id", F.lit(".txt:1")), "status": F.lit("complete"), "error": F.lit(None).cast("string")})
+    return sinks.annotations(df, TRIAGE.questions).groupBy(F.regexp_extract("value", r"^(::\w+ file=[^:]*)::", 1).alias("place")).agg(F.count("*").alias("n"))
+
+
+@query(sql("SELECT 'w' || (doc_id % 7) AS request_id, count_if(relevant >= 0.6) > 0 AS flagged, count(*) AS checked FROM c GROUP BY request_id"))
+def sticky_marks(spark, sf):
+    from ..streaming import collector
+
+    v = answered(spark, sf).select(F.concat(F.lit("w"), F.col("doc_id") % 7).alias("request_id"), F.col("doc_id").alias("seq"), (F.col("relevant.noul") >= 0.6).alias("flagged"), F.lit("x").alias("text"))
+    m = collector.marks(v)
+    return m.select("request_id", "flagged", F.size(F.split("texts", "; ")).cast("long").alias("checked"))
+
+
+@query("SELECT user_id AS session, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5")
+def session_log(spark, sf):
+    from ..streaming import collector
+
+    j = table(spark, sf, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("at"))
+    return collector.session_log(j, 5).select("session", F.col("at").alias("event_id"))
+
+
+@query("SELECT event_id // 3 AS item, 3::INTEGER AS parts, CASE WHEN count_if(event_type = 'error') > 0 THEN 'failed' ELSE 'complete' END AS status FROM events GROUP BY item HAVING count(*) = 3")
+def stream_part_collector(spark, sf):
+    """events as a stream of parts, three to an item, collected in state."""
+    from ..streaming import collector
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    where = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events*").parquet(sf)
+    status = F.when(F.col("event_type") == "error", "failed").otherwise("complete")
+    parts = stream.select(F.expr("event_id div 3").alias("item"), (F.col("event_id") % 3 + 1).cast("int").alias("n"), F.lit(3).alias("of"), F.lit(1).alias("size"), status.alias("status"), F.lit(0.5).alias("noul"))
+    q = collector.collect_parts(parts).writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(collector.COLLECTED).parquet(f"{where}/out").select("item", "parts", "status")
+
+
+@query()
+def call_paths(spark, sf):
+    """Orders as a made-up call graph: paths to sinks within three calls."""
+    from ..operators import paths
+
+    o = table(spark, sf, "orders")
+    edges = o.select((F.col("o_orderkey") % 97).alias("caller"), (F.col("o_custkey") % 97).alias("callee")).where("caller > callee").distinct()
+    sites = spark.range(2).select(F.concat(F.lit("s"), "id").alias("site"), F.col("id").alias("node"))
+    entries = spark.range(80, 97).select(F.col("id").alias("node"))
+    return paths.bounded_paths(edges, sites, entries, 3, 3).select("site", F.array_join("path", ">").alias("path"), "length")
+
+
+@query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, count(*) AS n FROM lineitem GROUP BY ALL")
+def relational_smoke(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.count("*").alias("n"))

@@ -30,10 +30,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches, tidied
+
 #: No match of the pattern depends on characters more than this far behind its end.
 LOOK = 3
 #: Characters of a leaf, bytes of a match that is merged without a tree, entries of the caches.
-LEAF, SHORT, CACHE = 4096, 64, 400_000
+LEAF, SHORT, CACHE = 4096, 64, 100_000
 
 
 class Codec:
@@ -226,7 +228,7 @@ def encode_column(df: DataFrame, path: str, pattern: str, text: str = "text", ke
                 new["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(lists), "<i4")))
             yield pa.RecordBatch.from_arrays([new.get(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names)
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(tidied(run), df.schema)
 
 
 def tokenize_documents(documents: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import json
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +55,33 @@ def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame
 def text_bytes(name: str = "text"):
     """The UTF-8 bytes of a text column; null reads as empty."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
+
+
+#: Rows that travel to a Python worker at once.  Texts can be long, and each batch is held several times over.
+BATCH_ROWS = 400
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to BATCH_ROWS, or fewer if it has fewer."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow``; when a task ends, its worker hands unused memory back to the machine.
+
+    Workers stay between tasks, and what they hold counts against the executor.
+    """
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return task

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_bytes
+from .common import settle, small_batches, text_bytes, tidied
 from .graph import connected_components
 
 RADIUS, SEED, WORDS = 3, 42, 3
@@ -58,7 +58,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return documents.select("doc_id", text_bytes().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return small_batches(documents).select("doc_id", text_bytes().alias("text")).mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 def covering_masks(free: int = (1 << 64) - 1, radius: int = RADIUS) -> list[int]:
@@ -126,7 +126,7 @@ def _bucket_links(keys: DataFrame, radius: int) -> DataFrame:
         if held and held[0].shape[1]:
             yield links(held[0])
 
-    return keys.select("t", "key", "node", "fp").mapInArrow(run, "a long, b long")
+    return keys.select("t", "key", "node", "fp").mapInArrow(tidied(run), "a long, b long")
 
 
 def near_links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:

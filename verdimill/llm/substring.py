@@ -24,20 +24,19 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, settle, text_bytes
+from .common import WORD, settle, small_batches, text_bytes, tidied
 
 SHINGLE, MIN_WORDS, SIMILARITY = 5, 50, 0.8
 HASHES = 4
 #: For each function, words from the token's start to the right, or (negative) from its end to the left, that must be equal.
 CONTEXTS = (10, -10, 20, -20)
 #: Rows that a task collapses at once, words whose hash a task remembers.
-BUFFER, CACHE = 1_500_000, 1_000_000
+BUFFER, CACHE = 300_000, 100_000
 #: Links are merged if their offsets differ by less than this.
 DIAGONAL = 64
 #: Words between matching shingles that still belong to one passage.
@@ -192,7 +191,7 @@ def window_rows(documents: DataFrame) -> DataFrame:
         if held:
             yield from _collapse(*map(np.concatenate, zip(*held, strict=True)))
 
-    return documents.where("doc_id IS NOT NULL").select("doc_id", text_bytes().alias("text")).mapInArrow(run, _SCHEMA)
+    return small_batches(documents).where("doc_id IS NOT NULL").select("doc_id", text_bytes().alias("text")).mapInArrow(tidied(run), _SCHEMA)
 
 
 def _unpack(pos: np.ndarray):
@@ -246,7 +245,7 @@ def candidate_links(rows: DataFrame) -> DataFrame:
         if held is not None and held.shape[1]:
             yield from links(held)
 
-    return rows.mapInArrow(run, "a long, b long, a_from long, a_to long, b_from long, b_to long, diagonal long")
+    return rows.mapInArrow(tidied(run), "a long, b long, a_from long, a_to long, b_from long, b_to long, diagonal long")
 
 
 def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]]:
@@ -331,7 +330,7 @@ def near_passages(documents: DataFrame) -> DataFrame:
                 out.append(h[lows[k].as_py() : highs[k].as_py()].tobytes())
             yield pa.RecordBatch.from_arrays([docs, lows, highs, pa.array(out, pa.binary())], names=["doc", "lo", "hi", "words"])
 
-    words = ask.join(texts, F.col("doc") == F.col("doc_id")).select("doc", "lo", "hi", "text").mapInArrow(cut, "doc long, lo long, hi long, words binary")
+    words = ask.join(texts, F.col("doc") == F.col("doc_id")).select("doc", "lo", "hi", "text").mapInArrow(tidied(cut), "doc long, lo long, hi long, words binary")
     for side in "ab":
         w = words.select(F.col("doc").alias("w_doc"), F.col("lo").alias("w_lo"), F.col("hi").alias("w_hi"), F.col("words").alias(f"{side}_words"))
         region = region.join(w, (F.col(side) == F.col("w_doc")) & (F.col(f"{side}_from") == F.col("w_lo")) & (F.col(f"{side}_to") == F.col("w_hi"))).drop("w_doc", "w_lo", "w_hi")
@@ -346,7 +345,7 @@ def near_passages(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.float64())], names=["doc_id", "start_word", "end_word", "rep_doc_id", "rep_start_word", "rep_end_word", "similarity"])
 
     schema = "doc_id long, start_word long, end_word long, rep_doc_id long, rep_start_word long, rep_end_word long, similarity double"
-    found = settle(region.select("a", "b", "a_from", "b_from", "a_words", "b_words").mapInArrow(verify, schema).distinct())
+    found = settle(region.select("a", "b", "a_from", "b_from", "a_words", "b_words").mapInArrow(tidied(verify), schema).distinct())
     copies = found.withColumn("is_copy", F.lit(True))
     firsts = found.select("rep_doc_id", "rep_start_word", "rep_end_word").distinct()
     firsts = firsts.select(F.col("rep_doc_id").alias("doc_id"), F.col("rep_start_word").alias("start_word"), F.col("rep_end_word").alias("end_word"), "rep_doc_id", "rep_start_word", "rep_end_word", F.lit(1.0).alias("similarity"), F.lit(False).alias("is_copy"))
@@ -377,13 +376,16 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     """
     spans = near_passages(documents).where("is_copy").groupBy(F.col("doc_id").alias("s_id")).agg(F.sort_array(F.collect_set(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e")))).alias("spans"))
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, lists: pd.Series) -> pd.Series:
-        return pd.Series([cut_words(t.encode(), [(x["s"], x["e"]) for x in found]).decode("utf-8", "replace") for t, found in zip(texts, lists, strict=True)], dtype=object)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, lists = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "spans"))
+            new = [cut_words(t.as_py().encode(), [(x["s"], x["e"]) for x in found]).decode("utf-8", "replace") for t, found in zip(texts, lists.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if n == "text" else c for n, c in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names)
 
     both = documents.join(spans, F.col("doc_id") == F.col("s_id"), "left").drop("s_id")
     same = both.where("spans IS NULL").drop("spans")
-    new = both.where("spans IS NOT NULL").withColumn("text", cut("text", "spans")).where(F.regexp_like("text", F.lit(WORD))).drop("spans")
+    new = both.where("spans IS NOT NULL")
+    new = new.mapInArrow(tidied(cut), new.schema).where(F.regexp_like("text", F.lit(WORD))).drop("spans")
     if "n_chars" in documents.columns:
         new = new.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return same.unionByName(new)

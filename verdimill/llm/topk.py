@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, tidied
 
 K, SCALE, EVERY = 20, 64.0, 20
 QUERY_BLOCK, SHARD_BLOCK = 512, 4096
@@ -60,7 +60,7 @@ def _pack(rows: DataFrame, size: int) -> DataFrame:
         for dim in list(held):
             yield block(dim)
 
-    return rows.mapInArrow(run, "dim int, ids binary, vals binary, wide boolean")
+    return rows.mapInArrow(tidied(run), "dim int, ids binary, vals binary, wide boolean")
 
 
 def _unpack(ids: bytes, data: bytes, wide: bool, dim: int):
@@ -114,7 +114,7 @@ def _tiles(pairs: DataFrame, k: int) -> DataFrame:
                 q, c, s = tile(*a, *b, k)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), r["grp"]), pa.int32()), pa.array(q), pa.array(c), pa.array(s)], names=["grp", "query_id", "vec_id", "score"])
 
-    return pairs.mapInArrow(run, "grp int, query_id long, vec_id long, score long")
+    return pairs.mapInArrow(tidied(run), "grp int, query_id long, vec_id long, score long")
 
 
 def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:

@@ -20,11 +20,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import small_batches, text_bytes, tidied
 
 #: Labelled rows of each class that training takes at most (the sample's documented bound).
 SAMPLE_TOXIC, SAMPLE_CLEAN = 700, 1400
@@ -35,7 +35,7 @@ MIN_STRENGTH = 4.0
 #: Texts shorter than this are averaged as if neutral words filled them up.
 LEAST = 8
 THRESHOLD = 0.3
-CACHE = 600_000
+CACHE = 60_000
 _EDGE = b".,;:!?\"'()[]{}*#$%&"
 
 
@@ -256,25 +256,25 @@ def score_documents(documents: DataFrame, model: Model | None) -> DataFrame:
     sent = documents.sparkSession.sparkContext.broadcast(data)  # the telling n-grams of a bounded sample
     name = hashlib.sha256(data).hexdigest()
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    rows = small_batches(documents).withColumn("score", F.lit(0.0))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _LOADED:
             _LOADED.clear()
             _LOADED[name] = pickle.loads(sent.value), {}
         m, known = _LOADED[name]
-        for texts in batches:
+        for batch in batches:
             found = []
-            for t in texts:
-                words = t.split()
+            for t in batch.column(batch.schema.get_field_index("text")):
+                words = (t.as_py() or "").encode().split()
                 if len(known) > CACHE:
                     known.clear()
                 for w in set(words).difference(known):
                     known[w] = m.word(w)
                 found.append(_score(log_odds(words, known), m))
-            yield pd.Series(found, dtype="float64")
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()) if n == "score" else c for n, c in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names)
 
-    out = documents.withColumn("score", score(text_bytes()))
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return rows.mapInArrow(tidied(score), rows.schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -28,6 +28,8 @@ WORDS = " ".join(LONG.split())
         ("<article></article>", ""),
         ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d<tr><td>e</table></article>", "a b c d e"),
         ("<article><p>x</p></article></body></html>", "x"),
+        ("<div class='layout has-sidebar'><h1>T</h1><p>words here</p><div class=sidebar><p>no</p></div></div>", "T words here"),
+        ("<main><div id=comments><article><p>reader</p></article></div><p>text</p><div hidden>no</div></main>", "text"),
         ("<article><p>unfinished <a href='x", "unfinished"),
     ],
 )

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, tidied
+
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|(?=[\s/>]|$))", re.I)
 # Fixed values of the HTML standard.
@@ -46,37 +48,55 @@ _HEADINGS = frozenset(("h1", "h2"))
 class Node:
     __slots__ = ("tag", "up", "kids", "skip", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, up: Node | None, skip: bool):
+    def __init__(self, tag: str, up: Node | None, skip: int):
         self.tag, self.up, self.skip = tag, up, skip
         self.kids: list[Node | str | None] = []  # None: a break between blocks
         if up is not None:
             up.kids.append(self)
 
 
-def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
+_HARD, _SOFT = 2, 1
+
+
+def _unwanted(tag: str, attrs: str, in_article: bool) -> int:
+    """_HARD for what is never shown as text of an article, _SOFT for what only its names say, else 0."""
     if tag in _NEVER or tag == "header" and not in_article:
-        return True
+        return _HARD
     if not attrs or tag in ("html", "body", "main"):
-        return False
+        return 0
+    soft = 0
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" and (attrs[m.start() - 1 : m.start()] or " ").isspace():
-            return True
+            return _HARD
         if name == "aria-hidden" and value.lower() == "true" and tag not in _INLINE:
-            return True
-        if name == "role" and value.lower() in _ROLES:
-            return True
+            return _HARD
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return _HARD
+        if name == "role" and value.lower() in _ROLES:
+            soft = _SOFT
         if name in ("class", "id") and not _MARKS.isdisjoint(_SPLIT.split(_CAMEL.sub(" ", value).lower())):
-            return True
+            soft = _SOFT
+    return soft
+
+
+def _holds_title(x: Node) -> bool:
+    """Whether an element holds the main title or area: then its names tell of the layout, not of the element."""
+    todo = [x]
+    while todo:
+        for k in todo.pop().kids:
+            if isinstance(k, Node) and k.skip != _HARD:
+                if k.tag in ("h1", "main"):
+                    return True
+                todo.append(k)
     return False
 
 
 def parse(html: str) -> Node:
     """A tree of the page; unclosed and misplaced tags are repaired the usual way."""
-    root = Node("body", None, False)
+    root = Node("body", None, 0)
     stack, at, n = [root], 0, len(html)
+    soft: list[Node] = []
     while at < n:
         m = _TOKEN.search(html, at)
         if m is None:
@@ -128,13 +148,17 @@ def parse(html: str) -> Node:
             if tag in ("br", "hr"):
                 top.kids.append(None)
             continue
-        skip = top.skip or _unwanted(tag, m[3], any(x.tag in ("article", "main") for x in stack))
-        node = Node(tag, top, skip)
+        node = Node(tag, top, _unwanted(tag, m[3], any(x.tag in ("article", "main") for x in stack)))
+        if node.skip == _SOFT:
+            soft.append(node)
         if tag in _RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
             at = close.end() if close else n
         elif not m[3].endswith("/") or tag not in ("svg", "path"):
             stack.append(node)
+    for x in soft:
+        if _holds_title(x):
+            x.skip = 0
     return root
 
 
@@ -247,5 +271,5 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             texts = [extract(x.as_py() or "") for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    out = pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string")
+    out = small_batches(pages).select("page_id", "url", "html").mapInArrow(tidied(run), "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

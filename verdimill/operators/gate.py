@@ -10,7 +10,7 @@ import json
 import math
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
@@ -83,7 +83,19 @@ def _polarity(p: str, allow: float, review: float) -> None:
         raise RuleError(f"bounds {allow} and {review} don't fit polarity {p!r}")
 
 
+class _Inputs(dict):
+    """Inputs by name; ``known`` holds readings that are columns already, ``asked`` collects those that are read."""
+
+    def __init__(self, inputs: dict, known: dict | None = None):
+        super().__init__(inputs)
+        self.known, self.asked = known or {}, []
+
+
 def _read(inputs: dict[str, Column], name: str, m: str, option: str = "") -> Column:
+    if isinstance(inputs, _Inputs):
+        if (name, m, option) in inputs.known:
+            return inputs.known[name, m, option]
+        inputs.asked.append((name, m, option))
     x = inputs.get(name)
     if x is None:
         return F.struct(F.lit(None).cast("double").alias("value"), F.lit("missing").alias("problem"))
@@ -326,6 +338,28 @@ class Compose(Rule):
         return _decision(chosen["outcome"], chosen["rule"], chosen["weakest"], chosen["value"], chosen["missing"], F.concat(*(d["readings"] for d in parts)))
 
 
+def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that are computed once for each row: projections aren't merged across ``inline``."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))) if columns else df
+
+
+def decide(df: DataFrame, rule: Rule, inputs: dict[str, Column], name: str = "decision") -> DataFrame:
+    """``df`` with the decision of a rule.
+
+    The same as ``rule.evaluate`` in one column, but inputs and readings become
+    columns first, so that a rule that reads an input in several places measures it once.
+    """
+    names = {n: f"_input{i}" for i, n in enumerate(inputs)}
+    out = _once(df, {names[n]: c for n, c in inputs.items()})
+    first = _Inputs({n: F.col(c) for n, c in names.items()})
+    rule.evaluate(first)
+    keys = list(dict.fromkeys(first.asked))
+    out = _once(out, {f"_reading{i}": _read(dict(first), *k) for i, k in enumerate(keys)})
+    known = {k: F.col(f"_reading{i}") for i, k in enumerate(keys)}
+    out = _once(out, {name: rule.evaluate(_Inputs(first, known))})
+    return out.select(*df.columns, name)
+
+
 _KINDS = {c.kind: c for c in (Bands, AllOf, MinConfidence, Margin, Asymmetric, Compose)}
 
 

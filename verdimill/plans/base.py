@@ -25,15 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents with the answers to TRIAGE in columns relevant, queue and impact."""
+def answered(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    """documents with the answers to TRIAGE (to some of its questions, if named) in columns relevant, queue and impact."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", F.col("text").alias("state"))
-    return hash_answers(docs, TRIAGE.questions)
+    return hash_answers(docs, {k: q for k, q in TRIAGE.questions.items() if not keys or k in keys})
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    return answered(spark, sf_dir).join(labels, "doc_id")
+    return answered(spark, sf_dir, "relevant").join(labels, "doc_id")
 
 
 def h(key: str, state: str = "text") -> str:

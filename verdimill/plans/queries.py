@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dist, text
 from ..operators import cache, calibrate, combine, compact, funnel, gate, heads, metrics, pick, rank, runs, validate, verdicts
 from ..questions import Choice, Condition, Noul, QuestionSet
-from ..scorers import HashScorer, hash_answer, hash_weight, score
+from ..scorers import HashScorer, hash_answer, hash_answers, hash_weight, score
 from .base import FLAGS, MATCHES, TRIAGE, answered, h, labelled, r9, sql, table
 
 QUERIES: dict = {}
@@ -47,13 +47,13 @@ def query(oracle: str | None = None):
 
 @query(sql("SELECT doc_id, relevant, relevant_verdict AS verdict, relevant - 0.6::DOUBLE AS nearness FROM c ORDER BY nearness DESC, doc_id LIMIT 10"))
 def flag_top_n(spark, sf):
-    df = verdicts.verdicts(answered(spark, sf), FLAGS, {}, ["relevant"])
+    df = verdicts.verdicts(answered(spark, sf, "relevant"), FLAGS, {}, ["relevant"])
     return verdicts.top_n(df, 10, FLAGS, {}, "doc_id").select("doc_id", F.col("relevant.noul").alias("relevant"), F.col("relevant_verdict").alias("verdict"), "nearness")
 
 
 @query(sql("SELECT lang, relevant_verdict AS verdict, count(*) AS n FROM c GROUP BY ALL"))
 def verdict_counts(spark, sf):
-    df = verdicts.verdicts(answered(spark, sf), FLAGS, {}, ["relevant"])
+    df = verdicts.verdicts(answered(spark, sf, "relevant"), FLAGS, {}, ["relevant"])
     return df.groupBy("lang", F.col("relevant_verdict").alias("verdict")).agg(F.count("*").alias("n"))
 
 
@@ -73,7 +73,7 @@ def report_counts(spark, sf):
 
 @query(sql("SELECT doc_id, greatest(bug - 0.5::DOUBLE, bug - 0.5::DOUBLE) AS nearness, greatest(bug, 0) AS strength FROM c ORDER BY nearness DESC, doc_id LIMIT 25"))
 def match_top_n(spark, sf):
-    df = verdicts.top_n(answered(spark, sf), 25, {}, MATCHES, "doc_id")
+    df = verdicts.top_n(answered(spark, sf, "queue", "impact"), 25, {}, MATCHES, "doc_id")
     return df.select("doc_id", "nearness", verdicts.strength(MATCHES["queue"], F.col("queue")).alias("strength"))
 
 
@@ -83,12 +83,12 @@ def match_top_n(spark, sf):
 @query(sql("SELECT doc_id, choice AS first_key, CASE WHEN choice = 'billing' THEN CASE WHEN bug >= other THEN 'bug' ELSE 'other' END WHEN choice = 'bug' THEN CASE WHEN billing >= other THEN 'billing' ELSE 'other' END ELSE CASE WHEN billing >= bug THEN 'billing' ELSE 'bug' END END AS second_key, round(top - mid, 9) AS margin FROM c"))
 def choice_ranked_margin(spark, sf):
     r = dist.ranked(F.col("queue.probs"))
-    return answered(spark, sf).select("doc_id", r[0]["key"].alias("first_key"), r[1]["key"].alias("second_key"), r9(dist.margin(F.col("queue.probs"))).alias("margin"))
+    return answered(spark, sf, "queue").select("doc_id", r[0]["key"].alias("first_key"), r[1]["key"].alias("second_key"), r9(dist.margin(F.col("queue.probs"))).alias("margin"))
 
 
 @query(sql("SELECT doc_id, choice, top AS p FROM c"))
 def choice_argmax(spark, sf):
-    return answered(spark, sf).select("doc_id", "queue.choice", dist.top(F.col("queue.probs")).alias("p"))
+    return answered(spark, sf, "queue").select("doc_id", "queue.choice", dist.top(F.col("queue.probs")).alias("p"))
 
 
 _CERTAINTY = "least(1, greatest(0, 1 - (-billing * ln(billing) - bug * ln(bug) - other * ln(other)) / ln(3)))"
@@ -96,7 +96,7 @@ _CERTAINTY = "least(1, greatest(0, 1 - (-billing * ln(billing) - bug * ln(bug) -
 
 @query(sql(f"SELECT doc_id, round({_CERTAINTY}, 9) AS certainty FROM c"))
 def entropy_measure(spark, sf):
-    return answered(spark, sf).select("doc_id", r9(dist.certainty(F.col("queue.probs"))).alias("certainty"))
+    return answered(spark, sf, "queue").select("doc_id", r9(dist.certainty(F.col("queue.probs"))).alias("certainty"))
 
 
 @query(
@@ -114,7 +114,7 @@ def measures_all(spark, sf):
         return dist.measure(a["type"], name, a["probs"], a["noul"], a["confidence"], option)
 
     value = lambda *a: r9(m(*a)["value"])
-    return answered(spark, sf).select(
+    return answered(spark, sf, "relevant", "queue").select(
         "doc_id",
         value("relevant", "top").alias("noul_top"),
         value("relevant", "margin").alias("noul_margin"),
@@ -133,12 +133,12 @@ def measures_all(spark, sf):
 @query(sql("SELECT doc_id, CASE greatest(p0, p1, p2, p3, p4) WHEN p0 THEN 0 WHEN p1 THEN 1 WHEN p2 THEN 2 WHEN p3 THEN 3 ELSE 4 END::INTEGER AS level, round(score, 9) AS score, round(score / 4, 9) AS normalized FROM c"))
 def score_level_normalized(spark, sf):
     a = F.col("impact")
-    return answered(spark, sf).select("doc_id", dist.level(a["probs"]).alias("level"), r9(a["score"]).alias("score"), r9(dist.normalized(a["score"], 5)).alias("normalized"))
+    return answered(spark, sf, "impact").select("doc_id", dist.level(a["probs"]).alias("level"), r9(a["score"]).alias("score"), r9(dist.normalized(a["score"], 5)).alias("normalized"))
 
 
 @query(sql("SELECT doc_id, round(bug ** 0.5 / (billing ** 0.5 + bug ** 0.5 + other ** 0.5), 9) AS p_bug FROM c"))
 def temperature_scaled(spark, sf):
-    return answered(spark, sf).select("doc_id", r9(dist.prob(dist.temperature(F.col("queue.probs"), 2.0), "bug")).alias("p_bug"))
+    return answered(spark, sf, "queue").select("doc_id", r9(dist.prob(dist.temperature(F.col("queue.probs"), 2.0), "bug")).alias("p_bug"))
 
 
 # Validation
@@ -185,8 +185,7 @@ def validate_full_outer(spark, sf):
 def _gated(spark, sf, rule):
     df = answered(spark, sf)
     a = {k: gate.gate_input(F.when(F.col("doc_id") % 11 == 0, None).otherwise(F.col(k)) if k == "queue" else F.col(k)) for k in TRIAGE.questions}
-    d = rule.evaluate(a)
-    out = df.select("doc_id", d.alias("d"))
+    out = gate.decide(df, rule, a, "d")
     return out.select("doc_id", gate.outcome_name(F.col("d.outcome")).alias("outcome"), "d.rule", "d.weakest", r9(F.col("d.value")).alias("value"), "d.missing", F.size("d.readings").alias("n_readings"))
 
 
@@ -258,11 +257,12 @@ def gate_compose(spark, sf):
 _PARTS = f"p AS (SELECT doc_id, i + 1 AS n, greatest(ceil(length(text) / 512.0), 1)::INTEGER AS of, substr(text, i * 512 + 1, 512) AS part FROM documents, unnest(range(greatest(ceil(length(text) / 512.0), 1)::BIGINT)) AS u(i)), a AS (SELECT *, length(part) AS size, {h('relevant', 'part')} AS noul FROM p)"
 
 
-def _parts(spark, sf):
+def _parts(spark, sf, key="relevant"):
     docs = table(spark, sf, "documents").select("doc_id", "text", F.greatest(F.ceil(F.length("text") / 512), F.lit(1)).cast("int").alias("of"))
     rows = docs.select("doc_id", "of", "text", F.explode(F.sequence(F.lit(1), F.col("of"))).alias("n"))
     rows = rows.withColumn("part", F.expr("substring(text, (n - 1) * 512 + 1, 512)"))
-    return rows.select("doc_id", "n", "of", F.lit("").alias("lines"), F.length("part").alias("size"), F.lit("complete").alias("status"), hash_answer("relevant", TRIAGE.questions["relevant"], F.col("part")).alias("answer"), hash_answer("queue", TRIAGE.questions["queue"], F.col("part")).alias("queue"), "part")
+    rows = rows.select("doc_id", "n", "of", F.lit("").alias("lines"), F.length("part").alias("size"), F.lit("complete").alias("status"), "part")
+    return hash_answers(rows, {key: TRIAGE.questions[key]}, "part").withColumnRenamed(key, "answer").drop("part")
 
 
 @query(f"WITH {_PARTS} SELECT doc_id, round(sum(CASE WHEN size > 0 THEN size ELSE 1 END * noul) / sum(CASE WHEN size > 0 THEN size ELSE 1 END), 9) AS noul FROM a GROUP BY doc_id")
@@ -284,7 +284,7 @@ _WQ = ", ".join(f"{h(f'queue|{o}', 'part')} AS w_{o}" for o in ("billing", "bug"
     + " FROM q GROUP BY doc_id) SELECT doc_id, billing, bug, other FROM m"
 )
 def combine_choice(spark, sf):
-    df = combine.combine_answers(_parts(spark, sf).drop("answer"), "doc_id", answer="queue")
+    df = combine.combine_answers(_parts(spark, sf, "queue"), "doc_id")
     return df.select("doc_id", *(r9(dist.prob(F.col("answer.probs"), o)).alias(o) for o in ("billing", "bug", "other")))
 
 
@@ -299,7 +299,7 @@ def item_status(spark, sf):
 
 @query(sql("SELECT doc_id, row_number() OVER (ORDER BY relevant DESC, source, doc_id) AS position, relevant FROM c"))
 def rerank(spark, sf):
-    df = rank.check_observations(answered(spark, sf).select("doc_id", "source", F.col("relevant.noul").alias("relevant")), "relevant")
+    df = rank.check_observations(answered(spark, sf, "relevant").select("doc_id", "source", F.col("relevant.noul").alias("relevant")), "relevant")
     return rank.rerank(df, "relevant", "source", "doc_id").select("doc_id", "position", "relevant")
 
 
@@ -307,7 +307,7 @@ _RANKED = "r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY relevant DE
 
 
 def _ranked(spark, sf):
-    df = answered(spark, sf).select("doc_id", "source", "n_chars", F.col("relevant.noul").alias("relevant"))
+    df = answered(spark, sf, "relevant").select("doc_id", "source", "n_chars", F.col("relevant.noul").alias("relevant"))
     return rank.rerank(df, "relevant", "source", "doc_id")
 
 
@@ -352,7 +352,7 @@ def preference_cycle(spark, sf):
 
 @query(sql("SELECT list_sort(list(DISTINCT 'm' || (doc_id % 3)) FILTER (doc_id % 3 <> 0))[1] AS first_model, count(DISTINCT doc_id % 3)::INTEGER - 1 AS n_models, true AS unknown_model FROM c"))
 def model_provenance(spark, sf):
-    df = answered(spark, sf).select(F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("m"), F.col("doc_id") % 3)).otherwise("").alias("model"), F.lit("relevant").alias("question_key"))
+    df = answered(spark, sf, "relevant").select(F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("m"), F.col("doc_id") % 3)).otherwise("").alias("model"), F.lit("relevant").alias("question_key"))
     return rank.provenance(df).select(F.col("models")[0].alias("first_model"), F.size("models").alias("n_models"), "unknown_model")
 
 
@@ -544,25 +544,25 @@ def best_threshold(spark, sf):
 
 @query(sql("SELECT lang, round(corr(ra, rb), 9) AS spearman FROM (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY relevant) + (count(*) OVER (PARTITION BY lang, relevant) - 1) / 2 AS ra, rank() OVER (PARTITION BY lang ORDER BY bug) + (count(*) OVER (PARTITION BY lang, bug) - 1) / 2 AS rb FROM c) GROUP BY lang"))
 def spearman_runs(spark, sf):
-    df = answered(spark, sf).select("lang", F.col("relevant.noul").alias("a"), dist.prob(F.col("queue.probs"), "bug").alias("b"))
+    df = answered(spark, sf, "relevant", "queue").select("lang", F.col("relevant.noul").alias("a"), dist.prob(F.col("queue.probs"), "bug").alias("b"))
     return metrics.spearman(df, "a", "b", ["lang"]).withColumn("spearman", r9(F.col("spearman")))
 
 
 @query(sql("SELECT count(*) AS n, round(avg(abs(relevant - bug)), 9) AS mean_diff, round(max(abs(relevant - bug)), 9) AS max_diff, count_if(abs(relevant - bug) > 0.2) AS n_large FROM c"))
 def run_difference(spark, sf):
-    df = answered(spark, sf).select(F.col("relevant.noul").alias("a"), dist.prob(F.col("queue.probs"), "bug").alias("b"))
+    df = answered(spark, sf, "relevant", "queue").select(F.col("relevant.noul").alias("a"), dist.prob(F.col("queue.probs"), "bug").alias("b"))
     return metrics.run_difference(df, "a", "b").withColumns({c: r9(F.col(c)) for c in ("mean_diff", "max_diff")})
 
 
 @query(sql("SELECT count(*) AS shared FROM ((SELECT doc_id FROM c ORDER BY relevant DESC, doc_id LIMIT 30) INTERSECT (SELECT doc_id FROM c ORDER BY bug DESC, doc_id LIMIT 30))"))
 def shared_top(spark, sf):
-    df = answered(spark, sf).select("doc_id", F.col("relevant.noul").alias("a"), dist.prob(F.col("queue.probs"), "bug").alias("b"))
+    df = answered(spark, sf, "relevant", "queue").select("doc_id", F.col("relevant.noul").alias("a"), dist.prob(F.col("queue.probs"), "bug").alias("b"))
     return metrics.shared_top(df, "a", "b", "doc_id")
 
 
 @query(sql("SELECT source, max_by(doc_id, (relevant, -doc_id)) AS doc_id, max(relevant) AS relevant FROM c GROUP BY source"))
 def best_per_source(spark, sf):
-    df = answered(spark, sf).select("source", "doc_id", F.col("relevant.noul").alias("relevant"))
+    df = answered(spark, sf, "relevant").select("source", "doc_id", F.col("relevant.noul").alias("relevant"))
     return metrics.best_of(df, "source", F.struct("relevant", -F.col("doc_id")), ["doc_id", "relevant"])
 
 
@@ -688,7 +688,7 @@ def text_functions(spark, sf):
 @query(sql("SELECT doc_id, round_even(relevant * 100, 0)::INTEGER || '%' AS percent, 'doc' || doc_id || '.txt' AS file, (doc_id + 1)::INTEGER AS line FROM c"))
 def percent_and_location(spark, sf):
     loc = text.location(F.concat(F.lit("doc"), "doc_id", F.lit(".txt:"), F.col("doc_id") + 1))
-    return answered(spark, sf).select("doc_id", text.percent(F.col("relevant.noul")).alias("percent"), loc["file"].alias("file"), loc["line"].alias("line"))
+    return answered(spark, sf, "relevant").select("doc_id", text.percent(F.col("relevant.noul")).alias("percent"), loc["file"].alias("file"), loc["line"].alias("line"))
 
 
 # The scorer through Python, and a whole run
@@ -827,7 +827,7 @@ def annotation_places(spark, sf):
 def sticky_marks(spark, sf):
     from ..streaming import collector
 
-    v = answered(spark, sf).select(F.concat(F.lit("w"), F.col("doc_id") % 7).alias("request_id"), F.col("doc_id").alias("seq"), (F.col("relevant.noul") >= 0.6).alias("flagged"), F.lit("x").alias("text"))
+    v = answered(spark, sf, "relevant").select(F.concat(F.lit("w"), F.col("doc_id") % 7).alias("request_id"), F.col("doc_id").alias("seq"), (F.col("relevant.noul") >= 0.6).alias("flagged"), F.lit("x").alias("text"))
     m = collector.marks(v)
     return m.select("request_id", "flagged", F.size(F.split("texts", "; ")).cast("long").alias("checked"))
 

@@ -46,6 +46,21 @@ def _answer(kind: str, **parts: Column) -> Column:
     return F.struct(F.lit(kind).alias("type"), *((parts[k] if k in parts else F.lit(None)).cast(t).alias(k) for k, t in types.items()))
 
 
+def hash_answers(items: DataFrame, questions: dict, state: str = "state") -> DataFrame:
+    """``items`` with one ANSWER column for each question, named by its key.
+
+    Answers are unpacked from a one-element array: the optimizer does not
+    merge projections across that, so each answer is computed once, however often it is read.
+    """
+    answers = F.struct(*(hash_answer(k, q, F.col(state)).alias(k) for k, q in questions.items()))
+    return items.select(*(c for c in items.columns if c not in questions), F.inline(F.array(answers)))
+
+
+def _answer(kind: str, **parts: Column) -> Column:
+    types = {"noul": "double", "choice": "string", "score": "double", "confidence": "double", "probs": "array<struct<key:string,p:double>>", "legend": "array<struct<key:string,label:string>>", "raw": "string", "decode_error": "string"}
+    return F.struct(F.lit(kind).alias("type"), *((parts[k] if k in parts else F.lit(None)).cast(t).alias(k) for k, t in types.items()))
+
+
 def hash_answers(items: DataFrame, questions: dict, state: str = "state") -> DataFrame:
     """``items`` with one ANSWER column for each question, named by its key."""
     return items.withColumns({k: hash_answer(k, q, F.col(state)) for k, q in questions.items()})

@@ -37,6 +37,12 @@ def test_held_out_accuracy(model):
     assert sum(g == y for g, (*_, y) in zip(got, rows, strict=True)) >= 290
 
 
+def test_automaton_gives_the_bag_mean(model):
+    values = T.Values(model)
+    for w in ["zwork", "zw", "z", "", "!!", "quibber", "Quibbers.", "lo", "kalo", "zworkzwork", "é漢", "<zwork>"]:
+        assert values[w.encode()] == pytest.approx(model.word(w.encode()), abs=1e-12)
+
+
 def test_unseen_misspellings_and_empty(model):
     assert odds(model, "loka zworkz miren") > 0.5 > T.THRESHOLD > odds(model, "loka renmi tuvo")
     assert 0 <= odds(model, "") < T.THRESHOLD

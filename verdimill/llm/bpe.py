@@ -35,7 +35,21 @@ from .common import small_batches, tidied
 #: No match of the pattern depends on characters more than this far behind its end.
 LOOK = 3
 #: Characters of a leaf, bytes of a match that is merged without a tree, entries of the caches.
-LEAF, SHORT, CACHE = 4096, 64, 100_000
+LEAF, SHORT, CACHE = 4096, 64, 250_000
+
+
+class _Known(dict):
+    """Ids of the matches seen first; what comes when it is full, and long matches, are encoded each time."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, match: str) -> bytes:
+        ids = self.encode(match)
+        if len(self) < CACHE and len(match) <= SHORT:
+            self[match] = ids
+        return ids
 
 
 class Codec:
@@ -45,7 +59,7 @@ class Codec:
         self.ranks = ranks
         self.vocab = {i: b for b, i in ranks.items()}
         self.split = regex.compile(pattern)
-        self._ids: dict[str, bytes] = {}
+        self._ids = _Known(self.ids_of)
         self._fits: dict[tuple[int, int], bool] = {}
 
     @classmethod
@@ -125,16 +139,9 @@ class Codec:
 
     def ids_of(self, match: str) -> bytes:
         """Ids of one match of the pattern, as little-endian 32-bit integers."""
-        got = self._ids.get(match)
-        if got is None:
-            data = match.encode("utf-8")
-            whole = self.ranks.get(data)
-            got = np.array(self._tree(data) if whole is None else [whole], "<u4").tobytes()
-            if len(match) <= SHORT:
-                if len(self._ids) >= CACHE:
-                    self._ids.clear()
-                self._ids[match] = got
-        return got
+        data = match.encode("utf-8")
+        whole = self.ranks.get(data)
+        return np.array(self._tree(data) if whole is None else [whole], "<u4").tobytes()
 
     def join_matches(self, left: list[str], right: list[str]) -> list[str]:
         """The matches of two texts in a row from the matches of each."""
@@ -172,7 +179,7 @@ class Codec:
         return self.join_matches(self.matches(text[:half]), self.matches(text[half:]))
 
     def encode_bytes(self, text: str) -> bytes:
-        return b"".join(map(self.ids_of, self.matches(text)))
+        return b"".join(map(self._ids.__getitem__, self.matches(text)))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()

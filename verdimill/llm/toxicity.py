@@ -19,6 +19,7 @@ import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,7 +36,7 @@ MIN_STRENGTH = 4.0
 #: Texts shorter than this are averaged as if neutral words filled them up.
 LEAST = 8
 THRESHOLD = 0.3
-CACHE = 60_000
+CACHE = 200_000
 _EDGE = b".,;:!?\"'()[]{}*#$%&"
 
 
@@ -61,6 +62,34 @@ class Model:
         return sum(self.share[g] * bag.count(g) for g in known) / len(bag) if known else 0.0
 
 
+class Values(dict):
+    """The values of words under a model: those seen first are kept, others are computed each time.
+
+    An automaton finds the telling n-grams of a word; the words of a corpus are too many for a lookup of each n-gram.
+    """
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.share = model.share
+        self.automaton = ahocorasick.Automaton()
+        for gram, x in model.share.items():
+            if GRAMS[0] <= len(gram) <= GRAMS[-1]:
+                self.automaton.add_word(gram, x)
+        self.automaton.make_automaton()
+
+    def __missing__(self, w: bytes) -> float:
+        marked = f"<{w.strip(_EDGE).decode('utf-8', 'replace').lower()}>"
+        n = len(marked)
+        value = self.share.get(marked, 0.0)  # the word itself; its n-grams follow
+        if len(self.automaton):
+            value += sum(x for _, x in self.automaton.iter(marked))
+        if value:
+            value /= 1 + sum(max(n - k + 1, 0) for k in GRAMS)
+        if len(self) < CACHE:
+            self[w] = value
+        return value
+
+
 def _passages(n: int) -> np.ndarray:
     """Starts of the passages of n words: PASSAGE long, half overlapping, the last one at the end."""
     if n <= PASSAGE:
@@ -241,7 +270,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
 
 
 #: The model of this process and the values of words seen.
-_LOADED: dict[str, tuple[Model, dict[bytes, float]]] = {}
+_LOADED: dict[str, tuple[Model, Values]] = {}
 
 
 def score_documents(documents: DataFrame, model: Model | None) -> DataFrame:
@@ -261,16 +290,13 @@ def score_documents(documents: DataFrame, model: Model | None) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _LOADED:
             _LOADED.clear()
-            _LOADED[name] = pickle.loads(sent.value), {}
+            m = pickle.loads(sent.value)
+            _LOADED[name] = m, Values(m)
         m, known = _LOADED[name]
         for batch in batches:
             found = []
             for t in batch.column(batch.schema.get_field_index("text")):
                 words = (t.as_py() or "").encode().split()
-                if len(known) > CACHE:
-                    known.clear()
-                for w in set(words).difference(known):
-                    known[w] = m.word(w)
                 found.append(_score(log_odds(words, known), m))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()) if n == "score" else c for n, c in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names)
 

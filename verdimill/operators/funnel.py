@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Limits up to this are joined by broadcast.
+SMALL_LIMIT = 10_000
+
+
 @dataclass(frozen=True)
 class Stage:
     """name; ask adds answers to survivors; keep decides; rank and limit take the best; error marks items that failed."""
@@ -33,8 +37,8 @@ def run_stage(items: DataFrame, stage: Stage, index: str) -> DataFrame:
     order = ([F.col("_rank").desc()] if stage.rank is not None else []) + [F.col(index)]
     if stage.rank is not None:
         asked = asked.withColumn("_rank", stage.rank)
-    best = asked.where("cause IS NULL").orderBy(*order).limit(stage.limit).select(F.col(index).alias("_best"))  # ``limit`` rows
-    out = asked.join(F.broadcast(best), F.col(index) == F.col("_best"), "left")
+    best = asked.where("cause IS NULL").orderBy(*order).limit(stage.limit).select(F.col(index).alias("_best"))
+    out = asked.join(F.broadcast(best) if stage.limit <= SMALL_LIMIT else best, F.col(index) == F.col("_best"), "left")
     return out.withColumn("cause", F.when(F.col("cause").isNull() & F.col("_best").isNull(), "limit").otherwise(F.col("cause"))).drop("_best", "_rank")
 
 

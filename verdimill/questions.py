@@ -154,6 +154,7 @@ class Condition:
         return f"{self.op} {self.value:g}" if self.answer is None else f"{self.answer} {self.op} {self.value * 100:g}%"
 
 
+# Fixed value: the form of a condition with a threshold.
 _THRESHOLD = re.compile(r"(.*?)\s*(>=|>)\s*([0-9.]+)\s*%", re.S)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import code
 
+# Patterns of the diff format and of generated files.
 HUNK = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)")
 COMMIT = re.compile(r"(?:commit|From) ([0-9a-f]{7,64})\b")
 GENERATED = re.compile(r"\s*(?://|#|/\*|\*|<!--|--)\s*(?:Code generated .* DO NOT EDIT\.|@generated\b)")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+# Line patterns of the Markdown syntax.
 FENCE = re.compile(r"\s{0,3}(`{3,}|~{3,})")
 ATX = re.compile(r"\s{0,3}(#{1,6})(?:\s+(.*?))?(?:\s+#+)?\s*$")
 RULE = re.compile(r"\s{0,3}(?:(?:-\s*){3,}|(?:\*\s*){3,}|(?:_\s*){3,})$")

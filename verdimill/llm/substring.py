@@ -36,7 +36,7 @@ HASHES = 4
 #: For each function, words from the token's start to the right, or (negative) from its end to the left, that must be equal.
 CONTEXTS = (10, -10, 20, -20)
 #: Rows that a task collapses at once, words whose hash a task remembers.
-BUFFER, CACHE = 300_000, 100_000
+BUFFER, CACHE = 500_000, 200_000
 #: Links are merged if their offsets differ by less than this.
 DIAGONAL = 64
 #: Words between matching shingles that still belong to one passage.
@@ -54,20 +54,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
+class _Known(dict):
+    """Hashes of the words seen first; what comes when it is full is hashed each time."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < CACHE:
+            self[word] = h
+        return h
+
+
 class Words:
     """Hashes of words, remembered for a task."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.known = _Known()
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
 
 def _sums(h: np.ndarray):

@@ -36,7 +36,7 @@ HASHES = 4
 #: For each function, words from the token's start to the right, or (negative) from its end to the left, that must be equal.
 CONTEXTS = (10, -10, 20, -20)
 #: Rows that a task collapses at once, words whose hash a task remembers.
-BUFFER, CACHE = 500_000, 200_000
+BUFFER, CACHE = 500_000, 500_000
 #: Links are merged if their offsets differ by less than this.
 DIAGONAL = 64
 #: Words between matching shingles that still belong to one passage.

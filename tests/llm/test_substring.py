@@ -101,3 +101,17 @@ def test_documents_hold_what_is_reported(spark, sf):
             grams.setdefault(tuple(docs[i][k : k + 60]), set()).add(i)
     want = {max(s) for s in grams.values() if len(s) > 1}
     assert want <= found
+
+
+def test_near_passages_of_fifty_words_and_more(spark):
+    """Two documents each that share only 50 to 60 words with one edit anywhere; none is missed."""
+    rng = random.Random(8)
+    docs, want = [], set()
+    for t in range(400):
+        p = words(rng, rng.randrange(50, 61))
+        q, at = list(p), rng.randrange(5, len(p) - 5)
+        q[at : at + 1] = [["changed"], ["put", q[at]]][t % 2]
+        docs += [(2 * t, words(rng, rng.randrange(90)) + p + words(rng, rng.randrange(90))), (2 * t + 1, words(rng, rng.randrange(90)) + q + words(rng, rng.randrange(90)))]
+        want.add((2 * t + 1, 2 * t))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(5)
+    assert {(g[0], g[3]) for g in spans(df)} == want

@@ -4,16 +4,17 @@ Tokens are 5-word shingles, hashed by HASHES functions.  For one function, the
 Cartesian tree of a text's token hashes assigns every subsequence to the node
 of its smallest hash: node c with range [l, r) stands for all subsequences
 of [l, r) that hold c, and they all have the min-hash of c.  Nodes narrower than a
-passage are left out, so a text of n words has about 2 n / MIN_WORDS windows
-for each function.  Two texts that share a passage of MIN_WORDS words or more
-have, for every function, windows of equal hash that hold the passage.
-
-Windows are joined on the hash of their token and of some words beside it, to
-the right for some functions and to the left for others, so that a common
-phrase does not hide a longer passage.  A group of equal hashes is not
-expanded into pairs: each member is linked to the group's first text (smallest
-doc_id).  Groups are collapsed in each task before the shuffle: a group sends
-one row for each task.  Links of two texts are merged by diagonal into
+run are left out, so a text of n words has about 2 n / RUN windows for each
+function.  A break in a passage costs at least nine shingles, so a passage of
+MIN_WORDS words and SIMILARITY holds a run of RUN equal shingles (25 words),
+unless its shingles repeat within it: two texts that share it have, for every
+function, windows of equal hash that hold the run.
+
+Of 25 words around a token at least SIDE lie on one side of it (the token
+included).  So windows are joined on the SIDE words to the right of the token's
+start, and again on those to the left of its end: one of both keys is equal.
+A group of equal hashes is not expanded into pairs: each member is linked to
+the group's first text (smallest doc_id).  Links of two texts are merged by diagonal into
 intervals, the words of the intervals are fetched, and aligned shingles
 decide: MIN_WORDS words or more on both sides and a similarity of SIMILARITY.
 """
@@ -32,10 +33,10 @@ from pyspark.sql import functions as F
 from .common import WORD, settle, small_batches, text_bytes, tidied
 
 SHINGLE, MIN_WORDS, SIMILARITY = 5, 50, 0.8
-HASHES = 4
-#: For each function, words from the token's start to the right, or (negative) from its end to the left, that must be equal.
-CONTEXTS = (10, -10, 20, -20)
-#: Rows that a task collapses at once, words whose hash a task remembers.
+HASHES = 1
+#: Equal shingles in a row that every passage holds, and words on one side of each of its tokens.
+RUN, SIDE = 21, 15
+#: Window rows that a task sends at once, words whose hash a task remembers.
 BUFFER, CACHE = 500_000, 500_000
 #: Links are merged if their offsets differ by less than this.
 DIAGONAL = 64
@@ -137,25 +138,22 @@ def _windows(data: bytes, words: Words):
     total, back = _sums(h)
     ties = len(np.unique(s)) < len(s)
     keys, places = [], []
-    for seed, context in zip(_SEEDS, CONTEXTS, strict=True):
+    for seed in _SEEDS:
         v = _mix(s ^ seed)
-        l, c, r = compact_windows(v, MIN_WORDS - SHINGLE + 1, ties)
-        frm, to = (c, np.minimum(c + context, n)) if context > 0 else (np.maximum(c + SHINGLE + context, 0), c + SHINGLE)
-        keys.append(_mix(v[c] ^ (total[to] - total[frm]) * back[frm]))
-        places.append(_pack(l, c, r))
+        l, c, r = compact_windows(v, RUN, ties)
+        places_of = _pack(l, c, r)
+        for side, frm in enumerate((c, c + SHINGLE - SIDE)):
+            use = (frm >= 0) & (frm + SIDE <= n)
+            frm = frm[use]
+            keys.append(_mix(_mix(v[c[use]] + _U(side)) ^ (total[frm + SIDE] - total[frm]) * back[frm]))
+            places.append(places_of[use])
     return np.concatenate(keys).view(np.int64), np.concatenate(places)
 
 
-_COLUMNS = ("key", "doc", "pos", "doc2", "pos2")
+_COLUMNS = ("key", "doc", "pos")
 _SCHEMA = ", ".join(f"{c} long" for c in _COLUMNS)
 
 
-def _batch(columns: list[np.ndarray], mask: np.ndarray | None = None) -> pa.RecordBatch:
-    arrays = [pa.array(c, pa.int64()) for c in columns[:3]]
-    arrays += [pa.array(c, pa.int64(), mask=mask) for c in columns[3:]]
-    return pa.RecordBatch.from_arrays(arrays, names=list(_COLUMNS))
-
-
 def _leaders(key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """For each row, the row of its key with the smallest doc and position."""
     order = np.lexsort((pos, doc, key))
@@ -166,19 +164,11 @@ def _leaders(key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return out
 
 
-def _collapse(key, doc, pos) -> Iterator[pa.RecordBatch]:
-    """One row for each key of a task, and links of the others to it."""
-    lead = _leaders(key, doc, pos)
-    rep = lead == np.arange(len(key))
-    yield _batch([key[rep], doc[rep], pos[rep], doc[rep], pos[rep]], np.ones(int(rep.sum()), bool))
-    link = ~rep & (doc != doc[lead])
-    if link.any():
-        to = lead[link]
-        yield _batch([key[link], doc[link], pos[link], doc[to], pos[to]])
-
-
 def window_rows(documents: DataFrame) -> DataFrame:
-    """Windows (doc2 null) and links within a task (doc2, pos2) of all texts, by key."""
+    """Windows of all texts; none is left out before its whole group is together."""
+
+    def batch_of(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held, strict=True)], names=list(_COLUMNS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, rows = Words(), [], 0
@@ -190,10 +180,10 @@ def window_rows(documents: DataFrame) -> DataFrame:
                 held.append((got[0], np.full(len(got[0]), doc, np.int64), got[1]))
                 rows += len(got[0])
                 if rows >= BUFFER:
-                    yield from _collapse(*map(np.concatenate, zip(*held, strict=True)))
+                    yield batch_of(held)
                     held, rows = [], 0
         if held:
-            yield from _collapse(*map(np.concatenate, zip(*held, strict=True)))
+            yield batch_of(held)
 
     return small_batches(documents).where("doc_id IS NOT NULL").select("doc_id", text_bytes().alias("text")).mapInArrow(tidied(run), _SCHEMA)
 
@@ -208,9 +198,9 @@ def _links(doc, pos, doc2, pos2) -> pa.RecordBatch:
     l, c, r = _unpack(pos)
     l2, c2, r2 = _unpack(pos2)
     left, right = np.minimum(c - l, c2 - l2), np.minimum(r - c, r2 - c2)
-    slack = (left + right) // 4
-    use = left + right >= int(SIMILARITY * (MIN_WORDS - SHINGLE))
-    cols = [doc, doc2, np.maximum(l, c - left - slack), np.minimum(r, c + right + slack) + SHINGLE - 1, np.maximum(l2, c2 - left - slack), np.minimum(r2, c2 + right + slack) + SHINGLE - 1, (c - c2) // DIAGONAL]
+    use = left + right >= RUN
+    # An edit ends the windows, not the passage: a passage's length more is fetched on both sides.
+    cols = [doc, doc2, np.maximum(0, c - left - MIN_WORDS), c + right + SHINGLE - 1 + MIN_WORDS, np.maximum(0, c2 - left - MIN_WORDS), c2 + right + SHINGLE - 1 + MIN_WORDS, (c - c2) // DIAGONAL]
     return pa.RecordBatch.from_arrays([pa.array(x[use], pa.int64()) for x in cols], names=["a", "b", "a_from", "a_to", "b_from", "b_to", "diagonal"])
 
 
@@ -231,11 +221,6 @@ def candidate_links(rows: DataFrame) -> DataFrame:
                     yield _links(doc[use], pos[use], doc[lead[use]], pos[lead[use]])
 
         for batch in batches:
-            linked = np.asarray(batch.column(3).is_valid())
-            if linked.any():
-                part = batch.filter(pa.array(linked))
-                yield _links(*(part.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 4)))
-                batch = batch.filter(pa.array(~linked))
             x = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
             if held is not None:
                 x = np.concatenate([held, x], axis=1)

@@ -115,3 +115,19 @@ def test_near_passages_of_fifty_words_and_more(spark):
         want.add((2 * t + 1, 2 * t))
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(5)
     assert {(g[0], g[3]) for g in spans(df)} == want
+
+
+def test_a_fragment_hides_no_passage(spark):
+    """The first text of a group holds only a part of what the others share; so do several groups of them."""
+    rng = random.Random(9)
+    line, docs, want = words(rng, 30), [], set()
+    for k in range(30):  # 49 of 51 words stand in an earlier text
+        p = words(rng, 51)
+        docs += [(k, words(rng, 40) + p[1:50] + words(rng, 40))] + [(100 + 10 * k + i, words(rng, 30) + p + words(rng, 30)) for i in range(3)]
+        want |= {(100 + 10 * k + i, 30, 81, 100 + 10 * k, 30, 81) for i in (1, 2)}
+    q = [line + words(rng, 40) for _ in range(6)]
+    docs += [(40, words(rng, 20) + line + words(rng, 50))] + [(1000 + i, words(rng, 30) + q[i % 6] + words(rng, 30)) for i in range(60)]
+    want |= {(1000 + i, 30, 100, 1000 + i % 6, 30, 100) for i in range(6, 60)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(7)
+    got = spans(df)
+    assert want <= set(got) and {g[0] for g in got} == {g[0] for g in want}

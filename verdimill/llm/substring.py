@@ -14,7 +14,12 @@ Of 25 words around a token at least SIDE lie on one side of it (the token
 included).  So windows are joined on the SIDE words to the right of the token's
 start, and again on those to the left of its end: one of both keys is equal.
 A group of equal hashes is not expanded into pairs: each member is linked to
-the group's first text (smallest doc_id).  Links of two texts are merged by diagonal into
+the group's first text (smallest doc_id).  Where a group of three or more has a
+member whose link did not prove right, the words around its members' tokens are
+fetched and compared in the group: members are taken by doc_id, and each is linked to
+the earlier ones with which it shares a passage that is not yet represented.
+
+Links of two texts are merged by diagonal into
 intervals, the words of the intervals are fetched, and aligned shingles
 decide: MIN_WORDS words or more on both sides and a similarity of SIMILARITY.
 """
@@ -42,6 +47,8 @@ BUFFER, CACHE = 500_000, 500_000
 DIAGONAL = 64
 #: Words between matching shingles that still belong to one passage.
 GAP = 12
+#: Words fetched on both sides of a token where a group is compared; equal shingles there without which two members share no passage; members from which on a shingle is frequent.
+AROUND, SHARED, FREQUENT = 64, 30, 64
 _FAR = 65535
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
@@ -154,16 +161,6 @@ _COLUMNS = ("key", "doc", "pos")
 _SCHEMA = ", ".join(f"{c} long" for c in _COLUMNS)
 
 
-def _leaders(key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """For each row, the row of its key with the smallest doc and position."""
-    order = np.lexsort((pos, doc, key))
-    s = key[order]
-    first = np.maximum.accumulate(np.where(np.r_[True, s[1:] != s[:-1]], np.arange(len(order)), 0))
-    out = np.empty_like(order)
-    out[order] = order[first]
-    return out
-
-
 def window_rows(documents: DataFrame) -> DataFrame:
     """Windows of all texts; none is left out before its whole group is together."""
 
@@ -204,21 +201,34 @@ def _links(doc, pos, doc2, pos2) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x[use], pa.int64()) for x in cols], names=["a", "b", "a_from", "a_to", "b_from", "b_to", "diagonal"])
 
 
+_LINKED = ("key", "a", "pos", "b", "pos2", "many")
+
+
 def candidate_links(rows: DataFrame) -> DataFrame:
-    """Links from each window to the first text of its group; rows come sorted by key."""
+    """Each window of a group (a, pos) and the group's first one (b, pos2); rows come sorted by key.
+
+    Groups of three windows or more (``many``) have a row for each window, the first included.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: np.ndarray | None = None
 
         def links(x: np.ndarray) -> Iterator[pa.RecordBatch]:
-            key = x[0]
-            new = key[1:] != key[:-1]
-            key, doc, pos = x[:, ~(np.r_[True, new] & np.r_[new, True])]
-            if len(key):
-                lead = _leaders(key, doc, pos)
-                use = doc != doc[lead]
-                if use.any():
-                    yield _links(doc[use], pos[use], doc[lead[use]], pos[lead[use]])
+            new = x[0, 1:] != x[0, :-1]
+            x = x[:, ~(np.r_[True, new] & np.r_[new, True])]
+            if not x.shape[1]:
+                return
+            key, doc, pos = x = x[:, np.lexsort((x[2], x[1], x[0]))]
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[start, len(key)])
+            lead = np.repeat(start, size)
+            texts = np.repeat(doc[start] != doc[start + size - 1], size)
+            many = np.repeat(size > 2, size)
+            use = texts & (many | (doc != doc[lead]))
+            if use.any():
+                lead = lead[use]
+                cols = [key[use], doc[use], pos[use], doc[lead], pos[lead], many[use].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=list(_LINKED))
 
         for batch in batches:
             x = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
@@ -234,7 +244,7 @@ def candidate_links(rows: DataFrame) -> DataFrame:
         if held is not None and held.shape[1]:
             yield from links(held)
 
-    return rows.mapInArrow(tidied(run), "a long, b long, a_from long, a_to long, b_from long, b_to long, diagonal long")
+    return rows.mapInArrow(tidied(run), ", ".join(f"{c} long" for c in _LINKED))
 
 
 def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]]:
@@ -286,24 +296,15 @@ def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]
     return sorted(out)
 
 
-def near_passages(documents: DataFrame) -> DataFrame:
-    """Passages of MIN_WORDS words or more that near-equal passages of other rows repeat.
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.where("doc_id IS NOT NULL").select("doc_id", text_bytes().alias("text"))
 
-    One row for each passage and its representative: doc_id, start_word,
-    end_word, rep_doc_id, rep_start_word, rep_end_word, similarity, is_copy.
-    Copies (is_copy) point to the first text that holds the passage, by
-    doc_id; that text has a row for itself.  Word positions count ``bytes.split()``
-    of the text, from 0, ends excluded; case of A-Z does not matter.  Texts shorter
-    than a passage, null texts and rows without doc_id have none; rows with one
-    doc_id are not compared with each other.
+
+def _cut_out(asked: DataFrame, documents: DataFrame, *names: str) -> DataFrame:
+    """doc, lo, hi and ``names`` of ``asked``, and the words from lo to hi as 32-bit hashes (a shingle is five of them).
+
+    A text that is asked for often is cut where it is joined.
     """
-    rows = window_rows(documents).repartition("key").sortWithinPartitions("key")
-    links = candidate_links(rows)
-    region = links.groupBy("a", "b", "diagonal").agg(F.min("a_from").alias("a_from"), F.max("a_to").alias("a_to"), F.min("b_from").alias("b_from"), F.max("b_to").alias("b_to"))
-    region = settle(region.withColumn("pair", F.xxhash64("a", "b", "diagonal")))
-    # Words of both sides as 32-bit hashes (a shingle is five of them); a text that is asked for often is cut where it is joined.
-    ask = region.select(F.col("a").alias("doc"), F.col("a_from").alias("lo"), F.col("a_to").alias("hi")).unionByName(region.select(F.col("b").alias("doc"), F.col("b_from").alias("lo"), F.col("b_to").alias("hi"))).distinct()
-    texts = documents.where("doc_id IS NOT NULL").select("doc_id", text_bytes().alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -311,15 +312,30 @@ def near_passages(documents: DataFrame) -> DataFrame:
         h = np.zeros(0, np.uint32)
         for batch in batches:
             out = []
-            docs, lows, highs, values = (batch.column(k) for k in range(4))
+            docs, lows, highs, values = (batch.column(k) for k in (0, 1, 2, -1))
             for k in range(batch.num_rows):
                 doc, data = docs[k].as_py(), values[k].as_py()
                 if last is None or last[0] != doc or last[1] != data:
                     last, h = (doc, data), words(data.lower().split()).astype(np.uint32)
                 out.append(h[lows[k].as_py() : highs[k].as_py()].tobytes())
-            yield pa.RecordBatch.from_arrays([docs, lows, highs, pa.array(out, pa.binary())], names=["doc", "lo", "hi", "words"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], names=["doc", "lo", "hi", *names, "words"])
+
+    schema = ", ".join([*(f"{c} long" for c in ("doc", "lo", "hi", *names)), "words binary"])
+    return asked.join(_texts(documents), F.col("doc") == F.col("doc_id")).select("doc", "lo", "hi", *names, "text").mapInArrow(tidied(cut), schema)
+
+
+def _verified(links: DataFrame, documents: DataFrame) -> DataFrame:
+    """The passages of linked windows (a, pos, b, pos2), computed once."""
+
+    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _links(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))
 
-    words = ask.join(texts, F.col("doc") == F.col("doc_id")).select("doc", "lo", "hi", "text").mapInArrow(tidied(cut), "doc long, lo long, hi long, words binary")
+    links = links.select("a", "pos", "b", "pos2").mapInArrow(tidied(regions), "a long, b long, a_from long, a_to long, b_from long, b_to long, diagonal long")
+    region = links.groupBy("a", "b", "diagonal").agg(F.min("a_from").alias("a_from"), F.max("a_to").alias("a_to"), F.min("b_from").alias("b_from"), F.max("b_to").alias("b_to"))
+    region = settle(region.withColumn("pair", F.xxhash64("a", "b", "diagonal")))
+    ask = region.select(F.col("a").alias("doc"), F.col("a_from").alias("lo"), F.col("a_to").alias("hi")).unionByName(region.select(F.col("b").alias("doc"), F.col("b_from").alias("lo"), F.col("b_to").alias("hi"))).distinct()
+    words = _cut_out(ask, documents)
     for side in "ab":
         w = words.select(F.col("doc").alias("w_doc"), F.col("lo").alias("w_lo"), F.col("hi").alias("w_hi"), F.col("words").alias(f"{side}_words"))
         region = region.join(w, (F.col(side) == F.col("w_doc")) & (F.col(f"{side}_from") == F.col("w_lo")) & (F.col(f"{side}_to") == F.col("w_hi"))).drop("w_doc", "w_lo", "w_hi")
@@ -334,7 +350,89 @@ def near_passages(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.float64())], names=["doc_id", "start_word", "end_word", "rep_doc_id", "rep_start_word", "rep_end_word", "similarity"])
 
     schema = "doc_id long, start_word long, end_word long, rep_doc_id long, rep_start_word long, rep_end_word long, similarity double"
-    found = settle(region.select("a", "b", "a_from", "b_from", "a_words", "b_words").mapInArrow(tidied(verify), schema).distinct())
+    return settle(region.select("a", "b", "a_from", "b_from", "a_words", "b_words").mapInArrow(tidied(verify), schema).distinct())
+
+def _partners(docs: list[int], words: list[bytes]) -> Iterator[tuple[int, int]]:
+    """(member, earlier member of another text) of one group, in order of doc: pairs that share a passage no earlier pair of the member holds.
+
+    A member is found by its shingles outside the passages that earlier members
+    hold.  Two members with SHARED equal shingles have one in common besides the
+    SHARED - 1 most frequent of each; of these, the frequent ones are passed over.
+    """
+    h = [np.frombuffer(w, np.uint32) for w in words]
+    s = [shingles(x.astype(np.uint64)) for x in h]
+    _, flat, count = np.unique(np.concatenate(s), return_inverse=True, return_counts=True)
+    ids = np.split(flat, np.cumsum([len(x) for x in s])[:-1])
+    sets: dict[int, np.ndarray] = {}
+    by: dict[int, list[int]] = {}
+    for i, places in enumerate(ids):
+        own = np.unique(places)
+        own = own[count[own] > 1]
+        if len(own) < SHARED:
+            continue
+        order = own[np.argsort(-count[own], kind="stable")]
+        rare = order[(np.arange(len(order)) >= SHARED - 1) | (count[order] <= FREQUENT)].tolist()
+        open_ = own
+        for j in sorted({j for k in rare for j in by.get(k, ()) if docs[j] != docs[i]}):
+            both = np.intersect1d(own, sets[j], assume_unique=True)
+            if len(both) < SHARED or not np.isin(both, open_, assume_unique=True).any():
+                continue
+            spans = align(h[i], h[j])
+            if spans:
+                yield i, j
+            for i0, i1, *_ in spans:
+                open_ = np.setdiff1d(open_, places[i0 : i1 - SHINGLE + 1])
+        sets[i] = own
+        still = set(open_.tolist())
+        for k in rare:
+            if k in still:
+                by.setdefault(k, []).append(i)
+
+
+def regrouped(links: DataFrame, found: DataFrame, documents: DataFrame) -> DataFrame:
+    """Links (a, pos, b, pos2) within the groups in which not every member proved to share a passage with the first."""
+    many = links.where("many = 1").select("key", F.col("a").alias("doc"), "pos", "b", "pos2")
+    proved = found.select("doc_id", "rep_doc_id", "start_word", "end_word")
+    c = F.shiftright("pos", 32)
+    rejected = many.where("doc <> b OR pos <> pos2").join(proved, (F.col("doc") == F.col("doc_id")) & (F.col("b") == F.col("rep_doc_id")) & (F.col("start_word") <= c) & (c + SHINGLE <= F.col("end_word")), "left_anti")
+    members = many.join(rejected.select("key").distinct(), "key", "left_semi").select("doc", F.greatest(c - AROUND, F.lit(0)).alias("lo"), (c + SHINGLE + AROUND).alias("hi"), "key", "pos").distinct()
+    words = _cut_out(members, documents, "key", "pos").select("key", "doc", "pos", "words").repartition("key").sortWithinPartitions("key", "doc", "pos")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(group: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if group and group[0][0] != group[-1][0]:
+                docs, pos, words = zip(*group, strict=True)
+                got = [(docs[i], pos[i], docs[j], pos[j]) for i, j in _partners(docs, words)]
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], names=["a", "pos", "b", "pos2"])
+
+        last, group = None, []
+        for batch in batches:
+            for key, *row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if key != last:
+                    yield from pairs(group)
+                    last, group = key, []
+                group.append(tuple(row))
+        yield from pairs(group)
+
+    return words.mapInArrow(tidied(run), "a long, pos long, b long, pos2 long")
+
+
+def near_passages(documents: DataFrame) -> DataFrame:
+    """Passages of MIN_WORDS words or more that near-equal passages of other rows repeat.
+
+    One row for each passage and its representative: doc_id, start_word,
+    end_word, rep_doc_id, rep_start_word, rep_end_word, similarity, is_copy.
+    Copies (is_copy) point to the first text that holds the passage, by
+    doc_id; that text has a row for itself.  Word positions count ``bytes.split()``
+    of the text, from 0, ends excluded; case of A-Z does not matter.  Texts shorter
+    than a passage, null texts and rows without doc_id have none; rows with one
+    doc_id are not compared with each other.
+    """
+    rows = window_rows(documents).repartition("key").sortWithinPartitions("key")
+    links = settle(candidate_links(rows))
+    first = _verified(links.where("a <> b"), documents)
+    found = first.unionByName(_verified(regrouped(links, first, documents), documents)).distinct()
     copies = found.withColumn("is_copy", F.lit(True))
     firsts = found.select("rep_doc_id", "rep_start_word", "rep_end_word").distinct()
     firsts = firsts.select(F.col("rep_doc_id").alias("doc_id"), F.col("rep_start_word").alias("start_word"), F.col("rep_end_word").alias("end_word"), "rep_doc_id", "rep_start_word", "rep_end_word", F.lit(1.0).alias("similarity"), F.lit(False).alias("is_copy"))

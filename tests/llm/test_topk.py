@@ -47,3 +47,15 @@ def test_sql(spark, sf):
 def test_quantize():
     assert quantize([0.5, -0.001, 0.0]) == [32, -1, 0]
     assert quantize(None) is None and quantize([1.0, None]) is None and quantize([float("inf")]) is None
+
+
+def test_many_rows_with_a_querys_id(spark):
+    rng = random.Random(4)
+    rows = [(20, [5.0, 5.0, 5.0])] * 60 + [(i, [rng.random(), rng.random(), rng.random()]) for i in range(1, 50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    got, want = sorted(tuple(r)[2:] for r in top_k(df).where("query_id = 40").collect()), sorted(r[2:] for r in con.execute(TOPK_SQL).fetchall() if r[0] == 40)
+    assert got == want and len(got) == 20
+    assert top_k(df).where("query_id = 20").count() == len([r for r in con.execute(TOPK_SQL).fetchall() if r[0] == 20]) == 20

@@ -82,7 +82,7 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int):
 
 
 def tile(qid, q, cid, c, k: int):
-    """(query_id, vec_id, score) arrays: the best k of each query in one tile, the query's own row left out."""
+    """(query_id, vec_id, score) arrays: the best k of each query in one tile, rows with the query's own id left out."""
     order = np.argsort(cid, kind="stable")
     cid, c = cid[order], c[order]
     exact = q.dtype != object and c.dtype != object and (not q.size or not c.size or np.abs(q).max() * np.abs(c).max() * q.shape[1] < _EXACT)
@@ -95,9 +95,11 @@ def tile(qid, q, cid, c, k: int):
         levels = sorted({v for r in score for v in r})
         rank = {v: float(j) for j, v in enumerate(levels)}
         plain, score = score, np.array([[rank[v] for v in r] for r in score], np.float64)
+    # A query's own rows go below every score before the selection: there may be more than k of them.
+    ranked = np.where(cid == qid[:, None], -np.inf, score)
     out_q, out_c, out_s = [], [], []
-    for i, at in enumerate(_best(score, cid, k + 1)):
-        at = at[cid[at] != qid[i]][:k]
+    for i, at in enumerate(_best(ranked, cid, k)):
+        at = at[cid[at] != qid[i]]
         out_q.append(np.full(len(at), qid[i]))
         out_c.append(cid[at])
         out_s.append(score[i, at].astype(np.int64) if exact else np.array([int(plain[i][j]) for j in at], np.int64))

@@ -131,3 +131,19 @@ def test_a_fragment_hides_no_passage(spark):
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(7)
     got = spans(df)
     assert want <= set(got) and {g[0] for g in got} == {g[0] for g in want}
+
+
+def test_every_sharer_of_fifty_words_is_found(spark, sf):
+    """Brute force: each document but the first of each exact run of 50 words has a copy that holds the run's words."""
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = {r.doc_id: r.text.encode().lower().split() for r in documents.collect()}
+    grams: dict = {}
+    for i in sorted(docs):
+        for k in range(len(docs[i]) - 49):
+            grams.setdefault(tuple(docs[i][k : k + 50]), []).append((i, k))
+    want = {(i, k) for at in grams.values() for i, k in at if i != at[0][0]}
+    covered: dict = {}
+    for g in spans(documents):
+        covered.setdefault(g[0], set()).update(range(g[1], g[2]))
+    missed = sorted(w for w in want if not set(range(w[1], w[1] + 50)) <= covered.get(w[0], set()))
+    assert want and missed == []

@@ -55,3 +55,14 @@ def test_documents(spark, sf):
     for r in quality_rules(docs).collect():
         for k, v in want[r.doc_id].items():
             assert abs(r[k] - v) < 1e-9, (r.doc_id, k)
+
+
+def test_repeats_in_long_texts():
+    body = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(50)]
+    short = [x for i, line in enumerate(body) for x in (line, "-- next --")]  # half of the lines, few of the characters
+    assert not measure("\n".join(short).encode())["kept"]
+    again = [x for i, line in enumerate(body) for x in (line, *([" ".join(body[i - 1].split()[:12]) + f" tail{i}"] if i % 3 == 2 else []))]
+    got = measure("\n".join(again).encode())  # a sixth of the characters in repeated 10-grams, no repeated line
+    assert 0.10 < got["dup_10gram_share"] < 0.20 and got["n_dup_lines"] == 0 and not got["kept"]
+    once = body[:6] + [body[0]]
+    assert measure("\n".join(once).encode())["kept"]

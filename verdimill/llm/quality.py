@@ -19,9 +19,11 @@ from .common import small_batches, text_bytes, tidied
 
 SYMBOLS = b"#*$%&|<>"
 #: Highest shares of characters in duplicated n-grams, by n, and in duplicated lines.  One
-#: repeated line in a short text stays below them; the number of such lines does not count, since a short text has few.
+#: repeated line in a short text stays below them.
 MAX_NGRAM_SHARE = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
 MAX_LINE_CHARS = 0.20
+#: Lower bounds, and one on the share of lines, for texts with so many repeated lines or separate repeated passages.
+REPEATS, MAX_NGRAM_SHARE_REPEATED, MAX_LINES = 2, {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}, 0.30
 #: The base rule.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -68,7 +70,7 @@ def measure(data: bytes) -> dict:
                 seen.add(line)
     out["dup_line_share"] = out["n_dup_lines"] / n_lines if n_lines else 0.0
     out["dup_line_char_share"] = line_chars / chars if chars else 0.0
-    share = dict.fromkeys(MAX_NGRAM_SHARE, 0.0)
+    share, runs = dict.fromkeys(MAX_NGRAM_SHARE, 0.0), dict.fromkeys(MAX_NGRAM_SHARE, 0)
     if n >= 3:
         v = np.int64(len(number))
         if len(number) < 2_000_000:
@@ -96,10 +98,14 @@ def measure(data: bytes) -> dict:
                     again = _later(h ^ (h >> np.uint64(31)))
                     if not again.any():
                         break
-                    share[k] = float(points[_covered(again, k, n)].sum()) / chars
+                    inside = _covered(again, k, n)
+                    share[k] = float(points[inside].sum()) / chars
+                    runs[k] = int(inside[0]) + int((inside[1:] & ~inside[:-1]).sum())
     out |= {f"dup_{k}gram_share": share[k] for k in share}
     out["base_failed"] = n < MIN_WORDS or 100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * n
-    fine = out["dup_line_char_share"] <= MAX_LINE_CHARS
+    lines = out["n_dup_lines"] >= REPEATS
+    fine = out["dup_line_char_share"] <= MAX_LINE_CHARS and not (lines and out["dup_line_share"] > MAX_LINES)
+    fine = fine and not any((lines or runs[k] >= REPEATS) and share[k] > most for k, most in MAX_NGRAM_SHARE_REPEATED.items())
     out["kept"] = not out["base_failed"] and fine and all(share[k] <= most for k, most in MAX_NGRAM_SHARE.items())
     return out
 

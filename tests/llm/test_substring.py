@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from verdimill.llm.substring import MIN_WORDS, align, compact_windows, cut_words, near_passages, remove_repeats
+from verdimill.llm.substring import MIN_WORDS, align, compact_windows, cut_words, near_passages, remove_repeats, window_rows
 
 
 def words(rng, n):
@@ -17,17 +17,19 @@ def spans(df):
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 30), max_size=60), st.integers(1, 8))
-def test_windows_hold_every_subsequence_once(values, width):
-    v = np.array(values, np.uint64)
+def test_windows_hold_every_run_once(values, width):
+    """Each subsequence of the width lies in the range of one node: its leftmost minimum."""
+    v = np.array(values, np.uint64) << np.uint64(20)
     l, c, r = compact_windows(v, width)
-    for i in range(len(v)):
-        for j in range(i + width, len(v) + 1):
-            holders = [k for k in range(len(c)) if l[k] <= i <= c[k] < j <= r[k]]
-            assert len(holders) == 1 and v[c[holders[0]]] == v[i:j].min()
+    assert len(set(c.tolist())) == len(c)
+    for i in range(len(v) - width + 1):
+        holders = [k for k in range(len(c)) if l[k] <= i <= c[k] < i + width <= r[k]]
+        assert [int(c[k]) for k in holders] == [i + int(v[i : i + width].argmin())]
 
 
-def test_repeated_words_stay_cheap():
-    assert len(compact_windows(np.zeros(200_000, np.uint64), 46)[0]) < 10_000
+def test_repeated_words_stay_cheap(spark):
+    df = spark.createDataFrame([(1, "a " * 100_000), (2, "b a " * 50_000)], "doc_id long, text string")
+    assert window_rows(df).count() < 10_000
 
 
 def test_planted_passages(spark):

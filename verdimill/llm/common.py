@@ -57,6 +57,17 @@ def text_bytes(name: str = "text"):
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as make it differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 #: Rows that travel to a Python worker at once.  Texts can be long, and each batch is held several times over.
 BATCH_ROWS = 400
 

@@ -2,8 +2,9 @@ import re
 from html import unescape
 
 import pytest
+from pyspark.sql import functions as F
 
-from verdimill.llm.html_extract import extract, extract_pages
+from verdimill.llm.html_extract import _measure, extract, extract_pages, parse
 
 LONG = "The quick brown fox jumps over the lazy dog near the river bank, and then it rests. " * 4
 WORDS = " ".join(LONG.split())
@@ -43,15 +44,30 @@ def test_density_without_semantic_tags():
     assert extract(html) == f"Title here {WORDS} {WORDS} Short end."
 
 
-def test_tables_of_pages(spark, sf):
+@pytest.mark.parametrize("names", [("article", "main"), ("div", "div"), ("section", "div")])
+def test_tables_of_pages(spark, sf, names):
+    """Brute force: what stands between the tags of the article, whatever these are called."""
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     html = {r.page_id: r.html for r in pages.collect()}
-    for r in extract_pages(pages).collect():
+    renamed = pages.withColumn("html", F.regexp_replace("html", r"(</?)article(?=[\s>/])", f"$1{names[0]}")).withColumn("html", F.regexp_replace("html", r"(</?)main(?=[\s>/])", f"$1{names[1]}"))
+    for r in extract_pages(renamed).collect():
         a = re.search("<article>(.*?)</article>", html[r.page_id], re.S)[1]
         want = " ".join(unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", a))).split())
         assert (r.text, r.n_chars) == (want, len(want))
 
 
+def test_the_core_has_the_largest_density_sum():
+    """Brute force over all subtrees of a page, with sums written out anew."""
+    html = "<div><p>" + LONG + "</p><p>" + LONG + "</p></div><div><ul>" + "<li><a href=x>some link</a></li>" * 20 + "</ul></div>"
+    nodes, root = _measure(parse(html))
+    for x in nodes:
+        kids = [k for k in nodes if k.up is x]
+        if kids:
+            own = sum(len(k.strip()) for k in x.kids if isinstance(k, str))
+            assert x.total == pytest.approx((sum(k.density for k in kids) or x.density) + own)
+    assert max(nodes, key=lambda x: x.total).tag == "div"
+
+
 def test_edge_cases(spark):
     rows = [(1, "u", None, "x"), (None, None, "<p>é😀", "y"), (2, "u", "<article>" + "<div>" * 3000 + "deep", "z"), (2, "u", "<p>" * 50000 + "wide", "z")]
     got = sorted((str(r.page_id), r.text, r.n_chars) for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect())

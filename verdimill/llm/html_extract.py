@@ -5,8 +5,8 @@ forms, scripts, adverts by tag, role, class or id) are pruned.  For every
 node that is left, characters per tag are adjusted for links; a node's
 density sum adds the densities of its children.  The subtree with the largest
 sum is the core; the smallest density on its path to the body is the
-threshold that siblings along the path must reach to belong to it too.  An
-``article`` or ``main`` element around the core is taken whole.
+threshold that siblings along the path must reach to belong to it too; no tag
+names an article.
 """
 
 from __future__ import annotations
@@ -208,26 +208,10 @@ def extract(html: str) -> str:
     """The main text of one page: blocks in page order, joined by one space."""
     root = parse(html)
     nodes, root = _measure(root)
-    areas = [x for x in nodes if x.tag in ("article", "main") and x.chars]
-    inside = set()
-    if areas:  # densities are compared within the outermost articles
-        for x in nodes:
-            y = x
-            while y is not None and y.tag not in ("article", "main"):
-                y = y.up
-            if y is not None:
-                inside.add(id(x))
-    pool = [x for x in nodes if (not inside or id(x) in inside) and x.chars]
+    pool = [x for x in nodes if x.chars]
     if not pool:
         return ""
     core = max(pool, key=lambda x: x.total)
-    whole, y = None, core
-    while y is not None:
-        if y.tag in ("article", "main"):
-            whole = y
-        y = y.up
-    if whole is not None:
-        return _text([whole])
     threshold, y = core.density, core
     while y is not None:
         threshold = min(threshold, y.density)
@@ -264,7 +248,7 @@ def _text(parts: list[Node]) -> str:
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for every row of ``pages``; a null page counts as empty, and a page without an article has an empty text."""
+    """page_id, url, text, n_chars for every row of ``pages``, repeated rows included; a null page counts as empty, and a page without text has an empty text.  Other columns play no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from verdimill.llm import topk
-from verdimill.llm.topk import TOPK_SQL, quantize, top_k
+from verdimill.llm.topk import TOPK_SQL, grid, top_k
 
 
 def slow(rows, k=20, every=20):
@@ -23,6 +23,8 @@ def slow(rows, k=20, every=20):
 def test_brute_force(spark, monkeypatch, n):
     monkeypatch.setattr(topk, "SHARD_BLOCK", 32)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "CELL_QUERIES", 2)
+    monkeypatch.setattr(topk, "CELL_SHARDS", 2)
     rng = random.Random(n)
     rows = [(i, [rng.choice([-1.5, -0.01, 0.0, 0.3, 0.5]) for _ in range(6)]) for i in range(n)]
     rows += [(1000, None), (1020, [1.0, None, 2.0, 0.0, 0.0, 0.0]), (1040, [float("nan")] * 6), (1060, [float("inf")] * 6), (None, [1.0] * 6), (2000, [1.0, 2.0]), (2001, [0.5, -1.0]), (3000, [])]
@@ -44,9 +46,19 @@ def test_sql(spark, sf):
     assert sorted(tuple(r) for r in top_k(spark.read.parquet(f"{sf}/embeddings.parquet")).collect()) == sorted(con.execute(TOPK_SQL).fetchall())
 
 
-def test_quantize():
-    assert quantize([0.5, -0.001, 0.0]) == [32, -1, 0]
-    assert quantize(None) is None and quantize([1.0, None]) is None and quantize([float("inf")]) is None
+def test_the_grid_follows_the_number_of_blocks():
+    assert grid(0, 0) == grid(5, 100) == (1, 1)
+    assert grid(2_500, 50_000) == (1, 13)
+    r, c = grid(50_000_000, 1_000_000_000)
+    assert r * topk.QUERY_BLOCK * topk.CELL_QUERIES >= 50_000_000 and c * topk.SHARD_BLOCK * topk.CELL_SHARDS >= 1_000_000_000
+    assert grid(100_000_000, 2_000_000_000)[0] >= 2 * r - 1
+
+
+def test_huge_values(spark):
+    rows = [(20, [1e308, -0.5]), (1, [1.0, 2.0]), (2, [-1e308, 0.0]), (3, [3e9, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = [(q, r, c, max(-(1 << 63), min(s, (1 << 63) - 1))) for q, r, c, s in slow(rows)]
+    assert sorted(r.score for r in top_k(df).collect()) == sorted(w[3] for w in want)
 
 
 def test_many_rows_with_a_querys_id(spark):

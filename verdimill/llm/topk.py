@@ -1,13 +1,17 @@
 """Exact top-k search by tiled matrix products.
 
-Query vectors and candidate vectors are packed into blocks of fixed size.  A
-tile is the product of one query block and one candidate block; only the best
-k of each query leave it.  Lists of the same query are merged twice: among the
-tiles of one group of candidate blocks, then over all groups.
+Query vectors and candidate vectors are packed into blocks of fixed size, and the
+blocks are dealt to rows and columns of a grid whose size follows their number.
+A cell of the grid is a task's work: it holds its query blocks and takes its
+candidate blocks one by one.  A tile is the product of one query block and
+one candidate block; of its scores only the best k of each query are selected, and merged into the query's
+list.  The lists of a query are merged twice more: among some cells of
+its row, then over the row.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,46 +23,53 @@ from .common import settle, tidied
 
 K, SCALE, EVERY = 20, 64.0, 20
 QUERY_BLOCK, SHARD_BLOCK = 512, 4096
-#: Groups among which candidate blocks are dealt; each meets every query block once.
-GROUPS = 24
+#: Tasks among which cells are dealt at most.
+TASKS = 10_000
+#: Query and candidate blocks of one cell at most, on average; columns of the grid that small tables get if they have the blocks.
+CELL_QUERIES, CELL_SHARDS, COLUMNS = 64, 16, 24
 _EXACT = float(1 << 53)
 
 
-def quantize(values) -> list[int] | None:
-    """floor(SCALE * x) of each component as integers; None for null or non-finite components."""
-    if values is None or any(v is None for v in values):
-        return None
-    x = np.asarray(values, np.float64)
-    if not np.isfinite(x).all():
-        return None
-    y = np.floor(x * SCALE)
-    return [int(v) for v in y]
+def _whole(x: np.ndarray) -> list[int]:
+    """floor(SCALE * x) as Python integers; doubles of 2 ** 53 and more are whole."""
+    return [int(v) * int(SCALE) if abs(v) >= _EXACT else int(np.floor(v * SCALE)) for v in x.tolist()]
 
 
 def _pack(rows: DataFrame, size: int) -> DataFrame:
     """Blocks of up to ``size`` vectors of one dimension: dim, ids and values as bytes (wide: values beyond 32 bits, as text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
-
-        def block(dim: int) -> pa.RecordBatch:
-            ids, values = held.pop(dim)
-            wide = any(abs(v) >> 31 for x in values for v in x)
-            data = " ".join(str(v) for x in values for v in x).encode() if wide else np.asarray(values, np.int32).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([np.asarray(ids, np.int64).tobytes()]), pa.array([data]), pa.array([wide])], names=["dim", "ids", "vals", "wide"])
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def block(dim: int, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+            wide = bool(x.size) and bool(np.abs(x).max() * SCALE >= (1 << 31) - 1)
+            data = " ".join(map(str, _whole(x.ravel()))).encode() if wide else np.floor(x * SCALE).astype(np.int32).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids.tobytes()]), pa.array([data]), pa.array([wide])], names=["dim", "ids", "vals", "wide"])
+
+        def blocks(dim: int, least: int) -> Iterator[pa.RecordBatch]:
+            ids, x = (np.concatenate(c) for c in zip(*held.pop(dim), strict=True))
+            done = 0
+            while len(ids) - done >= least:
+                yield block(dim, ids[done : done + size], x[done : done + size])
+                done += size
+            if done < len(ids):
+                held[dim] = [(ids[done:], x[done:])]
 
         for batch in batches:
-            for vec_id, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                q = quantize(values)
-                if vec_id is None or q is None:
-                    continue
-                ids, vals = held.setdefault(len(q), ([], []))
-                ids.append(vec_id)
-                vals.append(q)
-                if len(ids) == size:
-                    yield block(len(q))
+            ids, lists = batch.column(0), batch.column(1)
+            length = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # a null component reads as NaN
+            begin = np.cumsum(length) - length
+            odd = np.r_[0, np.cumsum(~np.isfinite(flat))]
+            good = ids.is_valid().to_numpy(zero_copy_only=False) & lists.is_valid().to_numpy(zero_copy_only=False) & (odd[begin + length] == odd[begin])
+            ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            for dim in np.unique(length[good]).tolist():
+                at = np.flatnonzero(good & (length == dim))
+                held.setdefault(dim, []).append((ids[at], flat[begin[at][:, None] + np.arange(dim)]))
+                if sum(len(i) for i, _ in held[dim]) >= size:
+                    yield from blocks(dim, size)
         for dim in list(held):
-            yield block(dim)
+            yield from blocks(dim, 1)
 
     return rows.mapInArrow(tidied(run), "dim int, ids binary, vals binary, wide boolean")
 
@@ -82,7 +93,7 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int):
 
 
 def tile(qid, q, cid, c, k: int):
-    """(query_id, vec_id, score) arrays: the best k of each query in one tile, rows with the query's own id left out."""
+    """(number of the query in its block, vec_id, score) arrays: the best k of each query in one tile, rows with the query's own id left out."""
     order = np.argsort(cid, kind="stable")
     cid, c = cid[order], c[order]
     exact = q.dtype != object and c.dtype != object and (not q.size or not c.size or np.abs(q).max() * np.abs(c).max() * q.shape[1] < _EXACT)
@@ -100,23 +111,58 @@ def tile(qid, q, cid, c, k: int):
     out_q, out_c, out_s = [], [], []
     for i, at in enumerate(_best(ranked, cid, k)):
         at = at[cid[at] != qid[i]]
-        out_q.append(np.full(len(at), qid[i]))
+        out_q.append(np.full(len(at), i))
         out_c.append(cid[at])
         out_s.append(score[i, at].astype(np.int64) if exact else np.array([int(plain[i][j]) for j in at], np.int64))
     return np.concatenate(out_q), np.concatenate(out_c), np.concatenate(out_s)
 
 
-def _tiles(pairs: DataFrame, k: int) -> DataFrame:
+def _merge(held: tuple | None, new: tuple, k: int) -> tuple:
+    """(query number, vec_id, score) of the k best of each query in both."""
+    if held is not None:
+        new = tuple(np.concatenate(c) for c in zip(held, new, strict=True))
+    q, c, s = new
+    order = np.lexsort((c, ~s, q))  # ~s falls as s rises, and can't overflow
+    q, c, s = q[order], c[order], s[order]
+    start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+    return q[place < k], c[place < k], s[place < k]
+
+
+def _cells(blocks: DataFrame, k: int) -> DataFrame:
+    """The best k of each query in each cell; blocks come sorted by cell and dimension, queries first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, queries, lists = None, [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for (ids, *_), best in zip(queries, lists, strict=True):
+                if best is not None:
+                    q, c, s = best
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), cell[1]), pa.int32()), pa.array(ids[q]), pa.array(c), pa.array(s)], names=["grp", "query_id", "vec_id", "score"])
+
         for batch in batches:
-            for r in batch.to_pylist():
-                dim = r["dim"]
-                a = _unpack(r["q_ids"], r["q_vals"], r["q_wide"], dim)
-                b = _unpack(r["ids"], r["vals"], r["wide"], dim)
-                q, c, s = tile(*a, *b, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), r["grp"]), pa.int32()), pa.array(q), pa.array(c), pa.array(s)], names=["grp", "query_id", "vec_id", "score"])
+            for row, grp, dim, is_shard, ids, vals, wide in zip(*(batch.column(n) for n in ("row", "grp", "dim", "shard", "ids", "vals", "wide")), strict=True):
+                now = row.as_py(), grp.as_py(), dim.as_py()
+                if now != cell:
+                    yield from done()
+                    cell, queries, lists = now, [], []
+                block = _unpack(ids.as_py(), vals.as_py(), wide.as_py(), now[2])
+                if not is_shard.as_py():
+                    queries.append(block)
+                    lists.append(None)
+                    continue
+                for n, q in enumerate(queries):
+                    lists[n] = _merge(lists[n], tile(*q, *block, k), k)
+        yield from done()
+
+    return blocks.mapInArrow(tidied(run), "grp int, query_id long, vec_id long, score long")
+
 
-    return pairs.mapInArrow(tidied(run), "grp int, query_id long, vec_id long, score long")
+def grid(queries: int, vectors: int) -> tuple[int, int]:
+    """Rows and columns of the grid: both follow the numbers of blocks."""
+    shards = -(-vectors // SHARD_BLOCK)
+    return max(1, -(-queries // (QUERY_BLOCK * CELL_QUERIES))), max(1, -(-shards // CELL_SHARDS), min(shards, COLUMNS))
 
 
 def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
@@ -126,18 +172,21 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     nor do rows without vec_id.  Vectors of different lengths are never
     compared.  Rows that repeat a vec_id are candidates each; rows with a
     query's own id are its own.  Sums beyond a long are held to its range.
+    Equal scores are ordered by vec_id; an empty table gives no rows, and other columns play no part.
     """
     rows = embeddings.select("vec_id", "embedding")
-    # A third of all blocks can never meet in one task: groups and query blocks are dealt by their numbers.
-    shards = _pack(rows, SHARD_BLOCK).withColumn("grp", (F.monotonically_increasing_id() + F.xxhash64("ids")) % GROUPS)
-    shards = shards.withColumn("grp", F.pmod("grp", F.lit(GROUPS)).cast("int"))
-    queries = _pack(rows.where(F.col("vec_id") % every == 0), QUERY_BLOCK)
-    queries = queries.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals"), F.col("wide").alias("q_wide"), F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("q_grp"))
-    pairs = shards.join(queries, (F.col("grp") == F.col("q_grp")) & (F.col("dim") == F.col("q_dim")))
-    found = settle(_tiles(pairs, k))
+    asked = rows.where(F.col("vec_id") % every == 0)
+    n = rows.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
+    n_rows, n_columns = grid(n.q, n.n)
+    to = lambda m: F.pmod(F.xxhash64("ids"), F.lit(m)).cast("int")
+    all_of = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    shards = _pack(rows, SHARD_BLOCK).select("*", F.lit(True).alias("shard"), to(n_columns).alias("grp"), all_of(n_rows).alias("row"))
+    queries = _pack(asked, QUERY_BLOCK).select("*", F.lit(False).alias("shard"), to(n_rows).alias("row"), all_of(n_columns).alias("grp"))
+    blocks = shards.unionByName(queries).repartition(min(2 * n_rows * n_columns, TASKS), "row", "grp", "dim").sortWithinPartitions("row", "grp", "dim", "shard")
+    found = settle(_cells(blocks, k))
     best = [F.col("score").desc(), F.col("vec_id")]
-    rank = F.row_number().over(Window.partitionBy("query_id", "grp").orderBy(*best))
-    found = found.withColumn("r", rank).where(F.col("r") <= k)
+    some = F.pmod("grp", F.lit(math.isqrt(n_columns) + 1))
+    found = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id", some).orderBy(*best))).where(F.col("r") <= k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*best))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

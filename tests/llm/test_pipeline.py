@@ -3,6 +3,7 @@ import struct
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from tests.llm.test_bpe import ENC
@@ -76,6 +77,32 @@ def test_tokens(stages):
     assert n == sum(map(len, texts.values()))
 
 
+CLASHES = "score predicted k_id k_n s_id spans _target _taken _source_size g_source _size _cell _copy _copies _last _row _offset _in_cell _o_source _o_cell doc key pos fp node l_id toxic held_out a b tag text_ lo hi words nfp component_id count value label"
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_extra_columns_of_any_name(spark, sf, k):
+    """Columns that are called like those a stage uses within change no row and come out as they went in."""
+    name, stage = cp.STAGES[k]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    more = docs.withColumns({c: F.concat(F.lit(f"{c}-"), "doc_id") for c in CLASHES.split()})
+    plain, wide = stage(spark, docs, sf).collect(), stage(spark, more, sf)
+    assert sorted(wide.columns) == sorted(more.columns)
+    wide = wide.collect()
+    assert sorted(tuple(r[c] for c in COLUMNS) for r in wide) == sorted(tuple(r[c] for c in COLUMNS) for r in plain)
+    assert all(r[c] == f"{c}-{r.doc_id}" for r in wide for c in CLASHES.split())
+
+
+def test_folders_of_stages_go(spark, sf, tmp_path):
+    old = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        cp.run(spark, sf)
+        assert [p.name.rsplit("-", 1)[0] for p in tmp_path.glob("stage-*")] == ["stage-mixing"]
+    finally:
+        spark.conf.set("spark.checkpoint.dir", old) if old else spark.conf.unset("spark.checkpoint.dir")
+
+
 def test_odd_rows(spark, tmp_path):
     """Nulls, empty and repeated rows pass every stage."""
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "words without id " * 30, "en", None, 510), (3, "same text here", "en", "a", 14), (3, "same text here", "en", "a", 14), (4, "Same text here", "de", "b", 14)]

@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,11 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, a single machine) a temporary folder is set.
+    Where a session on one machine names none (tests), a temporary folder is set; on a cluster that is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='shared-')}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -40,6 +43,11 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_dir(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

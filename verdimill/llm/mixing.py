@@ -93,25 +93,28 @@ def repeat_to_targets(documents: DataFrame, max_epochs: int = MAX_EPOCHS) -> Dat
     """``documents`` as the mix takes them: whole rows once for each epoch; the row on which a
     source's budget ends is cut at that word in its last copy, and n_chars (if there) follows.
 
-    Rows without words are part of no budget and stay once.
+    Rows without words (null and empty texts too) are part of no budget and stay
+    once.  A null source is a source of its own; repeated rows are taken each, in any
+    order, and extra columns may have any name.
     """
-    names = documents.columns
-    rows = documents.withColumns({"_size": n_words(F.col("text")), "_cell": F.substring(_key(), 1, CELL_DIGITS)})
+    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_row")  # so that no column's name can clash
+    rows = documents.select("doc_id", "source", n_words(F.col("text")).alias("_size"), F.substring(_key(), 1, CELL_DIGITS).alias("_cell"), row)
     cells = settle(_cells(rows))  # at most 16 ** CELL_DIGITS rows for each source
     out = take(rows, cells, max_epochs)
     last = F.when(F.col("_size") > 0, F.col("_taken") % F.col("_size")).otherwise(0)
     copies = F.when(F.col("_size") > 0, F.ceil(F.col("_taken") / F.col("_size"))).otherwise(1)
     out = out.withColumns({"_last": last, "_copies": copies}).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     cut = (F.col("_copy") == F.col("_copies")) & (F.col("_last") > 0)
-    start = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), 0), F.lit(1), F.col("_last").cast("int")), "")
-    out = out.withColumn("text", F.when(cut, start).otherwise(F.col("text")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType))
-    return out.select(*names)
+    old = F.col("_row").getField
+    start = F.array_join(F.slice(F.regexp_extract_all(old("text"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("_last").cast("int")), "")
+    new = {"text": F.when(cut, start).otherwise(old("text"))}
+    if "n_chars" in documents.columns:
+        new["n_chars"] = F.when(cut, F.length(start)).otherwise(old("n_chars")).cast(documents.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, old(c)).alias(c) for c in documents.columns))
 
 
 def mix_documents(documents: DataFrame) -> DataFrame:
-    """The mix of all ``documents``, sized in words (a null text has none)."""
+    """The mix of all ``documents``, sized in words: a null or empty text has none and takes none.  Nulls, ties and repeated rows as in ``mix``; other columns play no part."""
     return mix(documents.select("doc_id", "source", n_words(F.col("text")).alias("size")))
 
 

@@ -4,7 +4,7 @@ For each text, words become numbers and the hashes of all n-grams come from
 those of the (n-1)-grams with one multiplication.  A word lies in a duplicated
 n-gram if it belongs to an occurrence other than the first.  The share of a
 text's characters in such words, for each length, and in lines equal to an
-earlier line decide the verdict.
+earlier line make the verdict.
 """
 
 from __future__ import annotations

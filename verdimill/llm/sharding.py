@@ -8,7 +8,7 @@ clockwise to the next shard with room.  Capacities are ``floor(N / shards)``
 or one more, so the row counts of any two shards differ by one at most.
 
 All rows of one arc see the same clockwise sequence of shards.  So only the
-counts per arc (a table whose size is a constant) are needed to decide how many
+counts per arc (a table whose size is a constant) are needed to tell how many
 rows of each arc go to which shard; a row finds its shard and its slot from its
 rank in its arc.  One narrow shuffle by arc orders the rows; texts never move.
 """
@@ -79,17 +79,18 @@ def spans(counts: dict[int, int], shards: int, vnodes: int = VNODES, arc_bits: i
 def ring_shards(df: DataFrame, key: str, shards: int = 16, vnodes: int = VNODES, arc_bits: int = ARC_BITS) -> DataFrame:
     """``df`` with columns shard (int) and slot (long, gapless from 0 in each shard).
 
-    Null keys hash like any other value.  Rows with equal keys lie in one arc
+    Rows without a key are dealt by their other columns.  Rows with equal keys lie in one arc
     and are ordered by their other columns; rows equal in all columns are
     interchangeable.  An empty table stays empty.  Columns named shard or slot are replaced.
     """
     spark = df.sparkSession
     df = df.drop("shard", "slot")
-    arc = F.shiftrightunsigned(F.xxhash64(F.col(key)), 64 - arc_bits)
+    others = [F.col(c) for c in df.columns if c != key]
+    point = F.when(F.col(key).isNull(), F.xxhash64(*others)).otherwise(F.xxhash64(F.col(key))) if others else F.xxhash64(F.col(key))
+    arc = F.shiftrightunsigned(point, 64 - arc_bits)
     counts = {r["arc"]: r["n"] for r in df.select(arc.alias("arc")).groupBy("arc").agg(F.count("*").alias("n")).collect()}
     plan = small_table(spark, spans(counts, shards, vnodes, arc_bits), "arc bigint, lo bigint, hi bigint, shard int, first_slot bigint")
-    others = [F.col(c) for c in df.columns if c != key]
-    order = Window.partitionBy("_arc").orderBy(F.xxhash64(F.col(key)), F.col(key), *others)
+    order = Window.partitionBy("_arc").orderBy(point, F.col(key), *others)
     ranked = df.withColumn("_arc", arc).withColumn("_rank", F.row_number().over(order).cast("long") - 1)
     plan = plan.select(*(F.col(c).alias(f"_p_{c}") for c in plan.columns))
     # The plan has at most shards * 2 ** arc_bits rows, whatever the input.

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches, text_bytes, tidied
+from .common import settle, small_batches, text_bytes, tidied, unused
 from .graph import connected_components
 
 RADIUS, SEED, WORDS = 3, 42, 3
@@ -179,13 +179,15 @@ def one_of_each_group(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``documents`` whose doc_id is their component's; columns unchanged.
 
     Of rows that repeat such an id one stays.  Rows without doc_id can't be named by a component and all stay.
+    Null and empty texts have fingerprint 0 and are one group; extra columns may have any name.
     """
+    k_id, k_n = unused(documents, "k_id", "k_n")
     fps = settle(fingerprints(documents))
     found = _components(fps, radius)
-    keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("k_id")).agg(F.count("*").alias("k_n"))
-    kept = documents.join(keep, F.col("doc_id") == F.col("k_id"))
-    single = kept.where("k_n = 1").drop("k_id", "k_n")
-    again = kept.where("k_n > 1").drop("k_id", "k_n").dropDuplicates(["doc_id"])
+    keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(k_id)).agg(F.count("*").alias(k_n))
+    kept = documents.join(keep, F.col("doc_id") == F.col(k_id))
+    single = kept.where(F.col(k_n) == 1).drop(k_id, k_n)
+    again = kept.where(F.col(k_n) > 1).drop(k_id, k_n).dropDuplicates(["doc_id"])
     if fps.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         out = single
     else:

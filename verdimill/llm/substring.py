@@ -23,7 +23,7 @@ Texts of equal words are found by a hash of all their words (with the number of
 words 86 bits and more); only the first of them takes part in all this.
 
 Links of two texts are merged by diagonal into intervals, the words of the
-intervals are fetched, and aligned shingles decide: MIN_WORDS words or more on
+intervals are fetched, and aligned shingles have the last word: MIN_WORDS words or more on
 both sides and a similarity of SIMILARITY.
 """
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes, tidied
+from .common import small_batches, text_bytes, tidied, unused
 
 #: Labelled rows of each class that training takes at most (the sample's documented bound).
 SAMPLE_TOXIC, SAMPLE_CLEAN = 700, 1400
@@ -273,21 +273,21 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
 _LOADED: dict[str, tuple[Model, Values]] = {}
 
 
-def score_documents(documents: DataFrame, model: Model | None) -> DataFrame:
-    """``documents`` with columns score and predicted; without a model every score is 0.
+def score_documents(documents: DataFrame, model: Model | None, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """``documents`` with columns ``score`` and ``predicted``, replaced if there; without a model every score is 0.
 
-    A null or empty text scores like a text of neutral words.
+    A null or empty text scores like a text of neutral words; equal texts score alike.
     """
-    documents = documents.drop("score", "predicted")
+    documents = documents.drop(score, predicted)
     if model is None:
-        return documents.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
+        return documents.withColumns({score: F.lit(0.0), predicted: F.lit(0)})
     data = pickle.dumps(model)
     sent = documents.sparkSession.sparkContext.broadcast(data)  # the telling n-grams of a bounded sample
     name = hashlib.sha256(data).hexdigest()
 
-    rows = small_batches(documents).withColumn("score", F.lit(0.0))
+    rows = small_batches(documents).withColumn(score, F.lit(0.0))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _LOADED:
             _LOADED.clear()
             m = pickle.loads(sent.value)
@@ -298,19 +298,25 @@ def score_documents(documents: DataFrame, model: Model | None) -> DataFrame:
             for t in batch.column(batch.schema.get_field_index("text")):
                 words = (t.as_py() or "").encode().split()
                 found.append(_score(log_odds(words, known), m))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()) if n == "score" else c for n, c in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()) if n == score else c for n, c in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names)
 
-    return rows.mapInArrow(tidied(score), rows.schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return rows.mapInArrow(tidied(run), rows.schema).withColumn(predicted, (F.col(score) >= THRESHOLD).cast("int"))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every whole text of ``documents``."""
+    """doc_id, held_out, score, predicted for every whole text of ``documents``, repeated rows included.
+
+    A null or empty text scores like neutral words; a null doc_id is not held
+    out.  Of several labels of a doc_id the largest counts.  Without labels of both kinds every score is 0.
+    """
     rows = documents.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     return score_documents(rows, fit(documents, labels)).select("doc_id", "held_out", "score", "predicted")
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """``documents`` without the rows predicted toxic; columns unchanged."""
-    if {"score", "predicted"} & set(documents.columns):
-        raise ValueError("documents must not have columns score or predicted")
-    return score_documents(documents, fit(documents, labels)).where("predicted = 0").drop("score", "predicted")
+    """``documents`` without the rows predicted toxic; columns unchanged, whatever their names.
+
+    Null and empty texts and rows without doc_id are scored like others; repeated rows go or stay together.
+    """
+    score, predicted = unused(documents, "score", "predicted")
+    return score_documents(documents, fit(documents, labels), score, predicted).where(F.col(predicted) == 0).drop(score, predicted)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, settle
+from .common import drop_dir, fresh_dir, settle
 
 # Fixed values of the WARC format.
 MAGIC, VERSION, END = "WARC/1.", "WARC/1.1", "\r\n\r\n"
@@ -152,8 +152,13 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     entries = seen.join(cand.select(F.col("file").alias("c_file"), "block", F.col("off").alias("c_off")), (F.col("file") == F.col("c_file")) & (F.col("off") == F.col("c_off"))).select(F.col("c_file").alias("e_file"), F.col("block").alias("e_block"), F.col("c_off").alias("e_off"))
     reached = cand.groupBy("file", "block").cogroup(entries.groupBy("e_file", "e_block")).applyInPandas(_chain, "r_file string, r_off long")
     marked = placed.join(reached, (F.col("file") == F.col("r_file")) & (F.col("off") == F.col("r_off")), "left").withColumn("real", F.col("r_off").isNotNull()).drop("r_file", "r_off")
-    up_to = Window.partitionBy("file").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
-    marked = settle(marked.withColumn("record", F.last(F.when(F.col("real"), F.col("off")), ignorenulls=True).over(up_to)))
+    # The record that each piece belongs to: the last one in its block so far, or else in the blocks before.
+    so_far = Window.partitionBy("file", "block").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
+    real = F.when(F.col("real"), F.col("off"))
+    lasts = marked.groupBy(F.col("file").alias("l_file"), F.col("block").alias("l_block")).agg(F.max(real).alias("last"))
+    lasts = lasts.select("l_file", "l_block", F.max("last").over(Window.partitionBy("l_file").orderBy("l_block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    marked = marked.withColumn("in_block", F.max(real).over(so_far)).join(lasts, (F.col("file") == F.col("l_file")) & (F.col("block") == F.col("l_block")))
+    marked = settle(marked.withColumn("record", F.coalesce("in_block", "carried")).drop("in_block", "l_file", "l_block", "carried"))
     records = marked.where("real")
 
     # Records whose payload holds a magic came in several pieces: read these again and join them.
@@ -174,11 +179,6 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return records.select(_field("WARC-Record-ID").alias("record_id"), kind.alias("record_type"), _field("WARC-Target-URI").alias("url"), length.alias("payload_bytes"), digest.alias("payload_digest"), _field("WARC-Refers-To").alias("refers_to"))
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of all ``pages`` as read back from an archive in the shared folder."""
     spark = pages.sparkSession
@@ -186,5 +186,5 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     write_archive(pages, path)
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
     out = settle(read_archive(spark, path).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")))
-    _drop(spark, path)
+    drop_dir(spark, path)
     return out

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from verdimill.llm.bpe import encode_column
-from verdimill.llm.common import fresh_dir, table
+from verdimill.llm.common import drop_dir, fresh_dir, table
 from verdimill.llm.mixing import repeat_to_targets
 from verdimill.llm.queries import VOCABULARY
 from verdimill.llm.simhash import one_of_each_group
@@ -51,9 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage.  A stage's folder goes when the next one is written; the last stage reads its input when asked."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = fresh_dir(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            drop_dir(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

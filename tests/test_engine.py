@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from verdimill import sinks, templates
 from verdimill.engine import Engine, EngineConfig, ask_one, judge, pick_one
-from verdimill.operators import gate, pick
+from verdimill.operators import cache, gate, pick
 from verdimill.questions import Choice, Condition, Noul, QuestionError, QuestionSet, Score, Template, decode, encode, parse_condition
 from verdimill.scorers import CallError, HashScorer, Retry, Scorer, TableScorer, UniformScorer, hash_answers, retryable, score, with_retry
 from verdimill.sources import code, diff, files, markdown, media, split
@@ -67,7 +67,7 @@ class Flaky(Scorer):
 
     def ask(self, state, questions):
         if state.startswith("bad"):
-            raise CallError("down", 401)
+            raise CallError("down", 400)
         return HashScorer().ask(state, questions)
 
 
@@ -84,7 +84,7 @@ def test_errors_retries_and_breaker(spark):
             raise CallError("busy", 503)
         return {"ok": 1}
 
-    assert with_retry(call, Retry(), waits.append) == {"ok": 1} and waits == [0.5, 1.0]
+    assert with_retry(call, Retry(), waits.append, lambda: 0.0) == {"ok": 1} and waits == [0.5, 1.0]
     assert retryable(TimeoutError()) and not retryable(CallError("", 401)) and retryable(CallError("", 429))
     assert Retry().delay(10, 1.0) == 5 * 0.75
 
@@ -124,7 +124,7 @@ def test_parts_of_long_items(spark, tmp_path):
     row = items.first()
     assert len(row.parts) > 3 and all(split.json_size(json.loads(p.state)["content"]) <= 4096 for p in row.parts)
     r = Engine(spark).run("triage", items)
-    assert r.summary == {"items": 1, "failed": 0, "left": 0, "flagged": r.summary["flagged"], "matched": 0}
+    assert r.summary == {"items": 1, "failed": 0, "left": 0, "flagged": r.summary["flagged"], "matched": 0, "cached": 0}
 
 
 def test_sources(spark, tmp_path):
@@ -244,7 +244,7 @@ def test_gate_rules(spark):
     assert [r.outcome for r in got] == [1, 2, 3, 2, 2, 1]
     assert [r.readings[0].problem for r in got] == [None, None, None, "bad_value", "missing", None]
     two = gate.Bands("a", "noul", 0.7, 0.4, on_missing="review", name="x")
-    same = gate.decide(df, two, {"a": a}, "d").select("p", "d.*").collect()
+    same = gate.apply_rule(df, two, {"a": a}, "d").select("p", "d.*").collect()
     assert str(same) == str(df.select("p", two.evaluate({"a": a}).alias("d")).select("p", "d.*").collect())
     bad = df.select(gate.Bands("a", "noul", 0.1, 0.4).evaluate({"a": a}).outcome.alias("o")).distinct().collect()
     assert [r.o for r in bad] == [3]
@@ -274,3 +274,90 @@ def test_stream_helpers(spark):
     assert {tuple(r) for r in collector.marks(v).collect()} == {("r", True, "a; b"), ("s", False, "c")}
     j = spark.createDataFrame([("x", i, i % 2 == 0) for i in range(250)], "session string, at long, flagged boolean")
     assert collector.session_log(j).count() == 200 and collector.totals(j).first().asDict() == {"session": "x", "checked": 250, "flagged": 125}
+
+
+class Counting(HashScorer):
+    """Writes a line for each question asked."""
+
+    def __init__(self, log, model="hash-1"):
+        self.log, self.model = str(log), model
+
+    def ask(self, state, questions):
+        with open(self.log, "a") as f:
+            f.write("".join(f"{state} {k}\n" for k in sorted(questions)))
+        return super().ask(state, questions)
+
+
+def asked(log):
+    out = log.read_text().split("\n")[:-1] if log.exists() else []
+    log.unlink(missing_ok=True)
+    return sorted(out)
+
+
+def test_answers_are_cached(spark, tmp_path):
+    """A second run asks nothing, another question is asked alone, and a new version asks what was cached once more."""
+    log, cached = tmp_path / "log", str(tmp_path / "cache")
+    one, two = Template("t", {"q": Noul("?")}, {"q": "yes"}), Template("t", {"q": Noul("?"), "r": Choice("?", (("a", None), ("b", None)))}, {"q": "yes"})
+    data = tmp_path / "d.txt"
+    data.write_text("x\ny\nx\n")
+    state = lambda s: json.dumps(s)
+    engine = lambda s: Engine(spark, EngineConfig(scorer=s, cache_dir=cached))
+    first = engine(Counting(log)).run(one, [str(data)])
+    assert first.summary["cached"] == 0 and len(asked(log)) == 3
+    again = engine(Counting(log)).run(one, [str(data)])
+    assert asked(log) == [] and again.summary["cached"] == 3
+    assert sorted(r.q.noul for r in again.items.collect()) == sorted(r.q.noul for r in first.items.collect())
+    more = engine(Counting(log)).run(two, [str(data)])
+    assert {a.rsplit(" ", 1)[1] for a in asked(log)} == {"r"} and more.summary["cached"] == 3
+    assert engine(Counting(log)).dry_run(two, [str(data)])["to_ask"] == 0
+    # One new item shows a newer version: the cached answers of the others are asked again, once.
+    data.write_text("x\ny\nz\n")
+    s = Counting(log)
+    renamed = Reporting(s)
+    got = engine(renamed).run(one, [str(data)])
+    assert sorted(set(asked(log))) == sorted(f"{state(v)} q" for v in "xyz") and got.summary["cached"] == 0
+    assert engine(renamed).run(one, [str(data)]).summary["cached"] == 3 and asked(log) == []
+
+
+class Reporting(Scorer):
+    """The same model by name, which reports a version of its own."""
+
+    def __init__(self, inner):
+        self.inner, self.model, self.version = inner, inner.model, "hash-1.1"
+
+    def ask(self, state, questions):
+        return self.inner.ask(state, questions)
+
+
+def test_invalid_cached_answers_are_asked_again(spark, tmp_path):
+    log, cached = tmp_path / "log", str(tmp_path / "cache")
+    t = Template("t", {"q": Noul("?")}, {"q": "yes"})
+    data = tmp_path / "d.txt"
+    data.write_text("x\n")
+    e = Engine(spark, EngineConfig(scorer=Counting(log), cache_dir=cached, runs_dir=str(tmp_path / "runs")))
+    e.run(t, [str(data)])
+    asked(log)
+    bad = cache.entries(spark, cached).withColumn("answer", F.col("answer").withField("noul", F.lit(7.0))).withColumn("time_ns", F.col("time_ns") + 1)
+    cache.append(bad, cached)
+    r = e.run(t, [str(data)])
+    assert len(asked(log)) == 1 and r.summary["cached"] == 0
+    e.resume(r.run.id, t)
+    assert asked(log) == []
+
+
+def test_no_function_is_defined_twice():
+    import ast
+    import pathlib
+
+    for path in pathlib.Path(__file__).parent.parent.joinpath("verdimill").rglob("*.py"):
+        names = [n.name for n in ast.parse(path.read_text()).body if isinstance(n, (ast.FunctionDef, ast.ClassDef))]
+        assert len(names) == len(set(names)), path
+
+
+def test_hashes_are_computed_once(spark, sf):
+    from verdimill.plans.queries import QUERIES
+
+    for name, n in (("gate_compose", 9), ("choice_argmax", 3), ("verdicts_all", 9)):
+        assert QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().count("md5(") == n
+    plan = QUERIES["combine_choice"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 2

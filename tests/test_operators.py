@@ -28,10 +28,11 @@ def test_parts_are_weighted_by_lines(spark):
         (5, 1, 1, "", 0, "complete", {"type": "noul", "noul": 0.3}),
     ]
     df = answers(spark, rows, "item long, n int, of int, lines string, size int, status string")
-    got = {r.item: r.answer for r in combine.combine_answers(df, "item").collect()}
+    kinds = {"choice": Choice("?", (("good", None), ("bad", None))), "score": Score("?", ("lo", "mid", "hi")), "noul": Noul("?")}
+    got = {r.item: r.answer for kind, q in kinds.items() for r in combine.combine_answers(df.where(F.col("answer.type") == kind).unionByName(df.where("answer IS NULL")), "item", q).collect()}
     assert set(got) == {1, 2, 5}
     assert got[1].choice == "good" and [round(p.p, 9) for p in got[1].probs] == [0.3, 0.7] and got[2].score == pytest.approx(1.5) and got[5].noul == 0.3
-    best = {r.item: (r.answer.choice, r.where_part) for r in combine.combine_answers(df.where("item = 1"), "item", [Condition("bad", ">=", 0.5)]).collect()}
+    best = {r.item: (r.answer.choice, r.where_part) for r in combine.combine_answers(df.where("item = 1"), "item", kinds["choice"], [Condition("bad", ">=", 0.5)]).collect()}
     assert best == {1: ("bad", 2)}
     assert {r.item: r.status for r in combine.item_status(df, "item").collect()} == {1: "complete", 2: "complete", 3: "incomplete", 4: "failed", 5: "complete"}
     err = combine.first_failure(df.withColumn("error", F.lit("down")), "item").collect()
@@ -112,12 +113,16 @@ def test_heads(spark):
 
 
 def test_cache_files(spark, tmp_path):
-    e = spark.createDataFrame([("k", "old", 1, 0, ""), ("k", "new", 2, 1, "v1"), ("m", "x", 3, 1, "v2")], "key string, answer string, time_ns long, segment_seq long, version string")
-    cache.append(e, str(tmp_path / "c"))
-    cache.append(e.where("key = 'm'"), str(tmp_path / "c"))
-    cache.compact(spark, str(tmp_path / "c"), str(tmp_path / "d"))
-    assert {(r.key, r.answer) for r in spark.read.parquet(str(tmp_path / "d")).collect()} == {("k", "new"), ("m", "x")}
-    assert [r.key for r in cache.usable(e).collect()] == ["m"]  # k was answered by an older version
+    path = str(tmp_path / "c")
+    rows = [("k", "", 1, {"type": "noul", "noul": 0.1}), ("k", "v1", 2, {"type": "noul", "noul": 0.2}), ("m", "v2", 3, {"type": "noul", "noul": 0.3})]
+    e = answers(spark, rows, "key string, version string, time_ns long")
+    assert cache.entries(spark, path).count() == 0
+    assert [cache.append(e, path), cache.append(e.where("key = 'm'"), path)] == [1, 2]
+    assert not cache.compact(spark, path) and cache.compact(spark, path, 1)
+    got = cache.entries(spark, path)
+    assert {(r.key, r.answer.noul, r.segment_seq) for r in got.collect()} == {("k", 0.2, 3), ("m", 0.3, 3)}
+    assert not cache.compact(spark, path, 1)
+    assert [r.key for r in cache.usable(got).collect()] == ["m"]  # k was answered by an older version
 
 
 def test_calibration(spark):

@@ -36,9 +36,9 @@ def total(probs: Column) -> Column:
 
 
 def normalize(probs: Column) -> Column:
-    """Each weight over the key-ordered sum."""
-    t = total(probs)
-    return F.transform(probs, lambda e: F.struct(e["key"].alias("key"), (e["p"] / t).alias("p")))
+    """Each weight over the key-ordered sum, which is folded once."""
+    pair = F.array(F.struct(probs.alias("all"), total(probs).alias("t")))
+    return F.transform(pair, lambda x: F.transform(x["all"], lambda e: F.struct(e["key"].alias("key"), (e["p"] / x["t"]).alias("p"))))[0]
 
 
 def prob(probs: Column, key: Column | str) -> Column:

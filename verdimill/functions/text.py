@@ -155,3 +155,18 @@ def lookup_strict(value: Column, path: str) -> Column:
 def compact_json(value: Column) -> Column:
     """JSON text without white space between tokens; order and numbers as they were."""
     return F.udf(_compact_json, "string")(value)
+
+
+def wrap(text: str, width: int) -> list[str]:
+    """Lines of at most ``width`` characters, broken at spaces; a longer word stands alone, and line ends stay."""
+    out = []
+    for line in text.split("\n"):
+        at = ""
+        for word in line.split():
+            if at and len(at) + 1 + len(word) > width:
+                out.append(at)
+                at = word
+            else:
+                at = f"{at} {word}" if at else word
+        out.append(at)
+    return out

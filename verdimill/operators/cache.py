@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions.text import content_key, framed
+from ..schemas import ANSWER
+
+ENTRY = f"key string, version string, time_ns long, answer {ANSWER}, segment_seq int"
+#: Segments of a cache folder before they are merged.
+MAX_SEGMENTS = 32
 
 
 @dataclass(frozen=True)
@@ -66,11 +73,42 @@ def stale(requests: DataFrame, entries: DataFrame) -> DataFrame:
     return requests.join(newest(entries).select("key"), "key", "left_semi").join(usable(entries).select("key"), "key", "left_anti")
 
 
-def append(entries: DataFrame, path: str) -> None:
-    """Add a segment; earlier ones stay as they are."""
-    entries.write.mode("append").parquet(path)
+def entries(spark: SparkSession, path: str) -> DataFrame:
+    """All entries of a cache folder: key, version, time_ns, answer and the number of their segment; none if the folder is new."""
+    if _segments(spark, path):
+        return spark.read.schema(ENTRY).parquet(path)
+    return spark.createDataFrame([], ENTRY)
+
+
+def _segments(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(n.partition("=")[2]) for n in store.names(spark, path) if n.startswith("segment_seq="))
+
+
+def append(new: DataFrame, path: str) -> int:
+    """Add a segment of entries (key, version, time_ns, answer); earlier ones stay as they are.  Returns its number.
+
+    A segment is written aside and renamed, so readers never see a part of it; of two writers the later takes the next number.
+    """
+    spark = new.sparkSession
+    aside = f"{path.rstrip('/')}/_new-{uuid.uuid4().hex}"
+    new.select("key", "version", "time_ns", "answer").write.parquet(aside)
+    while True:
+        n = max(_segments(spark, path), default=0) + 1
+        fs, to = store.hadoop(spark, f"{path.rstrip('/')}/segment_seq={n}")
+        if not fs.exists(to) and fs.rename(store.hadoop(spark, aside)[1], to):
+            return n
+
 
+def compact(spark: SparkSession, path: str, most: int = MAX_SEGMENTS) -> bool:
+    """If there are more than ``most`` segments: one with the newest entry of each key takes their place.
 
-def compact(spark: SparkSession, path: str, to: str, files: int = 8) -> None:
-    """A new folder with one entry for each key; repeating it changes nothing."""
-    newest(spark.read.parquet(path)).repartition(files, "key").write.mode("errorifexists").parquet(to)
+    The old ones go after the new one is there; until then, and after a stop in
+    between, entries are only repeated, and the newest wins.  Repeating it changes nothing.
+    """
+    old = _segments(spark, path)
+    if len(old) <= most:
+        return False
+    append(newest(entries(spark, path).where(F.col("segment_seq") <= old[-1])), path)
+    for n in old:
+        store.drop(spark, f"{path.rstrip('/')}/segment_seq={n}")
+    return True

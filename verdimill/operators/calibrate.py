@@ -104,23 +104,47 @@ def fit_temperature(cases: DataFrame, grid: tuple, probs: str = "probs", label:
     return 1.0 if rows[1.0] == low else min(t for t, x in rows.items() if x == low)
 
 
-def metrics(cases: DataFrame, cutoff: float, config: Config) -> DataFrame:
-    """One row: count, allowed, errors, coverage, error_rate (null if none is allowed), brier, ece from value, wrong, p, hit."""
+def metrics(cases: DataFrame, cutoff: float, config: Config, temperature: float = 1.0) -> DataFrame:
+    """One row: count, allowed, errors, coverage, error_rate (null if none is allowed), brier, ece from value, wrong, p, hit.
+
+    adjusted_brier and adjusted_ece are those of the probabilities at the fitted temperature.
+    """
+    scaled = dist.prob(dist.temperature(dist.noul(F.col("p")), temperature), "true")
+    cases = cases.withColumn("_adjusted", scaled if temperature != 1.0 else F.col("p"))
     ok = allowed(F.col("value"), F.lit(float(cutoff)), config.risky)
-    m = cases.agg(F.count("*").alias("count"), F.count_if(ok).alias("allowed"), F.count_if(ok & F.col("wrong")).alias("errors"), F.avg(brier_noul(F.col("p"), F.col("hit"))).alias("brier"))
-    both = m.join(ece(cases, "p", "hit", config.bins))  # two rows of one
-    return both.select("count", "allowed", "errors", (F.col("allowed") / F.col("count")).alias("coverage"), F.when(F.col("allowed") > 0, F.col("errors") / F.col("allowed")).alias("error_rate"), "brier", "ece")
+    m = cases.agg(F.count("*").alias("count"), F.count_if(ok).alias("allowed"), F.count_if(ok & F.col("wrong")).alias("errors"), F.avg(brier_noul(F.col("p"), F.col("hit"))).alias("brier"), F.avg(brier_noul(F.col("_adjusted"), F.col("hit"))).alias("adjusted_brier"))
+    both = m.join(ece(cases, "p", "hit", config.bins)).join(ece(cases, "_adjusted", "hit", config.bins).withColumnRenamed("ece", "adjusted_ece"))  # three rows of one
+    return both.select("count", "allowed", "errors", (F.col("allowed") / F.col("count")).alias("coverage"), F.when(F.col("allowed") > 0, F.col("errors") / F.col("allowed")).alias("error_rate"), "brier", "ece", "adjusted_brier", "adjusted_ece")
 
 
 def digest(cases: DataFrame, fields: list[str]) -> DataFrame:
     """One row: a digest of a cohort that does not depend on row order.
 
-    Cases are digested one by one; sorted digests are folded by their first
-    byte and the 256 results once more, so no task holds more than its share.
+    The SHA-256 of each case is read as eight numbers of 32 bits; their sums over
+    all cases, with the number of cases, are digested.  Sums are combined before the shuffle.
     """
     each = cases.select(F.sha2(framed(*(F.col(f).cast("string") for f in fields)), 256).alias("h"))
-    groups = each.groupBy(F.substring("h", 1, 2).alias("g")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
-    return groups.agg(F.sha2(F.coalesce(F.array_join(F.sort_array(F.collect_list(F.concat("g", "h"))), ""), F.lit("")), 256).alias("digest"))
+    words = [F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(12,0)") for i in range(8)]
+    one = each.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(w), F.lit(0)).cast("string").alias(f"s{i}") for i, w in enumerate(words)))
+    return one.select(F.sha2(F.concat_ws("|", F.col("n").cast("string"), *(f"s{i}" for i in range(8))), 256).alias("digest"))
+
+
+def check_cases(cases: DataFrame, options: list[str], label: str = "label", probs: str = "probs") -> None:
+    """Ids are unique, labels are options, and each case has a finite probability for every option and no other, with a mass near 1."""
+    p = F.transform(F.col(probs), lambda e: e["p"])
+    keys = F.array_sort(F.transform(F.col(probs), lambda e: e["key"]))
+    checks = {
+        "a label is no option": ~F.coalesce(F.col(label).isin(*options), F.lit(False)),
+        "probabilities are not those of the options": ~F.coalesce(keys == F.array(*map(F.lit, sorted(options))), F.lit(False)),
+        "a probability is not in [0, 1]": F.exists(p, lambda x: ~F.coalesce(dist.in_unit(x), F.lit(False))),
+        "probabilities do not sum to 1": F.abs(dist.total(F.col(probs)) - 1) > 0.05 + 0.005 * len(options),
+    }
+    one = cases.agg(*(F.coalesce(F.bool_or(F.coalesce(c, F.lit(False))), F.lit(False)).alias(str(i)) for i, c in enumerate(checks.values()))).first()
+    for i, what in enumerate(checks):
+        if one[i]:
+            raise CalibrationError(what)
+    if not cases.groupBy("id").count().where("count > 1").isEmpty():
+        raise CalibrationError("an id is repeated")
 
 
 def check_cohorts(fit: DataFrame, heldout: DataFrame, key: str = "id") -> None:
@@ -160,8 +184,9 @@ def fit(cases: DataFrame, heldout: DataFrame, config: Config, fields: list[str])
     if row is None:
         return None
     as_dist = cases.withColumns({"probs": dist.noul(F.col("p")), "label": F.when(F.col("hit"), "true").otherwise("false")})
-    m = metrics(heldout, row.cutoff, config).first().asDict()
-    return Artifact(asdict(config), row.cutoff, fit_temperature(as_dist, config.temperatures), digest(cases, fields).first()[0], digest(heldout, fields).first()[0], m)
+    t = fit_temperature(as_dist, config.temperatures)
+    m = metrics(heldout, row.cutoff, config, t).first().asDict()
+    return Artifact(asdict(config), row.cutoff, t, digest(cases, fields).first()[0], digest(heldout, fields).first()[0], m)
 
 
 def compare(baseline: dict, candidate: dict, tolerance: dict) -> dict:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import settle
 
 #: Limits up to this are joined by broadcast.
 SMALL_LIMIT = 10_000
@@ -46,7 +47,7 @@ def run(items: DataFrame, stages: list[Stage], index: str) -> tuple[DataFrame, D
     """(survivors, drops): drops are (index, stage, cause).  Each stage is computed once."""
     alive, drops = items, None
     for s in stages:
-        done = run_stage(alive, s, index).persist()
+        done = settle(run_stage(alive, s, index))
         gone = done.where("cause IS NOT NULL").select(index, F.lit(s.name).alias("stage"), "cause")
         drops = gone if drops is None else drops.unionByName(gone)
         alive = done.where("cause IS NULL").drop("cause")
@@ -64,6 +65,20 @@ def report(items: DataFrame, drops: DataFrame, stages: list[str], index: str) ->
     return per.join(total).withColumn("n_in", F.col("total") - before).select("ordinal", "stage", "n_in", (F.col("n_in") - F.col("gone")).alias("n_out"), "failed")
 
 
+def usage(asked: DataFrame, stage: str) -> DataFrame:
+    """One row of a stage's answers (model, request_tokens, answer_tokens, error): responses, tokens in and out, sorted known models, and whether one is unknown."""
+    ok = F.col("error").isNull()
+    known = F.when(ok & (F.coalesce("model", F.lit("")) != ""), F.col("model"))
+    return asked.agg(
+        F.lit(stage).alias("stage"),
+        F.count_if(ok).alias("responses"),
+        F.coalesce(F.sum(F.when(ok, F.col("request_tokens"))), F.lit(0)).alias("tokens_in"),
+        F.coalesce(F.sum(F.when(ok, F.col("answer_tokens"))), F.lit(0)).alias("tokens_out"),
+        F.sort_array(F.collect_set(known)).alias("models"),
+        F.coalesce(F.bool_or(ok & known.isNull()), F.lit(False)).alias("unknown_model"),
+    )
+
+
 def chunks(items: DataFrame, index: str, size: int) -> DataFrame:
     """``items`` with chunk and place, for requests that hold ``size`` items each; index counts from 0 without gaps."""
     return items.withColumns({"chunk": F.floor(F.col(index) / size).cast("long"), "place": (F.col(index) % size).cast("int")})

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
+from ..scorers import once
 
 OUTCOMES = {"allow": 1, "review": 2, "escalate": 3}
 CERTAINTY = ("confidence", "top", "margin", "entropy", "applicability")
@@ -169,7 +170,7 @@ class Bands(Rule):
         return _decision(o, path, self.input, r["value"], bad, [_reading(path, self.input, r)])
 
 
-def _multi(inputs, path, names, m, option, polarity, on_missing, decide) -> Column:
+def _multi(inputs, path, names, m, option, polarity, on_missing, outcome) -> Column:
     reads = [_read(inputs, n, m, option) for n in names]
     sign = -1 if polarity == RISKY else 1
     # weakest reading first, the earliest on ties
@@ -177,7 +178,7 @@ def _multi(inputs, path, names, m, option, polarity, on_missing, decide) -> Colu
     good, bad = F.filter(parts, lambda e: ~e["bad"]), F.filter(parts, lambda e: e["bad"])
     low = F.array_min(F.transform(good, lambda e: F.struct(e["v"].alias("v"), e["i"].alias("i"), e["name"].alias("name"))))
     value = sign * low["v"]
-    own = F.when(F.size(good) > 0, decide(value))
+    own = F.when(F.size(good) > 0, outcome(value))
     first_bad = F.array_min(F.transform(bad, lambda e: F.struct(e["i"].alias("i"), e["name"].alias("name"))))
     miss = _code(on_missing)
     # a missing input decides if it is at least as severe as the weakest reading
@@ -338,25 +339,20 @@ class Compose(Rule):
         return _decision(chosen["outcome"], chosen["rule"], chosen["weakest"], chosen["value"], chosen["missing"], F.concat(*(d["readings"] for d in parts)))
 
 
-def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """``df`` with columns that are computed once for each row: projections aren't merged across ``inline``."""
-    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))) if columns else df
-
-
-def decide(df: DataFrame, rule: Rule, inputs: dict[str, Column], name: str = "decision") -> DataFrame:
+def apply_rule(df: DataFrame, rule: Rule, inputs: dict[str, Column], name: str = "decision") -> DataFrame:
     """``df`` with the decision of a rule.
 
     The same as ``rule.evaluate`` in one column, but inputs and readings become
     columns first, so that a rule that reads an input in several places measures it once.
     """
     names = {n: f"_input{i}" for i, n in enumerate(inputs)}
-    out = _once(df, {names[n]: c for n, c in inputs.items()})
+    out = once(df, {names[n]: c for n, c in inputs.items()})
     first = _Inputs({n: F.col(c) for n, c in names.items()})
     rule.evaluate(first)
     keys = list(dict.fromkeys(first.asked))
-    out = _once(out, {f"_reading{i}": _read(dict(first), *k) for i, k in enumerate(keys)})
+    out = once(out, {f"_reading{i}": _read(dict(first), *k) for i, k in enumerate(keys)})
     known = {k: F.col(f"_reading{i}") for i, k in enumerate(keys)}
-    out = _once(out, {name: rule.evaluate(_Inputs(first, known))})
+    out = once(out, {name: rule.evaluate(_Inputs(first, known))})
     return out.select(*df.columns, name)
 
 

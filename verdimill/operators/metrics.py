@@ -5,17 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import settle
+
+
+def running_below(df: DataFrame, by: list[str], value: str, counts: str, name: str) -> DataFrame:
+    """``df`` (a row for each value of a group) with the sum of ``counts`` over smaller values of the group.
+
+    Rows are range-partitioned by group and value, so a large group takes many
+    tasks; each range gets the sum of those before it from a table with a row for each group and range.
+    """
+    rows = settle(df.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()))
+    order = lambda *p: Window.partitionBy(*p).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy(*by, "_range").agg(F.sum(counts).alias("_n"))
+    ranges = ranges.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(order(*by).orderBy("_range")), F.lit(0)).alias("_base"))
+    at = F.col("_range") == F.col("_r")
+    for i, c in enumerate(by):
+        at = at & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    inside = F.coalesce(F.sum(counts).over(order(*by, "_range").orderBy(value)), F.lit(0))
+    return rows.withColumn("_inside", inside).join(ranges, at).withColumn(name, F.col("_inside") + F.col("_base")).select(*df.columns, name)
+
 
 def average_ranks(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
     """``df`` with the rank of ``value`` within ``by``, ties sharing their mean.
 
     Values are counted first; running counts go over distinct values.
     """
-    n = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_n").over(w), F.lit(0))
-    ranks = n.select(*by, value, (before + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(ranks, [*by, value])
+    n = running_below(df.groupBy(*by, value).agg(F.count("*").alias("_n")), by, value, "_n", "_below")
+    return df.join(n.select(*by, value, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name)), [*by, value])
 
 
 def auc(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
@@ -25,13 +41,30 @@ def auc(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     from distinct values and not from rows.
     """
     n = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    n = n.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
+    n = running_below(n, by, score, "q", "below")
     s = n.groupBy(*by).agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("u"), F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
     both = F.col("positives") * F.col("negatives")
     return s.select(*by, F.when(both > 0, F.col("u") / both).alias("auc"), "positives", "negatives")
 
 
+def label_scores(scored: DataFrame, labels: DataFrame) -> DataFrame:
+    """``scored`` (path, function and more) with the columns of the ``labels`` (suffix, name and more) that a path's end and a function's name match.
+
+    ``name`` may be bare or qualified: it matches a function that is equal or
+    ends in a dot and the name.  The join is on the bare name; a path matches a suffix at a slash.
+    """
+    bare = lambda c: F.element_at(F.split(c, "\\."), -1)
+    s, l = scored.withColumn("_bare", bare(F.col("function"))), labels.withColumn("_name", bare(F.col("name")))
+    both = s.join(l, F.col("_bare") == F.col("_name"))
+    path = F.concat(F.lit("/"), "path").endswith(F.concat(F.lit("/"), "suffix"))
+    return both.where(path & F.concat(F.lit("."), "function").endswith(F.concat(F.lit("."), "name"))).drop("_bare", "_name")
+
+
+def join_runs(one: DataFrame, other: DataFrame, value: str, on: tuple[str, ...] = ("source", "input")) -> DataFrame:
+    """``on``, a, b: the values of two runs for what both have answered."""
+    return one.select(*on, F.col(value).alias("a")).join(other.select(*on, F.col(value).alias("b")), list(on))
+
+
 def rates(df: DataFrame, score: str, label: str, thresholds: list[float]) -> DataFrame:
     """threshold, tpr, fpr for each threshold, all in one pass."""
     p, q = F.count_if(F.col(label) == 1), F.count_if(F.col(label) != 1)

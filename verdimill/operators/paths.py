@@ -5,42 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp()}")
-    return df.checkpoint()
+from ..store import settle
 
 
 def reaches(edges: DataFrame, sinks: DataFrame, depth: int) -> DataFrame:
     """node, distance, chain: functions from which a sink is reached in at most ``depth`` calls, with one shortest chain, least by name."""
-    found = _checkpointed(sinks.select(F.col("node"), F.lit(0).alias("distance"), F.array("node").alias("chain")).distinct())
+    found = settle(sinks.select(F.col("node"), F.lit(0).alias("distance"), F.array("node").alias("chain")).distinct())
     front = found
     for d in range(1, depth + 1):
         step = edges.join(front, edges["callee"] == front["node"]).select(F.col("caller").alias("node"), F.lit(d).alias("distance"), F.concat(F.array("caller"), "chain").alias("chain"))
         step = step.groupBy("node", "distance").agg(F.min("chain").alias("chain")).join(found.select("node"), "node", "left_anti")
-        front = _checkpointed(step)
+        front = settle(step)
         if front.isEmpty():
             break
-        found = _checkpointed(found.unionByName(front))
+        found = settle(found.unionByName(front))
     return found
 
 
-def forwarders(sinks: DataFrame, forwards: DataFrame, max_rounds: int = 100) -> DataFrame:
+def forwarders(sinks: DataFrame, forwards: DataFrame) -> DataFrame:
     """Sinks and all functions that hand one of their parameters to a sink: a fixed point over forwards (caller, callee)."""
-    found = _checkpointed(sinks.select("node").distinct())
+    found = settle(sinks.select("node").distinct())
     n = found.count()
-    for _ in range(max_rounds):
+    while True:
         more = forwards.join(found, forwards["callee"] == found["node"], "left_semi").select(F.col("caller").alias("node"))
-        found = _checkpointed(found.unionByName(more).distinct())
+        found = settle(found.unionByName(more).distinct())
         now = found.count()
         if now == n:
             return found
         n = now
-    raise RuntimeError("forwarders did not settle")
 
 
 def sink_sites(calls: DataFrame, sinks: DataFrame) -> DataFrame:
@@ -50,7 +42,7 @@ def sink_sites(calls: DataFrame, sinks: DataFrame) -> DataFrame:
 
 def bounded_paths(edges: DataFrame, sites: DataFrame, entries: DataFrame, depth: int, keep: int) -> DataFrame:
     """site, path, length: up to ``keep`` paths to each site from distinct entries, shortest first; a node is visited once for each site."""
-    front = _checkpointed(sites.select("site", F.col("node"), F.array("node").alias("path")))
+    front = settle(sites.select("site", F.col("node"), F.array("node").alias("path")))
     seen, done = front.select("site", "node"), None
     ends = entries.select(F.col("node").alias("e")).distinct()
     for d in range(depth + 1):
@@ -60,14 +52,41 @@ def bounded_paths(edges: DataFrame, sites: DataFrame, entries: DataFrame, depth:
             break
         step = edges.join(front, edges["callee"] == front["node"]).select("site", F.col("caller").alias("node"), F.concat(F.array("caller"), "path").alias("path"))
         step = step.groupBy("site", "node").agg(F.min("path").alias("path")).join(seen, ["site", "node"], "left_anti")
-        front = _checkpointed(step)
+        front = settle(step)
         if front.isEmpty():
             break
-        seen = _checkpointed(seen.unionByName(front.select("site", "node")))
+        seen = settle(seen.unionByName(front.select("site", "node")))
     w = Window.partitionBy("site").orderBy("length", "path")
     return done.withColumn("r", F.row_number().over(w)).where(F.col("r") <= keep).drop("r")
 
 
+def to_outermost(paths: DataFrame, edges: DataFrame, entries: DataFrame, depth: int) -> DataFrame:
+    """site, path: each path extended upward, over calls (caller, callee), to the farthest entry within ``depth`` calls.
+
+    The path of a site stays as it is if no entry is above it; among entries equally far the least chain wins.
+    A function that is on the path already is not entered again.
+    """
+    ends = entries.select(F.col("node").alias("e")).distinct()
+    up = settle(paths.select("site", "path", F.col("path").alias("whole")))
+    found = up.select("site", "path", "whole", F.lit(0).alias("d"))
+    for d in range(1, depth + 1):
+        up = edges.join(up, F.col("callee") == F.element_at("whole", 1)).where(~F.array_contains("whole", F.col("caller")))
+        up = up.groupBy("site", "path", "caller").agg(F.min("whole").alias("w")).select("site", "path", F.concat(F.array("caller"), "w").alias("whole"))
+        up = settle(up)
+        if up.isEmpty():
+            break
+        found = found.unionByName(up.join(ends, F.element_at("whole", 1) == F.col("e"), "left_semi").withColumn("d", F.lit(d)))
+    far = found.groupBy("site", "path").agg(F.max("d").alias("far"))
+    return found.join(far, ["site", "path"]).where("d = far").groupBy("site", "path").agg(F.min("whole").alias("w")).select("site", F.col("w").alias("path"))
+
+
+def entry_points(functions: DataFrame, request_types: list[str]) -> DataFrame:
+    """node of each function (node, parameters array, embeds array) that takes a request type, or a type that embeds one."""
+    wanted = F.array(*map(F.lit, request_types))
+    bare = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.regexp_replace(t, r"^[*&\\[\\]. ]+", ""))
+    return functions.where(F.arrays_overlap(bare(F.col("parameters")), wanted) | F.arrays_overlap(bare(F.col("embeds")), wanted)).select("node").distinct()
+
+
 def render_path(functions: list[str], budget: int) -> str | None:
     """Sources of a path under a byte budget: middle functions are shortened first, then the last, then the first; None if it still does not fit."""
     texts = list(functions)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
+from ..store import settle
 
 
 def check_observations(df: DataFrame, noul: str = "noul") -> DataFrame:
@@ -29,7 +30,7 @@ def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Row numbers from 1 in a total order, by range partitions and their counts."""
     from_range = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     rows = from_range.withColumns({"_part": F.shiftright("_id", 33), "_pos": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
-    rows = rows.persist()
+    rows = settle(rows)  # numbers stay as they are if executors are lost
     counts = rows.groupBy("_part").count()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
@@ -92,25 +93,27 @@ def preference_edges(pairs: DataFrame) -> DataFrame:
     return pairs.where(p != 0.5).select(F.when(p > 0.5, F.col("first")).otherwise(F.col("second")).alias("src"), F.when(p > 0.5, F.col("second")).otherwise(F.col("first")).alias("dst"))
 
 
-def has_cycle(edges: DataFrame, max_rounds: int = 10_000) -> bool:
-    """Whether a directed graph has a cycle: nodes without incoming edges are peeled off until none is left."""
-    spark = edges.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
+def has_cycle(edges: DataFrame) -> bool:
+    """Whether a directed graph (src, dst) has a cycle; a loop is one.
 
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp()}")
-    e = edges.select("src", "dst").distinct().checkpoint()
+    If every two nodes are joined by one edge, as in a full pairwise sort, the
+    numbers of wins tell: without a cycle they are all different.  Otherwise nodes
+    without edges coming in, or going out, are peeled off until nothing changes.
+    """
+    e = settle(edges.select("src", "dst").distinct())
+    wins = e.select(F.col("src").alias("node"), F.lit(1).alias("w")).unionByName(e.select(F.col("dst").alias("node"), F.lit(0).alias("w"))).groupBy("node").agg(F.sum("w").alias("wins"))
+    n = wins.agg(F.count("*").alias("nodes"), F.count_distinct("wins").alias("different")).first()
+    pairs = e.select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).where("x <> y").distinct().count()
     left = e.count()
-    for _ in range(max_rounds):
-        if not left:
-            return False
-        # an edge stays if its start has an edge coming in and its end one going out
-        e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").checkpoint()
+    if not left or pairs == left == n.nodes * (n.nodes - 1) // 2:
+        return bool(left) and n.different < n.nodes
+    while left:
+        e = settle(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
         now = e.count()
         if now == left:
             return True
         left = now
-    raise RuntimeError("graph did not settle")
+    return False
 
 
 def provenance(observations: DataFrame) -> DataFrame:
@@ -121,3 +124,9 @@ def provenance(observations: DataFrame) -> DataFrame:
 
 def pair_count(n: Column) -> Column:
     return (n.cast("decimal(38,0)") * (n - 1) / 2).cast("long")
+
+
+def positions_of(ranked: DataFrame, labels: DataFrame, position: str, on: list[str]) -> DataFrame:
+    """``labels`` with the position of each in a ranking and its percentile: the share of rows at or before it; null if it is not ranked."""
+    n = ranked.agg(F.count("*").alias("_n"))
+    return labels.join(ranked.select(*on, position), on, "left").join(n).withColumn("percentile", F.col(position) / F.col("_n")).drop("_n")  # one row

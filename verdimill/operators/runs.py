@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
-import os
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import store
+
 REPEAT_LIMIT = 5
 
 
@@ -60,55 +62,98 @@ def exit_code(summary: dict, fail_on: str | None = None) -> int:
     return 2 if fail_on and summary.get(fail_on) else 0
 
 
+class RunBusy(RuntimeError):
+    """Another writer holds the run."""
+
+
 @dataclass
 class Run:
-    """A run in a folder: run.json, requests and results as Parquet."""
+    """A run in a folder of any file system that Spark reaches: run.json, requests and results as Parquet.
+
+    It is made aside and published by a rename, so a listed run has its requests.
+    A writer holds the file ``writer``, which names it; files are replaced by renames.
+    """
 
     id: str
     root: str
     template: str = ""
     status: str = "interrupted"
     created: str = ""
+    complete: int = 0
+    failed: int = 0
+
+    def _path(self, name: str = "", aside: bool = False) -> str:
+        return "/".join(x for x in (self.root.rstrip("/"), f".new-{self.id}" if aside else self.id, name) if x)
 
     @property
     def dir(self) -> str:
-        return os.path.join(self.root, self.id)
-
-    def save(self) -> None:
-        os.makedirs(self.dir, exist_ok=True)
-        tmp = os.path.join(self.dir, ".run.json")
-        with open(tmp, "w") as f:
-            json.dump(asdict(self), f)
-        os.replace(tmp, os.path.join(self.dir, "run.json"))
-
-    def write_requests(self, df: DataFrame) -> None:
-        df.write.mode("errorifexists").parquet(os.path.join(self.dir, "requests"))
-        self.save()
+        return self._path()
+
+    def save(self, spark: SparkSession, aside: bool = False) -> None:
+        store.write_text(spark, self._path("run.json", aside), json.dumps(asdict(self)))
+
+    def create(self, df: DataFrame) -> None:
+        """Write the requests and publish the run; what is left of a failed attempt is discarded."""
+        spark = df.sparkSession
+        try:
+            df.write.mode("errorifexists").parquet(self._path("requests", True))
+            self.save(spark, True)
+            store.rename(spark, self._path(aside=True), self.dir)
+        except Exception:
+            self.discard(spark)
+            raise
+
+    def discard(self, spark: SparkSession) -> None:
+        """Remove what has not been published."""
+        store.drop(spark, self._path(aside=True))
+
+    @contextlib.contextmanager
+    def writing(self, spark: SparkSession, stale: float = 3600.0):
+        """Hold the run for one writer; a hold older than ``stale`` seconds without a sign of life is taken over."""
+        path = self._path("writer")
+        if not store.create_new(spark, path):
+            age = store.age(spark, path)
+            if age is not None and age < stale:
+                raise RunBusy(f"run {self.id} has a writer")
+            store.drop(spark, path)
+            if not store.create_new(spark, path):
+                raise RunBusy(f"run {self.id} has a writer")
+        try:
+            yield self
+        finally:
+            store.drop(spark, path)
 
     def append_results(self, df: DataFrame) -> None:
-        df.write.mode("append").parquet(os.path.join(self.dir, "results"))
+        """Add results, then count them."""
+        spark = df.sparkSession
+        df.write.mode("append").parquet(self._path("results"))
+        c = latest(self.results(spark).select(F.concat_ws(":", "item_first", "n").alias("index"), "attempt_seq", "error")).agg(F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("bad")).first()
+        self.complete, self.failed = c.ok, c.bad
+        self.save(spark)
 
     def requests(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(os.path.join(self.dir, "requests"))
+        return spark.read.parquet(self._path("requests"))
+
+    def has_results(self, spark: SparkSession) -> bool:
+        return "results" in store.names(spark, self.dir)
 
     def results(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(os.path.join(self.dir, "results"))
+        return spark.read.parquet(self._path("results"))
 
 
-def list_runs(root: str) -> list[Run]:
+def list_runs(spark: SparkSession, root: str) -> list[Run]:
     """Newest first."""
     out = []
-    for name in os.listdir(root) if os.path.isdir(root) else []:
-        path = os.path.join(root, name, "run.json")
-        if os.path.exists(path):
-            with open(path) as f:
-                out.append(Run(**json.load(f)))
+    for name in store.names(spark, root):
+        text = None if name.startswith(".") else store.read_text(spark, f"{root.rstrip('/')}/{name}/run.json")
+        if text:
+            out.append(Run(**{**json.loads(text), "root": root}))
     return sorted(out, key=lambda r: (r.created, r.id), reverse=True)
 
 
-def open_run(root: str, prefix: str) -> Run:
+def open_run(spark: SparkSession, root: str, prefix: str) -> Run:
     """The run whose id starts with ``prefix``; an error if none or several do."""
-    found = [r for r in list_runs(root) if r.id.startswith(prefix)]
+    found = [r for r in list_runs(spark, root) if r.id.startswith(prefix)]
     exact = [r for r in found if r.id == prefix]
     if len(exact or found) != 1:
         raise ValueError(f"{len(found)} runs start with {prefix!r}")

@@ -7,9 +7,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from .. import store
+from ..engine import Engine, EngineConfig
 from ..functions import dist, text
 from ..operators import cache, calibrate, combine, compact, funnel, gate, heads, metrics, pick, rank, runs, validate, verdicts
-from ..questions import Choice, Condition, Noul, QuestionSet
+from ..questions import Choice, Condition, Noul, QuestionSet, Template
 from ..scorers import HashScorer, hash_answer, hash_answers, hash_weight, score
 from .base import FLAGS, MATCHES, TRIAGE, answered, h, labelled, r9, sql, table
 
@@ -185,7 +187,7 @@ def validate_full_outer(spark, sf):
 def _gated(spark, sf, rule):
     df = answered(spark, sf)
     a = {k: gate.gate_input(F.when(F.col("doc_id") % 11 == 0, None).otherwise(F.col(k)) if k == "queue" else F.col(k)) for k in TRIAGE.questions}
-    out = gate.decide(df, rule, a, "d")
+    out = gate.apply_rule(df, rule, a, "d")
     return out.select("doc_id", gate.outcome_name(F.col("d.outcome")).alias("outcome"), "d.rule", "d.weakest", r9(F.col("d.value")).alias("value"), "d.missing", F.size("d.readings").alias("n_readings"))
 
 
@@ -258,21 +260,21 @@ _PARTS = f"p AS (SELECT doc_id, i + 1 AS n, greatest(ceil(length(text) / 512.0),
 
 
 def _parts(spark, sf, key="relevant"):
-    docs = table(spark, sf, "documents").select("doc_id", "text", F.greatest(F.ceil(F.length("text") / 512), F.lit(1)).cast("int").alias("of"))
-    rows = docs.select("doc_id", "of", "text", F.explode(F.sequence(F.lit(1), F.col("of"))).alias("n"))
-    rows = rows.withColumn("part", F.expr("substring(text, (n - 1) * 512 + 1, 512)"))
+    pieces = F.regexp_extract_all("text", F.lit("(?s).{1,512}"), F.lit(0))  # one pass over a text
+    docs = table(spark, sf, "documents").select("doc_id", F.when(F.length("text") > 0, pieces).otherwise(F.array(F.lit(""))).alias("pieces"))
+    rows = docs.select("doc_id", F.size("pieces").alias("of"), F.posexplode("pieces").alias("pos", "part")).withColumn("n", F.col("pos") + 1)
     rows = rows.select("doc_id", "n", "of", F.lit("").alias("lines"), F.length("part").alias("size"), F.lit("complete").alias("status"), "part")
     return hash_answers(rows, {key: TRIAGE.questions[key]}, "part").withColumnRenamed(key, "answer").drop("part")
 
 
 @query(f"WITH {_PARTS} SELECT doc_id, round(sum(CASE WHEN size > 0 THEN size ELSE 1 END * noul) / sum(CASE WHEN size > 0 THEN size ELSE 1 END), 9) AS noul FROM a GROUP BY doc_id")
 def combine_parts(spark, sf):
-    return combine.combine_answers(_parts(spark, sf), "doc_id").select("doc_id", r9(F.col("answer.noul")).alias("noul"))
+    return combine.combine_answers(_parts(spark, sf), "doc_id", TRIAGE.questions["relevant"]).select("doc_id", r9(F.col("answer.noul")).alias("noul"))
 
 
 @query(f"WITH {_PARTS} SELECT doc_id, noul, n::INTEGER AS where_part FROM a QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY noul DESC, n) = 1")
 def combine_strongest(spark, sf):
-    return combine.combine_answers(_parts(spark, sf), "doc_id", FLAGS["relevant"]).select("doc_id", F.col("answer.noul").alias("noul"), "where_part")
+    return combine.combine_answers(_parts(spark, sf), "doc_id", TRIAGE.questions["relevant"], FLAGS["relevant"]).select("doc_id", F.col("answer.noul").alias("noul"), "where_part")
 
 
 _WQ = ", ".join(f"{h(f'queue|{o}', 'part')} AS w_{o}" for o in ("billing", "bug", "other"))
@@ -284,7 +286,7 @@ _WQ = ", ".join(f"{h(f'queue|{o}', 'part')} AS w_{o}" for o in ("billing", "bug"
     + " FROM q GROUP BY doc_id) SELECT doc_id, billing, bug, other FROM m"
 )
 def combine_choice(spark, sf):
-    df = combine.combine_answers(_parts(spark, sf, "queue"), "doc_id")
+    df = combine.combine_answers(_parts(spark, sf, "queue"), "doc_id", TRIAGE.questions["queue"])
     return df.select("doc_id", *(r9(dist.prob(F.col("answer.probs"), o)).alias(o) for o in ("billing", "bug", "other")))
 
 
@@ -624,6 +626,18 @@ def cache_stale(spark, sf):
     return cache.stale(*_keyed(spark, sf)).select("doc_id")
 
 
+@query(sql("SELECT doc_id, 'complete' AS status, CASE WHEN text IN (SELECT text FROM documents WHERE doc_id % 2 = 0) THEN 2 ELSE 0 END::BIGINT AS cached, relevant, choice FROM c"))
+def cached_rerun(spark, sf):
+    """Half of the documents are asked about first; a run over all of them asks only what no equal text has answered."""
+    docs = table(spark, sf, "documents")
+    no = lambda t: F.lit(None).cast(t)
+    items = docs.select(F.col("doc_id").alias("item_index"), F.concat(F.lit("documents:"), "doc_id").alias("label"), F.lit("record").alias("unit"), F.lit("").alias("value"), F.col("text").alias("state"), no("array<struct<lines:string,size:int,state:string>>").alias("parts"), no("struct<content_type:string,path:string>").alias("media"), F.lit(False).alias("is_diff"), F.lit(False).alias("is_code"))
+    engine = Engine(spark, EngineConfig(cache_dir=store.fresh_dir(spark, "answers")))
+    t = Template("two", {k: TRIAGE.questions[k] for k in ("relevant", "queue")}, {"relevant": "yes >= 60%"})
+    engine.run(t, items.where("item_index % 2 = 0"))
+    return engine.run(t, items).items.select(F.col("item_index").alias("doc_id"), "status", "cached", F.col("relevant.noul").alias("relevant"), "queue.choice")
+
+
 _RESULTS = 'x AS (SELECT doc_id AS "index", s AS attempt_seq, CASE WHEN (doc_id + s) % 3 = 0 THEN \'failed\' ELSE \'complete\' END AS status FROM documents, unnest([1, 2, 3]) AS u(s) WHERE s <= doc_id % 4), l AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY "index" ORDER BY attempt_seq DESC) = 1)'
 
 

@@ -11,12 +11,17 @@ import io
 import json
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from dataclasses import field as dataclass_field
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
+from .. import store
 from ..schemas import ITEM
 from . import code, diff, markdown, media, split
 
@@ -346,66 +351,139 @@ def items_of(label: str, text: str, kind: str, o: Options) -> list[tuple]:
     return [_document(label, text, o, md)]
 
 
-_ROW = "array<struct<label:string,unit:string,value:string,state:string,parts:array<struct<lines:string,size:int,state:string>>,media:struct<content_type:string,path:string>,is_diff:boolean,is_code:boolean>>"
+_ROW = "label string, unit string, value string, state string, parts array<struct<lines:string,size:int,state:string>>, media struct<content_type:string,path:string>, is_diff boolean, is_code boolean"
+SKIPPED = "label string, reason string"
 
 
-def read_items(spark: SparkSession, paths: list[str], options: Options | None = None, stdin: str | None = None) -> DataFrame:
-    """Rows of ITEM for files and folders, in order.
+def listing(spark: SparkSession, paths: list[str], o: Options) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Files to read (ordinal, label, kind, path), files passed over (SKIPPED) and the texts' paths.
+
+    A file that was named itself and can't be read is an error.
+    """
+    found: list[tuple[str, bool]] = []
+    for p in paths:
+        found += [(f, False) for f in list_files(p, o)] if os.path.isdir(p) else [(p, True)]
+    names = labels([p for p, _ in found])
+    rows, skipped = [], []
+    for i, (p, named) in enumerate(found):
+        kind = format_of(p)
+        size = os.path.getsize(p)
+        with open(p, "rb") as f:
+            head = f.read(media.PEEK)
+        if kind == "media":
+            why = media.reason(p, head, size, o.limits)
+        elif size > (MAX_JSON if kind in ("json", "jsonl", "csv") else MAX_TEXT):
+            why = "too large"
+        else:
+            why = "binary file" if media.is_binary(head) else ""
+        if not why:
+            rows.append((i, names[p], kind, os.path.abspath(p)))
+        elif named:
+            raise SourceError(f"{p}: {why}")
+        else:
+            skipped.append((names[p], why))
+    return spark.createDataFrame(rows, "ordinal long, label string, kind string, path string"), spark.createDataFrame(skipped, SKIPPED), [r[3] for r in rows if r[2] != "media"]
+
+
+def make_items(files: DataFrame, o: Options) -> DataFrame:
+    """ordinal, pos and the columns of an item for files (ordinal, label, kind, text, path); items leave a task in batches, so no file's list is one value."""
+    schema = to_arrow_schema(_parse_datatype_string(f"ordinal long, pos long, {_ROW}"))
+    names = schema.names
+
+    def of(label: str, kind: str, text: str, path: str):
+        if kind == "media":
+            t = media.TYPES[os.path.splitext(path)[1].lower()]
+            return [(label, media.kind(t), _dump(label), _dump({"path": label}), [], (t, path), False, False)]
+        return items_of(label, text, kind, o)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        for batch in batches:
+            for f in batch.to_pylist():
+                for pos, (*head, parts, medium, is_diff, is_code) in enumerate(of(f["label"], f["kind"], f["text"], f["path"])):
+                    part = [dict(zip(("lines", "size", "state"), p, strict=True)) for p in parts]
+                    m = medium and dict(zip(("content_type", "path"), medium, strict=True))
+                    out.append(dict(zip(names, (f["ordinal"], pos, *head, part, m, is_diff, is_code), strict=True)))
+                    if len(out) >= 1000:
+                        yield pa.RecordBatch.from_pylist(out, schema)
+                        out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return files.select("ordinal", "label", "kind", "text", "path").mapInArrow(run, f"ordinal long, pos long, {_ROW}")
+
+
+def line_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, line (from 1), text of every line of files that Spark can read, large ones in many tasks.
+
+    Lines are counted in each split and numbered from the counts of the splits before it.
+    """
+    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", "\\r$", "").alias("text"))
+    rows = store.settle(rows)  # numbers stay as they are if executors are lost
+    blocks = rows.groupBy("path", "_block").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("path").alias("_p"), F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("path", "_block").orderBy("_id"))
+    rows = rows.withColumn("_inside", inside).join(blocks, (F.col("path") == F.col("_p")) & (F.col("_block") == F.col("_b")))
+    return rows.select("path", (F.col("_base") + F.col("_inside")).alias("line"), "text")
+
+
+def read_lines(spark: SparkSession, paths: list[str], kind: str = "lines", options: Options | None = None) -> DataFrame:
+    """Items (path, line, and the columns of an item) of line or JSONL files of any size, anywhere Spark reads; blank lines are passed over and keep their numbers.
+
+    A line is parsed as in ``read_items``; its label is path:line.  A JSONL line that is not JSON is an error.
+    """
+    o = options or Options()
+    rows = line_rows(spark, paths).where(F.trim(F.regexp_replace("text", r"\s", "")) != "")
+    schema = to_arrow_schema(_parse_datatype_string(f"path string, line long, {_ROW}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                text = r["text"].removeprefix("\ufeff") if r["line"] == 1 else r["text"]
+                at = f"{r['path']}:{r['line']}"
+                if kind == "jsonl":
+                    try:
+                        json.loads(text)
+                    except ValueError:
+                        raise SourceError(f"{at}: not JSON") from None
+                    item = _record(at, "record", text.strip(), o)
+                else:
+                    item = _record(at, "line", _dump(text), Options(budget=o.budget))
+                *head, parts, _, is_diff, is_code = item
+                out.append(dict(zip(schema.names, (r["path"], r["line"], *head, [dict(zip(("lines", "size", "state"), p, strict=True)) for p in parts], None, is_diff, is_code), strict=True)))
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return rows.select("path", "line", "text").mapInArrow(run, f"path string, line long, {_ROW}")
+
+
+def scan(spark: SparkSession, paths: list[str], options: Options | None = None, stdin: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of ITEM for files and folders, in order, and the files passed over (SKIPPED).
 
     The driver lists; Spark reads the files and makes items of them, one file
-    for each call, so files are the unit of parallel work and none is larger than
-    MAX_TEXT (MAX_JSON for records).  ``limit`` takes the first items, ``sample`` a fixed choice by hash, both in input order.
+    at a time, so files are the unit of parallel work and none is larger than
+    MAX_TEXT (MAX_JSON for records; ``read_lines`` takes larger ones).  ``limit`` takes the first items, ``sample`` a fixed choice by hash, both in input order.
     """
     o = options or Options()
     if o.limit and o.sample:
         raise SourceError("limit and sample exclude each other")
     if o.each and o.each not in UNITS:
         raise SourceError(f"unknown unit {o.each!r}")
+    none = F.lit(None).cast("string")
     if stdin is not None:
         if not stdin.strip():
             raise SourceError("no input")
-        kind = sniff(stdin)
-        files = spark.createDataFrame([(0, "stdin", kind, stdin)], "ordinal long, label string, kind string, text string")
+        files = spark.createDataFrame([(0, "stdin", sniff(stdin), stdin)], "ordinal long, label string, kind string, text string").withColumn("path", none)
+        skipped = spark.createDataFrame([], SKIPPED)
     else:
-        found: list[tuple[str, bool]] = []
-        for p in paths:
-            found += [(f, False) for f in list_files(p, o)] if os.path.isdir(p) else [(p, True)]
-        names = labels([p for p, _ in found])
-        rows, skipped = [], []
-        for i, (p, named) in enumerate(found):
-            kind = format_of(p)
-            size = os.path.getsize(p)
-            with open(p, "rb") as f:
-                head = f.read(media.PEEK)
-            if kind == "media":
-                why = media.reason(p, head, size, o.limits)
-            elif size > (MAX_JSON if kind in ("json", "jsonl", "csv") else MAX_TEXT):
-                why = "too large"
-            else:
-                why = "binary file" if media.is_binary(head) else ""
-            if why:
-                if named:
-                    raise SourceError(f"{p}: {why}")
-                skipped.append((names[p], why))
-            else:
-                rows.append((i, names[p], kind, os.path.abspath(p)))
-        listing = spark.createDataFrame(rows, "ordinal long, label string, kind string, path string")
-        texts = [r[3] for r in rows if r[2] != "media"]
+        files, skipped, texts = listing(spark, paths, o)
         if texts:
             content = spark.read.format("binaryFile").load(texts).select(F.regexp_replace("path", "^file:/+", "/").alias("c_path"), F.col("content").cast("string").alias("text"))
-            files = listing.join(content, F.col("path") == F.col("c_path"), "left").drop("c_path")
+            files = files.join(content, F.col("path") == F.col("c_path"), "left").drop("c_path")
         else:
-            files = listing.withColumn("text", F.lit(None).cast("string"))
-
-    def make(label, kind, text, path):
-        if kind == "media":
-            t = media.TYPES[os.path.splitext(path)[1].lower()]
-            return [(label, media.kind(t), _dump(label), _dump({"path": label}), [], (t, path), False, False)]
-        return items_of(label, text, kind, o)
-
-    path = F.col("path") if "path" in files.columns else F.lit(None).cast("string")
-    made = files.select("ordinal", F.posexplode(F.udf(make, _ROW)("label", "kind", "text", path)).alias("pos", "item"))
-    out = made.select("ordinal", "pos", "item.*")
+            files = files.withColumn("text", none)
+    out = make_items(files, o)
     if o.sample:
         out = out.orderBy(F.xxhash64(F.lit(1), "ordinal", "pos")).limit(o.sample)
     if o.limit:
@@ -414,4 +492,9 @@ def read_items(spark: SparkSession, paths: list[str], options: Options | None =
 
     out = number_rows(out, [F.col("ordinal"), F.col("pos")], "n")
     names = [c.split(" ")[0] for c in re.split(r", (?=\w+ )", ITEM)]
-    return out.withColumn("item_index", F.col("n") - 1).select(*[n for n in names if n in out.columns or n == "item_index"])
+    return out.withColumn("item_index", F.col("n") - 1).select(*[n for n in names if n in out.columns or n == "item_index"]), skipped
+
+
+def read_items(spark: SparkSession, paths: list[str], options: Options | None = None, stdin: str | None = None) -> DataFrame:
+    """The items of ``scan``."""
+    return scan(spark, paths, options, stdin)[0]

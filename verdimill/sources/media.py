@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import struct
 from dataclasses import dataclass
@@ -99,3 +100,12 @@ def reason(path: str, data: bytes, size: int, limits: Limits | None = None) -> s
         if d and d[0] * d[1] > limits.max_pixels:
             return "too many pixels"
     return ""
+
+
+def file_hash(path: str, piece: int = 1 << 20) -> str:
+    """SHA-256 of a file, read piece by piece."""
+    h = hashlib.sha256()
+    with open(path, "rb") as f:
+        while data := f.read(piece):
+            h.update(data)
+    return h.hexdigest()

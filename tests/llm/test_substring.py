@@ -4,6 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from verdimill.llm import substring
 from verdimill.llm.substring import MIN_WORDS, align, compact_windows, cut_words, near_passages, remove_repeats, window_rows
 
 
@@ -149,3 +150,50 @@ def test_every_sharer_of_fifty_words_is_found(spark, sf):
         covered.setdefault(g[0], set()).update(range(g[1], g[2]))
     missed = sorted(w for w in want if not set(range(w[1], w[1] + 50)) <= covered.get(w[0], set()))
     assert want and missed == []
+
+
+def test_an_earlier_line_hides_no_passage(spark):
+    """An earlier text holds only a line; two later ones share a passage around it."""
+    rng = random.Random(10)
+    docs, want = [], set()
+    for t in range(100):
+        length, whole = rng.choice([(30, 52), (35, 55), (40, 56), (45, 57), (48, 68)])
+        line = words(rng, length)
+        before = rng.randrange(whole - length + 1)
+        p = words(rng, before) + line + words(rng, whole - length - before)
+        docs.append((t, words(rng, 40) + line + words(rng, 40)))
+        docs += [(1000 + 2 * t + i, words(rng, 30) + p + words(rng, 30)) for i in (0, 1)]
+        want.add((1001 + 2 * t, 30, 30 + whole, 1000 + 2 * t, 30, 30 + whole))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(3)
+    assert set(spans(df)) == want
+
+
+def test_very_long_passages(spark):
+    rng = random.Random(11)
+    p = words(rng, 70_000)
+    df = spark.createDataFrame([(1, " ".join(words(rng, 100) + p)), (2, " ".join(p + words(rng, 9)))], "doc_id long, text string")
+    assert spans(df) == [(2, 0, 70_000, 1, 100, 70_100)]
+
+
+def test_groups_beyond_the_limit_are_split(spark, monkeypatch):
+    """With tasks of at most 8 members the same links are found."""
+    rng = random.Random(12)
+    line = words(rng, 28)
+    q = [words(rng, 15) + line + words(rng, 15) for _ in range(10)]
+    docs = [(0, words(rng, 20) + line + words(rng, 20))] + [(1 + i, words(rng, 20) + q[i % 10] + words(rng, 20)) for i in range(60)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    whole = sorted(spans(df))
+    monkeypatch.setattr(substring.regrouped, "__defaults__", (8,))
+    assert {g[0] for g in whole} == set(range(11, 61))
+    assert {g[:3] for g in spans(df)} == {g[:3] for g in whole}
+
+
+def test_copies_and_repeated_words(spark):
+    """Texts of equal words have one row each; stretches of one word meet if they are passages."""
+    rng = random.Random(13)
+    w = words(rng, 80)
+    docs = [(5, w), (3, [x.upper() for x in w]), (9, w), (9, w), (20, words(rng, 30) + ["the"] * 60 + words(rng, 30)), (21, words(rng, 10) + ["the"] * 55), (22, words(rng, 30) + ["the"] * 30 + words(rng, 30))]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in docs], "doc_id long, text string").repartition(3)
+    got = spans(df)
+    assert sorted(g for g in got if g[0] < 20) == [(5, 0, 80, 3, 0, 80), (9, 0, 80, 3, 0, 80)]
+    assert {(g[0], g[3]) for g in got if g[0] >= 20} == {(21, 20)}

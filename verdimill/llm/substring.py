@@ -203,7 +203,7 @@ def _windows(h: np.ndarray, size: np.ndarray, sums: tuple):
     before, after = np.r_[False, near], np.r_[near, False]
     stretch = np.cumsum(~before) - 1
     first, last = np.flatnonzero(~before), np.flatnonzero(~after)
-    long = (at[last] - at[first] + SHINGLE + 2 * SIDE >= MIN_WORDS)[stretch]
+    long = (r[order][last] - at[first] + SHINGLE - 1 + 2 * SIDE >= MIN_WORDS)[stretch]  # up to the end of the last one's range
     alone, ends = ~(before | after), ~(before & after)
     use = alone | long & (ends | (at // STEP != np.r_[-1, at[:-1] // STEP]))
     key[order[~alone]] = _mix(key[order[~alone]])

@@ -188,3 +188,15 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     out = settle(read_archive(spark, path).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")))
     drop_dir(spark, path)
     return out
+
+
+#: The same rows in DuckDB, from the pages themselves.
+WARC_SQL = f"""
+WITH d AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last
+  FROM pages),
+r AS (SELECT *, payload_bytes >= {REVISIT_BYTES} AND page_id IS DISTINCT FROM last AND last IS NOT NULL AS again FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to
+FROM r
+"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -149,12 +150,20 @@ def _compact_json(value: str | None):
 
 def lookup_strict(value: Column, path: str) -> Column:
     """(value, error) of a path: an absent member is an error that names those there; JSON null is the text null."""
-    return F.udf(_lookup_strict, "struct<value:string,error:string>")(value, F.lit(path))
+    @F.pandas_udf("value string, error string")
+    def of(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_lookup_strict(v, path) for v in values], columns=["value", "error"])
+
+    return of(value)
 
 
 def compact_json(value: Column) -> Column:
     """JSON text without white space between tokens; order and numbers as they were."""
-    return F.udf(_compact_json, "string")(value)
+    @F.pandas_udf("string")
+    def of(values: pd.Series) -> pd.Series:
+        return values.map(_compact_json)
+
+    return of(value)
 
 
 def wrap(text: str, width: int) -> list[str]:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from .. import store
@@ -447,7 +444,21 @@ def _segments(spark, sf):
     return c.select("conv_id", "turn", size.alias("size"), F.ceil(size / 4).cast("int").alias("short_size"), F.when(F.col("turn") % 2 == 0, F.left("text", F.lit(40))).alias("short"), (F.col("role") == "system").alias("pinned"), hash_weight("needed", F.col("text")).alias("needed"), hash_weight("verbatim", F.col("text")).alias("verbatim"), (F.col("turn") % 5 != 4).alias("scored"))
 
 
-@query()
+_SEGMENTS = f"s AS (SELECT conv_id, turn, length(text) AS size, ceil(length(text) / 4.0)::INTEGER AS small, turn % 2 = 0 AND length(text) > 0 AS has_short, role = 'system' AS pinned, {h('needed')} AS needed, {h('verbatim')} AS verbatim, turn % 5 <> 4 AS scored FROM conversations)"
+_KEEPS = "NOT (o.scored AND o.has_short AND o.verbatim < 0.4) AND o.size <= r.left_"
+_SHORTENS = "o.has_short AND o.small <= r.left_"
+
+
+@query(
+    f"WITH RECURSIVE {_SEGMENTS}, b AS (SELECT conv_id, 600 - coalesce(sum(size) FILTER (pinned), 0) AS left_ FROM s GROUP BY conv_id), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY scored, CASE WHEN scored THEN -needed ELSE 0 END, CASE WHEN scored THEN -turn ELSE turn END) AS i FROM s WHERE NOT pinned AND (NOT scored OR needed >= 0.15)), "
+    "r AS (SELECT conv_id, 0::BIGINT AS i, left_::BIGINT AS left_, left_ < 0 AS over, NULL::BIGINT AS turn, NULL::VARCHAR AS action, NULL::VARCHAR AS cause FROM b UNION ALL "
+    f"SELECT o.conv_id, o.i, (r.left_ - CASE WHEN r.over THEN 0 WHEN {_KEEPS} THEN o.size WHEN {_SHORTENS} THEN o.small ELSE 0 END)::BIGINT, r.over, o.turn, "
+    f"CASE WHEN r.over THEN 'drop' WHEN {_KEEPS} THEN 'keep' WHEN {_SHORTENS} THEN 'short' ELSE 'drop' END, "
+    f"CASE WHEN NOT r.over AND (({_KEEPS}) OR ({_SHORTENS})) THEN CASE WHEN o.scored THEN 'ranked' ELSE 'unscored' END ELSE 'budget' END "
+    "FROM r JOIN o ON o.conv_id = r.conv_id AND o.i = r.i + 1) "
+    "SELECT conv_id, turn, action, cause FROM r WHERE i > 0 UNION ALL SELECT conv_id, turn, 'keep', 'pinned' FROM s WHERE pinned UNION ALL SELECT conv_id, turn, 'drop', 'floor' FROM s WHERE NOT pinned AND scored AND needed < 0.15"
+)
 def compact_select(spark, sf):
     return compact.select(_segments(spark, sf), "conv_id", "turn", compact.Rule(600, 0.15, 0.4))
 
@@ -461,7 +472,15 @@ def compact_floor(spark, sf):
     return t.join(n, "conv_id")
 
 
-@query()
+_OPENS = "(r.used > 0 AND r.used + s.n > 1500)"
+
+
+@query(
+    "WITH RECURSIVE s AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations), "
+    "r AS (SELECT conv_id, turn, i, CASE WHEN n <= 1500 THEN 0 END AS batch, 0 AS cur, CASE WHEN n <= 1500 THEN n ELSE 0 END AS used FROM s WHERE i = 1 UNION ALL "
+    f"SELECT s.conv_id, s.turn, s.i, CASE WHEN s.n > 1500 THEN NULL WHEN {_OPENS} THEN r.cur + 1 ELSE r.cur END, CASE WHEN s.n <= 1500 AND {_OPENS} THEN r.cur + 1 ELSE r.cur END, "
+    f"CASE WHEN s.n > 1500 THEN r.used WHEN {_OPENS} THEN s.n ELSE r.used + s.n END FROM r JOIN s ON s.conv_id = r.conv_id AND s.i = r.i + 1) SELECT conv_id, turn, batch::BIGINT AS batch FROM r"
+)
 def compact_packing(spark, sf):
     return compact.pack(_segments(spark, sf), "conv_id", "turn", "size", 1500)
 
@@ -500,10 +519,10 @@ def ece_bins(spark, sf):
     return calibrate.ece_bins(_cases(spark, sf), "p", "hit", 10).withColumn("gap", r9(F.col("gap")))
 
 
-@query(_with(_ECE, "SELECT (SELECT count(*) FROM k) AS count, count_if(value >= 0.5) AS allowed, count_if(value >= 0.5 AND wrong) AS errors, round(count_if(value >= 0.5) / count(*), 9) AS coverage, round(count_if(value >= 0.5 AND wrong) / count_if(value >= 0.5), 9) AS error_rate, round(avg((value - hit::INTEGER) ** 2), 9) AS brier, (SELECT round(sum(gap) / sum(n), 7) FROM bins) AS ece FROM k"))
+@query(_with(_ECE, "SELECT (SELECT count(*) FROM k) AS count, count_if(value >= 0.5) AS allowed, count_if(value >= 0.5 AND wrong) AS errors, round(count_if(value >= 0.5) / count(*), 9) AS coverage, round(count_if(value >= 0.5 AND wrong) / count_if(value >= 0.5), 9) AS error_rate, round(avg((value - hit::INTEGER) ** 2), 9) AS brier, (SELECT round(sum(gap) / sum(n), 7) FROM bins) AS ece, round(avg((value ** 0.5 / (value ** 0.5 + (1 - value) ** 0.5) - hit::INTEGER) ** 2), 9) AS adjusted_brier, (SELECT round(sum(gap) / sum(n), 7) FROM (SELECT count(*) AS n, abs(sum(a) - sum(hit::INTEGER)) AS gap FROM (SELECT value ** 0.5 / (value ** 0.5 + (1 - value) ** 0.5) AS a, hit FROM k) GROUP BY least(trunc(a * 10)::INTEGER, 9))) AS adjusted_ece FROM k"))
 def calibrate_metrics(spark, sf):
-    m = calibrate.metrics(_cases(spark, sf), 0.5, calibrate.Config(0.5))
-    return m.withColumns({c: r9(F.col(c)) for c in ("coverage", "error_rate", "brier")}).withColumn("ece", F.round("ece", 7))
+    m = calibrate.metrics(_cases(spark, sf), 0.5, calibrate.Config(0.5), 2.0)
+    return m.withColumns({c: r9(F.col(c)) for c in ("coverage", "error_rate", "brier", "adjusted_brier")}).withColumns({c: F.round(c, 7) for c in ("ece", "adjusted_ece")})
 
 
 _TEMP = " UNION ALL ".join(f"SELECT {t}::DOUBLE AS temperature, round(avg(-ln(CASE WHEN hit THEN value ** (1 / {t}::DOUBLE) ELSE (1 - value) ** (1 / {t}::DOUBLE) END / (value ** (1 / {t}::DOUBLE) + (1 - value) ** (1 / {t}::DOUBLE)))), 7) AS loss FROM k" for t in ("0.5", "1.0", "2.0", "4.0"))
@@ -515,11 +534,16 @@ def temperature_fit(spark, sf):
     return calibrate.temperature_losses(c, (0.5, 2.0, 4.0)).withColumn("loss", F.round("loss", 7))
 
 
-@query()
+_HALVES = _CASES + ", f AS (SELECT * FROM k WHERE doc_id % 2 = 0), g AS (SELECT * FROM k WHERE doc_id % 2 = 1), fw AS (SELECT value AS cutoff, sum(count(*)) OVER z AS allowed, sum(count_if(wrong)) OVER z AS errors FROM f GROUP BY value WINDOW z AS (ORDER BY value DESC)), best AS (SELECT cutoff FROM fw WHERE errors::DOUBLE / allowed::DOUBLE <= 0.5 ORDER BY allowed DESC, cutoff DESC LIMIT 1), t AS (" + " UNION ALL ".join(f"SELECT {t}::DOUBLE AS temperature, avg(-ln(CASE WHEN hit THEN value ** (1 / {t}::DOUBLE) ELSE (1 - value) ** (1 / {t}::DOUBLE) END / (value ** (1 / {t}::DOUBLE) + (1 - value) ** (1 / {t}::DOUBLE)))) AS loss FROM f" for t in ("0.5", "1.0", "2.0")) + ")"
+
+
+@query(_with(_HALVES, "SELECT round(cutoff, 9) AS cutoff, (SELECT temperature FROM t ORDER BY loss, temperature LIMIT 1) AS temperature, (SELECT count(*) FROM g) AS count, (SELECT count(*) FROM g WHERE value >= cutoff) AS allowed, (SELECT count(*) FROM g WHERE value >= cutoff AND wrong) AS errors, (SELECT round(avg((value - hit::INTEGER) ** 2), 9) FROM g) AS brier FROM best"))
 def calibrate_fit(spark, sf):
     c = _cases(spark, sf).withColumn("id", F.col("doc_id"))
     a = calibrate.fit(c.where("doc_id % 2 = 0"), c.where("doc_id % 2 = 1"), calibrate.Config(0.5, temperatures=(0.5, 2.0)), ["id", "hit"])
-    return spark.createDataFrame([(a.to_json() if a else None,)], "artifact string")
+    m = a.baseline if a else {}
+    row = [(round(a.cutoff, 9), float(a.temperature), m["count"], m["allowed"], m["errors"], round(m["brier"], 9))] if a else []
+    return spark.createDataFrame(row, "cutoff double, temperature double, count long, allowed long, errors long, brier double")
 
 
 # Scores against labels
@@ -676,21 +700,29 @@ def json_field_lookup(spark, sf):
     return table(spark, sf, "events").select("event_id", text.lookup(F.col("props"), "k").alias("k"))
 
 
+def _items(spark, sf, kind="lines", text=None, **options):
+    """The documents as files, read as items: doc_id, pos and an item's columns."""
+    from ..sources import files
+
+    docs = table(spark, sf, "documents")
+    rows = docs.select(F.col("doc_id").alias("ordinal"), F.concat(F.lit("documents:"), "doc_id").alias("label"), F.lit(kind).alias("kind"), (F.col("text") if text is None else text).alias("text"), F.lit(None).cast("string").alias("path"))
+    return files.make_items(rows, files.Options(**options)).withColumnRenamed("ordinal", "doc_id")
+
+
+def _string(json_text):
+    """What a JSON string stands for."""
+    return F.from_json(F.concat(F.lit("["), json_text, F.lit("]")), "array<string>")[0]
+
+
 @query("SELECT doc_id, 'documents:' || doc_id || ':' || i AS label, lines[i] AS value FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS u(i) WHERE regexp_matches(lines[i], '[^ \\t\\r\\f\\v]')")
 def line_items(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "value"))
-    return docs.where(F.regexp_like("value", F.lit(r"[^ \t\r\f\x0b]"))).select("doc_id", F.concat_ws(":", F.lit("documents"), "doc_id", F.col("pos") + 1).alias("label"), "value")
+    return _items(spark, sf, each="line", budget=1 << 30).select("doc_id", "label", _string(F.col("value")).alias("value"))
 
 
-@query("WITH l AS (SELECT doc_id, i, lines[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS u(i)), g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS isle FROM l WHERE line <> '') SELECT doc_id, min(i)::INTEGER AS first_line, max(i)::INTEGER AS last_line, string_agg(line, chr(10) ORDER BY i) AS value FROM g GROUP BY doc_id, isle")
+@query("WITH l AS (SELECT doc_id, i, lines[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS u(i)), g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS isle FROM l WHERE regexp_matches(line, '[^ \\t\\r\\f\\v]')) SELECT doc_id, min(i)::INTEGER AS first_line, max(i)::INTEGER AS last_line, string_agg(line, chr(10) ORDER BY i) AS value FROM g GROUP BY doc_id, isle")
 def paragraph_items(spark, sf):
-    """Runs of non-empty lines, by pattern within each text: no shuffle."""
-    lines = F.split("text", "\n")
-    docs = table(spark, sf, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?:^|(?<=\n))[^\n]+(?:\n[^\n]+)*"), 0)).alias("k", "value"), lines.alias("l"))
-    # the k-th run starts at the k-th line that is not empty and follows an empty one
-    starts = F.filter(F.sequence(F.lit(1), F.size("l")), lambda i: (F.element_at("l", i) != "") & ((i == 1) | (F.coalesce(F.try_element_at("l", F.greatest(i - 1, F.lit(1))), F.lit("")) == "")))
-    first = F.element_at(starts, F.col("k") + 1)
-    return docs.select("doc_id", first.alias("first_line"), (first + F.size(F.split("value", "\n")) - 1).alias("last_line"), "value")
+    lines = F.split(F.get_json_object("state", "$.lines"), "-")
+    return _items(spark, sf, each="paragraph").select("doc_id", lines[0].cast("int").alias("first_line"), lines[1].cast("int").alias("last_line"), _string(F.col("value")).alias("value"))
 
 
 @query("SELECT doc_id, octet_length(encode(text)) + length(regexp_replace(text, '[^\"\\\\\\n\\r\\t]', '', 'g')) + 5 * length(regexp_replace(text, '[^\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f<>&]', '', 'g')) AS json_size, CASE WHEN length(text) > 20 THEN left(text, 19) || '…' ELSE text END AS short FROM documents")
@@ -736,87 +768,90 @@ def sample_fixed_seed(spark, sf):
 # Sources and sinks over the test tables
 
 
-@query("SELECT doc_id, doc_id || '.jsonl:1' AS label, json_object('id', doc_id, 'lang', lang) AS state FROM documents")
+@query("SELECT doc_id, 'documents:' || doc_id || ':1' AS label, json_object('id', doc_id, 'lang', lang) AS state FROM documents")
 def jsonl_records(spark, sf):
     """One JSON line for each document, read back as items by the same code that reads files."""
-    from ..sources import files
-
-    raw = F.to_json(F.struct(F.col("doc_id").alias("id"), "lang"))
-    docs = table(spark, sf, "documents").select("doc_id", raw.alias("line"))
-    options = files.Options()
-    read = F.udf(lambda i, t: [(r[0], r[3]) for r in files.items_of(f"{i}.jsonl", t, "jsonl", options)], "array<struct<label:string,state:string>>")
-    return docs.select("doc_id", F.inline(read("doc_id", "line")))
+    return _items(spark, sf, "jsonl", F.to_json(F.struct(F.col("doc_id").alias("id"), "lang"))).select("doc_id", "label", "state")
 
 
 @query("SELECT doc_id, count(*) AS parts FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY doc_id")
 def lines_of_documents(spark, sf):
-    from ..sources import files
-
-    options = files.Options(each="line", budget=1 << 30)
-    n = F.udf(lambda i, t: len(files.items_of(f"{i}.txt", t, "lines", options)), "long")
-    return table(spark, sf, "documents").select("doc_id", n("doc_id", "text").alias("parts")).where("parts > 0")
+    return _items(spark, sf, each="line", budget=1 << 30).groupBy("doc_id").agg(F.count("*").alias("parts"))
 
 
 @query("SELECT doc_id, length(replace(text, chr(10), '')) AS kept FROM documents WHERE trim(text, ' ' || chr(10)) <> ''")
 def split_parts(spark, sf):
-    """Documents cut into parts of 1,024 JSON bytes: no character but line ends is lost."""
+    """Documents cut into parts of 1,024 JSON bytes: none is larger, and no character but line ends is lost."""
     from ..sources import split
+    from ..sources.batches import flat_map
 
-    def kept(t):
-        parts = split.split(t.split("\n"), 1024)
-        assert all(split.json_size(x) <= 1024 for *_, x in parts)
-        return sum(len(x.replace("\n", "")) for *_, x in parts)
+    docs = table(spark, sf, "documents").where("trim(BOTH ' \n' FROM text) <> ''")
+    parts = flat_map(docs, ["doc_id"], ["text"], lambda t: [(len(x.replace("\n", "")), split.json_size(x)) for *_, x in split.split(t.split("\n"), 1024)], "kept int, size int")
+    return parts.groupBy("doc_id").agg(F.sum("kept").alias("kept"), F.max("size").alias("size")).where("size <= 1024").drop("size")
 
-    docs = table(spark, sf, "documents")
-    return docs.where("trim(BOTH ' \n' FROM text) <> ''").select("doc_id", F.udf(kept, "long")("text").alias("kept"))
+
+_SECTIONS = "(SELECT doc_id, unnest(range(doc_id % 4 + 1)) AS i FROM documents)"
 
 
-@query()
+@query(f"SELECT doc_id, 'documents:' || doc_id || '#s' || i AS label, array_to_string(list_transform(range(i + 1), lambda k: 'S' || k), ' > ') AS path, 'text ' || doc_id || ' ' || i AS value FROM {_SECTIONS}")
 def markdown_sections(spark, sf):
-    from ..sources import markdown
+    """A Markdown file for each document, of nested sections, read as items."""
+    n = (F.col("doc_id") % 4).cast("int")
+    text = F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(F.repeat(F.lit("#"), i + 1), F.lit(" S"), i, F.lit("\n\ntext "), F.col("doc_id"), F.lit(" "), i, F.lit("\n"))), "\n")
+    return _items(spark, sf, "markdown", text, each="section").select("doc_id", "label", F.get_json_object("state", "$.section").alias("path"), _string(F.col("value")).alias("value"))
 
-    def read(t):
-        lines = t.split("\n")
-        # every third line of a document becomes a heading
-        return [(s.anchor, s.start, s.end, " > ".join(s.path)) for s in markdown.sections([f"{'#' * (i % 3 + 1)} {x}" if i % 3 == 0 else x for i, x in enumerate(lines)])]
 
-    found = F.udf(read, "array<struct<anchor:string,start_line:int,end_line:int,path:string>>")
-    return table(spark, sf, "documents").select("doc_id", F.inline(found("text")))
+# The documents as source files, one function or more each; the language follows the id.
+_PER = "unnest(range(doc_id % 3 + 1)) AS u(i)"
 
 
-_CODE = (
-    ("a.go", "package a\n\n// Add adds.\nfunc Add(a, b int) int {\n\treturn a + b\n}\n"),
-    ("b.py", "class B:\n    def m(self):\n        return 1\n\ndef f():\n    pass\n"),
-    ("c.ts", "export function g(x: number): number {\n  return x;\n}\n"),
-    ("D.java", "class D {\n  int n(int x) {\n    return x;\n  }\n}\n"),
-)
+def _repeat(*parts):
+    """Text for i = 0, 1, ... up to doc_id % 3."""
+    return F.array_join(F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int")), lambda i: F.concat(*(i if p is None else F.lit(p) if isinstance(p, str) else p for p in parts))), "")
+
+
+def _code(spark, sf):
+    one = F.col("doc_id")
+    k = one % 4
+    python = _repeat("def f", None, "(a):\n    return a + ", one, "\n\n")
+    go = F.concat(F.lit("package p\n\n"), _repeat("func F", None, "(a int) int {\n\treturn a\n}\n\n"))
+    ts = _repeat("export function g", None, "(x: number): number {\n  return x;\n}\n\n")
+    java = F.concat(F.lit("class D {\n"), _repeat("  int m", None, "(int x) {\n    return x;\n  }\n"), F.lit("}\n"))
+    ext = F.when(k == 0, "py").when(k == 1, "go").when(k == 2, "ts").otherwise("java")
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("d"), one, F.lit("."), ext).alias("path"), F.when(k == 0, python).when(k == 1, go).when(k == 2, ts).otherwise(java).alias("text"))
 
 
-@query("SELECT * FROM (VALUES ('a.go', 'Add', 4, 6), ('b.py', 'B.m', 2, 3), ('b.py', 'f', 5, 6), ('c.ts', 'g', 1, 3), ('D.java', 'D.n', 2, 4)) AS t(path, function, first_line, last_line)")
+@query(f"SELECT 'd' || doc_id || ['.py', '.go', '.ts', '.java'][doc_id % 4 + 1] AS path, ['f', 'F', 'g', 'D.m'][doc_id % 4 + 1] || i AS function, ([1, 3, 1, 2][doc_id % 4 + 1] + i * [3, 4, 4, 3][doc_id % 4 + 1])::INTEGER AS first_line, ([2, 5, 3, 4][doc_id % 4 + 1] + i * [3, 4, 4, 3][doc_id % 4 + 1])::INTEGER AS last_line FROM documents, {_PER}")
 def functions_by_language(spark, sf):
     from ..sources import diff
+    from ..sources.batches import flat_map
 
-    rows = F.udf(diff.function_rows, "array<struct<function:string,lead:int,start:int,end:int>>")
-    df = spark.createDataFrame(list(_CODE), "path string, text string")
-    return df.select("path", F.inline(rows("path", "text"))).select("path", "function", F.col("start").alias("first_line"), F.col("end").alias("last_line"))
+    rows = flat_map(_code(spark, sf), ["path"], ["path", "text"], diff.function_rows, diff.FUNCTION_ROWS)
+    return rows.select("path", "function", F.col("start").alias("first_line"), F.col("end").alias("last_line"))
 
 
-_DIFF = "diff --git a/b.py b/b.py\n--- a/b.py\n+++ b/b.py\n@@ -1,5 +1,6 @@\n class B:\n     def m(self):\n-        return 0\n+        return 1\n \n def f():\n+    pass\n"
+def _hunks(spark, sf):
+    """A diff for each document whose file is Python: the last function returns something else."""
+    from ..sources import diff
+
+    i, path = (F.col("doc_id") % 3).cast("int"), F.concat(F.lit("d"), "doc_id", F.lit(".py"))
+    at = 3 * i + 1
+    text = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n@@ -"), at, F.lit(",2 +"), at, F.lit(",2 @@\n def f"), i, F.lit("(a):\n-    return a\n+    return a + "), "doc_id", F.lit("\n"))
+    return diff.read_hunks(spark, table(spark, sf, "documents").where("doc_id % 4 = 0").select(text.alias("value")))
 
 
-@query("SELECT * FROM (VALUES ('b.py', 3, '        return 1'), ('b.py', 6, '    pass')) AS t(name, line, text)")
+@query("SELECT 'd' || doc_id || '.py' AS name, (3 * (doc_id % 3) + 2)::INTEGER AS line, '    return a + ' || doc_id AS text FROM documents WHERE doc_id % 4 = 0")
 def added_lines(spark, sf):
     from ..sources import diff
 
-    return diff.added_lines(diff.read_hunks(spark, spark.createDataFrame([(_DIFF,)], "value string")))
+    return diff.added_lines(_hunks(spark, sf))
 
 
-@query("SELECT * FROM (VALUES ('b.py', 'B.m', 3), ('b.py', 'f', 6)) AS t(name, function, line)")
+@query("SELECT 'd' || doc_id || '.py' AS name, 'f' || (doc_id % 3) AS function, (3 * (doc_id % 3) + 2)::INTEGER AS line FROM documents WHERE doc_id % 4 = 0")
 def changed_functions(spark, sf):
     from ..sources import diff
 
-    hunks = diff.read_hunks(spark, spark.createDataFrame([(_DIFF,)], "value string"))
-    return diff.changed_functions(hunks, spark.createDataFrame(list(_CODE), "path string, text string"))
+    return diff.changed_functions(_hunks(spark, sf), _code(spark, sf).where("path LIKE '%.py'").select("path", "text"))
 
 
 @query(sql("SELECT 'doc' || doc_id AS source, 'complete' AS status, CASE WHEN relevant >= 0.6 THEN 'true' ELSE 'false' END AS flagged, CASE WHEN bug >= 0.5 OR score >= 3 THEN 'true' ELSE 'false' END AS matched, choice AS queue, '' AS error FROM c"))
@@ -859,8 +894,7 @@ def stream_part_collector(spark, sf):
     """events as a stream of parts, three to an item, collected in state."""
     from ..streaming import collector
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    where = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    where = store.fresh_dir(spark, "stream")
     events = table(spark, sf, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events*").parquet(sf)
     status = F.when(F.col("event_type") == "error", "failed").otherwise("complete")
@@ -870,18 +904,53 @@ def stream_part_collector(spark, sf):
     return spark.read.schema(collector.COLLECTED).parquet(f"{where}/out").select("item", "parts", "status")
 
 
-@query()
+_CALLS = (
+    "p AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_suppkey % 25 = 0), "
+    "o AS (SELECT s, l_orderkey AS o, min('p' || p) AS p FROM lineitem JOIN p ON l_partkey = p.p GROUP BY s, l_orderkey), "
+    "c AS (SELECT s, o_custkey AS c, min(['o' || o, p]) AS op FROM o JOIN orders ON o_orderkey = o GROUP BY s, o_custkey)"
+)
+
+
+@query(f"WITH {_CALLS} SELECT 's' || s AS site, 'c' || c || '>' || op[1] || '>' || op[2] || '>s' || s AS path, 3::INTEGER AS length FROM c QUALIFY row_number() OVER (PARTITION BY s ORDER BY ['c' || c, op[1], op[2]]) <= 3")
 def call_paths(spark, sf):
-    """Orders as a made-up call graph: paths to sinks within three calls."""
+    """Customers call orders, orders parts, parts suppliers: paths to every 25th supplier from customers."""
     from ..operators import paths
 
-    o = table(spark, sf, "orders")
-    edges = o.select((F.col("o_orderkey") % 97).alias("caller"), (F.col("o_custkey") % 97).alias("callee")).where("caller > callee").distinct()
-    sites = spark.range(2).select(F.concat(F.lit("s"), "id").alias("site"), F.col("id").alias("node"))
-    entries = spark.range(80, 97).select(F.col("id").alias("node"))
+    l, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    node = lambda mark, c: F.concat(F.lit(mark), c)
+    edges = l.select(node("p", "l_partkey").alias("caller"), node("s", "l_suppkey").alias("callee"))
+    edges = edges.unionByName(l.select(node("o", "l_orderkey").alias("caller"), node("p", "l_partkey").alias("callee")))
+    edges = edges.unionByName(o.select(node("c", "o_custkey").alias("caller"), node("o", "o_orderkey").alias("callee"))).distinct()
+    sites = l.where("l_suppkey % 25 = 0").select(node("s", "l_suppkey").alias("site")).distinct().withColumn("node", F.col("site"))
+    entries = o.select(node("c", "o_custkey").alias("node")).distinct()
     return paths.bounded_paths(edges, sites, entries, 3, 3).select("site", F.array_join("path", ">").alias("path"), "length")
 
 
+@query(sql(f", {_RANKED} SELECT doc_id, position, round(position / (SELECT count(*) FROM r), 9) AS percentile FROM r JOIN labels USING (doc_id) WHERE toxic = 1").replace(") , r AS", "), r AS"))
+def label_positions(spark, sf):
+    found = rank.positions_of(_ranked(spark, sf), table(spark, sf, "labels").where("toxic = 1").select("doc_id"), "position", ["doc_id"])
+    return found.withColumn("percentile", r9(F.col("percentile")))
+
+
+@query(sql("SELECT count(*) AS n, round(avg(abs(relevant - bug)), 9) AS mean_diff, round(max(abs(relevant - bug)), 9) AS max_diff, count_if(abs(relevant - bug) > 0.2) AS n_large FROM c WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0"))
+def joined_runs(spark, sf):
+    """Two runs that have some inputs in common."""
+    df = answered(spark, sf, "relevant", "queue").select(F.col("doc_id").alias("input"), "source", F.col("relevant.noul").alias("p"), dist.prob(F.col("queue.probs"), "bug").alias("q"))
+    both = metrics.join_runs(df.where("input % 3 <> 0"), df.where("input % 5 <> 0").select("input", "source", F.col("q").alias("p")), "p")
+    d = metrics.run_difference(both, "a", "b")
+    return d.withColumns({c: r9(F.col(c)) for c in ("mean_diff", "max_diff")})
+
+
+@query(sql("SELECT lang || '/' || source || '/d.txt' AS path, 'M.f' || doc_id AS function, relevant, quality FROM c JOIN labels USING (doc_id)"))
+def suffix_labels(spark, sf):
+    """Labels name the end of a path and a bare function."""
+    df = answered(spark, sf, "relevant")
+    scored = df.select(F.concat_ws("/", "lang", "source", F.lit("d.txt")).alias("path"), F.concat(F.lit("M.f"), "doc_id").alias("function"), F.col("relevant.noul").alias("relevant"))
+    labels = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    labels = labels.select(F.concat_ws("/", "source", F.lit("d.txt")).alias("suffix"), F.concat(F.lit("f"), "doc_id").alias("name"), "quality")
+    return metrics.label_scores(scored, labels).select("path", "function", "relevant", "quality")
+
+
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, count(*) AS n FROM lineitem GROUP BY ALL")
 def relational_smoke(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.count("*").alias("n"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import code
+from .batches import flat_map
 
 # Patterns of the diff format and of generated files.
 HUNK = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)")
@@ -168,8 +169,7 @@ def hunk_rows(text: str) -> list[tuple]:
 
 def read_hunks(spark, texts: DataFrame, column: str = "value") -> DataFrame:
     """HUNK_ROWS of all diffs in a column of texts."""
-    rows = F.udf(hunk_rows, f"array<struct<{HUNK_ROWS}>>")(F.col(column))
-    return texts.select(F.inline(rows))
+    return flat_map(texts, [], [column], hunk_rows, HUNK_ROWS)
 
 
 def added_lines(hunks: DataFrame) -> DataFrame:
@@ -188,6 +188,9 @@ def file_items(hunks: DataFrame) -> DataFrame:
     return rows.select("name", F.array_join(F.transform("h", lambda x: x["t"]), "\n").alias("value"))
 
 
+FUNCTION_ROWS = "function string, lead int, start int, end int"
+
+
 def function_rows(path: str, src: str) -> list[tuple]:
     return [(f.name, f.lead, f.start, f.end) for f in code.functions(path, src) or []]
 
@@ -197,7 +200,7 @@ def changed_functions(hunks: DataFrame, files: DataFrame) -> DataFrame:
 
     ``files``: path and text of the new versions.  The range join is by path.
     """
-    funcs = files.select("path", F.inline(F.udf(function_rows, "array<struct<function:string,lead:int,start:int,end:int>>")("path", "text")))
+    funcs = flat_map(files, ["path"], ["path", "text"], function_rows, FUNCTION_ROWS)
     rows = hunks.where("skip = ''").select("name", "path", "hunk_no", "new_start", F.posexplode("lines").alias("pos", "raw"))
     shown = F.when(F.substring("raw", 1, 1).isin(" ", "+"), 1).otherwise(0)
     before = Window.partitionBy("name", "hunk_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,19 +11,16 @@ import io
 import json
 import os
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from dataclasses import field as dataclass_field
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
 
 from .. import store
 from ..schemas import ITEM
 from . import code, diff, markdown, media, split
+from .batches import flat_map
 
 MAX_TEXT, MAX_JSON = 1 << 20, 64 << 20
 # Formats by extension.
@@ -386,31 +383,15 @@ def listing(spark: SparkSession, paths: list[str], o: Options) -> tuple[DataFram
 
 
 def make_items(files: DataFrame, o: Options) -> DataFrame:
-    """ordinal, pos and the columns of an item for files (ordinal, label, kind, text, path); items leave a task in batches, so no file's list is one value."""
-    schema = to_arrow_schema(_parse_datatype_string(f"ordinal long, pos long, {_ROW}"))
-    names = schema.names
+    """ordinal, pos and the columns of an item for files (ordinal, label, kind, text, path)."""
 
     def of(label: str, kind: str, text: str, path: str):
         if kind == "media":
             t = media.TYPES[os.path.splitext(path)[1].lower()]
-            return [(label, media.kind(t), _dump(label), _dump({"path": label}), [], (t, path), False, False)]
-        return items_of(label, text, kind, o)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[dict] = []
-        for batch in batches:
-            for f in batch.to_pylist():
-                for pos, (*head, parts, medium, is_diff, is_code) in enumerate(of(f["label"], f["kind"], f["text"], f["path"])):
-                    part = [dict(zip(("lines", "size", "state"), p, strict=True)) for p in parts]
-                    m = medium and dict(zip(("content_type", "path"), medium, strict=True))
-                    out.append(dict(zip(names, (f["ordinal"], pos, *head, part, m, is_diff, is_code), strict=True)))
-                    if len(out) >= 1000:
-                        yield pa.RecordBatch.from_pylist(out, schema)
-                        out = []
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema)
+            return [(0, label, media.kind(t), _dump(label), _dump({"path": label}), [], (t, path), False, False)]
+        return ((pos, *item) for pos, item in enumerate(items_of(label, text, kind, o)))
 
-    return files.select("ordinal", "label", "kind", "text", "path").mapInArrow(run, f"ordinal long, pos long, {_ROW}")
+    return flat_map(files, ["ordinal"], ["label", "kind", "text", "path"], of, f"pos long, {_ROW}")
 
 
 def line_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -435,27 +416,19 @@ def read_lines(spark: SparkSession, paths: list[str], kind: str = "lines", optio
     """
     o = options or Options()
     rows = line_rows(spark, paths).where(F.trim(F.regexp_replace("text", r"\s", "")) != "")
-    schema = to_arrow_schema(_parse_datatype_string(f"path string, line long, {_ROW}"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                text = r["text"].removeprefix("\ufeff") if r["line"] == 1 else r["text"]
-                at = f"{r['path']}:{r['line']}"
-                if kind == "jsonl":
-                    try:
-                        json.loads(text)
-                    except ValueError:
-                        raise SourceError(f"{at}: not JSON") from None
-                    item = _record(at, "record", text.strip(), o)
-                else:
-                    item = _record(at, "line", _dump(text), Options(budget=o.budget))
-                *head, parts, _, is_diff, is_code = item
-                out.append(dict(zip(schema.names, (r["path"], r["line"], *head, [dict(zip(("lines", "size", "state"), p, strict=True)) for p in parts], None, is_diff, is_code), strict=True)))
-            yield pa.RecordBatch.from_pylist(out, schema)
-
-    return rows.select("path", "line", "text").mapInArrow(run, f"path string, line long, {_ROW}")
+
+    def of(path: str, line: int, text: str):
+        text = text.removeprefix("\ufeff") if line == 1 else text
+        at = f"{path}:{line}"
+        if kind != "jsonl":
+            return [_record(at, "line", _dump(text), Options(budget=o.budget))]
+        try:
+            json.loads(text)
+        except ValueError:
+            raise SourceError(f"{at}: not JSON") from None
+        return [_record(at, "record", text.strip(), o)]
+
+    return flat_map(rows, ["path", "line"], ["path", "line", "text"], of, _ROW)
 
 
 def scan(spark: SparkSession, paths: list[str], options: Options | None = None, stdin: str | None = None) -> tuple[DataFrame, DataFrame]:

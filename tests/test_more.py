@@ -6,13 +6,13 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from verdimill import store
+from verdimill import sinks, store
 from verdimill.engine import Engine, EngineConfig
-from verdimill.functions.text import wrap
-from verdimill.operators import calibrate, funnel, metrics, paths, rank, runs
-from verdimill.questions import Noul, Template
-from verdimill.scorers import CallError, HashScorer, Retry, Scorer, retry_after, score, with_retry
-from verdimill.sources import files, media
+from verdimill.functions.text import ago, wrap
+from verdimill.operators import calibrate, checks, compact, funnel, metrics, paths, rank, runs
+from verdimill.questions import Choice, Noul, Template
+from verdimill.scorers import CallError, HashScorer, Retry, Scorer, UniformScorer, retry_after, score, with_retry
+from verdimill.sources import diff, files, media
 
 
 class Refused(Scorer):
@@ -169,3 +169,82 @@ def test_small_functions(spark, tmp_path):
     s = HashScorer()
     got = score(spark.createDataFrame([("x", ["b"])], "state string, w array<string>"), {"a": Noul("?"), "b": Noul("?")}, s, only="w").first()
     assert set(got.answers) == {"b"}
+
+
+class Down(Scorer):
+    """A service that is down for all, which counts its calls."""
+
+    remote = True
+
+    def __init__(self, log):
+        self.log = str(log)
+
+    def ask(self, state, questions):
+        with open(self.log, "a") as f:
+            f.write(".")
+        raise CallError("down", 400)
+
+
+def test_a_run_stops_asking_when_the_first_items_fail(spark, tmp_path):
+    data = tmp_path / "d.txt"
+    data.write_text("\n".join(f"line {i}" for i in range(60)))
+    t = Template("t", {"q": Noul("?")}, {"q": "yes"})
+    r = Engine(spark, EngineConfig(scorer=Down(tmp_path / "log"), workers=1, parallelism=6)).run(t, [str(data)])
+    assert (tmp_path / "log").read_text() == "." * 5 and r.summary["failed"] == 60 and r.exit_code == 1
+    assert sum("not asked" in x.error for x in r.items.collect()) == 55
+
+
+def test_checks_fail_open():
+    now = [0.0]
+
+    class Sometimes(Scorer):
+        fine = False
+
+        def ask(self, state, questions):
+            if not self.fine:
+                raise CallError("down", 503)
+            return {"a": {"type": "noul", "noul": 0.7}, "b": {"type": "noul", "noul": 0.9}, "c": {"type": "noul", "noul": 0.1}}
+
+    s = Sometimes()
+    c = checks.Checker(s, {k: Noul("?") for k in "abc"}, clock=lambda: now[0])
+    assert c.check("command", "x")["error"] == "CallError: down" and c.check("command", "x")["error"] == "paused"
+    now[0] = 6.0
+    assert c.check("command", "x")["error"] == "CallError: down" and c.closed_until == 16.0
+    now[0], s.fine = 17.0, True
+    assert c.check("content", "x") == {"checked": True, "flags": [("b", 0.9), ("a", 0.7)], "error": None} and c.pause == 0
+
+
+def test_compaction_end_to_end(spark):
+    rows = [(1, 0, "sys", True), (1, 1, "word " * 30, False), (1, 2, "other " * 30, False), (2, 0, "x" * 5000, False)]
+    seg = spark.createDataFrame(rows, "conv long, turn int, text string, pinned boolean")
+    size = F.length("text")
+    seg = seg.withColumns({"size": size, "short_size": F.lit(5), "short": F.lit("short")})
+    decisions, per, whole = compact.compact(seg, "conv", "turn", compact.Rule(400), UniformScorer(), "size", 1000)
+    got = {(r.conv, r.turn): (r.action, r.cause) for r in decisions.collect()}
+    assert got == {(1, 0): ("keep", "pinned"), (1, 1): ("keep", "ranked"), (1, 2): ("keep", "ranked"), (2, 0): ("short", "unscored")}
+    assert {(r.conv, r.before, r.after) for r in per.collect()} == {(1, 333, 333), (2, 5000, 5)}
+    w = whole.first()
+    assert (w.before, w.after, w.requests, w.failed, w.models, w.tokens) == (5333, 338, 1, 0, ["uniform-1"], 330)
+
+
+def test_printing_and_summary_files(spark, tmp_path):
+    data = tmp_path / "d.txt"
+    data.write_text("a\nb\n")
+    t = Template("t", {"q": Choice("?", (("x", None), ("y", None)))}, {"q": "x >= 1%"})
+    r = Engine(spark).run(t, [str(data)])
+    lines = list(sinks.print_items(r.items, t.questions, full=True))
+    assert len(lines) == 8 and sum("[flagged]" in x for x in lines) == 2 and sum(x.startswith("    x ") or x.startswith("    y ") for x in lines) == 4
+    path = str(tmp_path / "summary.md")
+    for _ in range(2):
+        sinks.append_summary(spark, r.items, t.questions, "Title", path)
+    assert open(path).read().count("# Title") == 2
+    assert [ago(x) for x in (3, 60, 7300, 200_000)] == ["just now", "1 minute ago", "2 hours ago", "2 days ago"]
+
+
+def test_files_on_disk_are_compared_with_the_diff(tmp_path):
+    f = diff.File("a.py", "a.py", hunks=[diff.Hunk("@@ -1,2 +1,2 @@", "", 1, 1, [" x", "-y", "+z"])])
+    (tmp_path / "a.py").write_text("x\nz\n")
+    assert diff.is_new_side(f, str(tmp_path))
+    (tmp_path / "a.py").write_text("x\ny\n")
+    assert not diff.is_new_side(f, str(tmp_path))
+    assert not diff.is_new_side(diff.File("../a.py", "../a.py"), str(tmp_path / "sub"))

@@ -81,12 +81,13 @@ class Engine:
         t = self.resolve(template, params)
         items = data if isinstance(data, DataFrame) else self.items(data, t, **options)
         requests = runs.requests_of(items)
-        n = items.groupBy("unit").count().collect()
+        tally = items.groupBy("unit").agg(F.count("*").alias("count"), F.sum(F.size("parts")).alias("parts"), F.count_if("is_code").alias("code"), F.count_distinct(F.when(F.col("is_code"), F.regexp_replace("label", r":\d+$", ""))).alias("code_files"))
+        n = tally.collect()
         if cached is None and self.config.cache_dir:
             cached = cache.entries(self.spark, self.config.cache_dir)
         known = cache.hits(self._keys(requests, t), cached).count() if cached is not None else 0
         total = requests.count() * len(t.questions)
-        return {"by_unit": {r.unit: r["count"] for r in n}, "cached": known, "to_ask": total - known, "first": [r.label for r in items.orderBy("item_index").limit(20).select("label").collect()]}
+        return {"by_unit": {r.unit: r["count"] for r in n}, "parts": sum(max(r.parts or 0, 0) for r in n), "code_files": sum(r.code_files for r in n), "cached": known, "to_ask": total - known, "first": [r.label for r in items.orderBy("item_index").limit(20).select("label").collect()]}
 
     def _keys(self, requests: DataFrame, t: Template) -> DataFrame:
         """One row for each request and question with the key of its answer."""
@@ -103,7 +104,21 @@ class Engine:
         cached answers are from, those are asked again, once.  All good answers go into the cache.
         """
         c, spark = self.config, self.spark
-        ask = lambda rows, only=None: score(rows, t.questions, c.scorer, workers=c.workers, parallelism=c.parallelism, retry=c.retry, breaker=c.breaker, only=only)
+
+        def ask(rows: DataFrame, only: str | None = None) -> DataFrame:
+            ask_all = lambda r, parallelism=None: score(r, t.questions, c.scorer, workers=c.workers, parallelism=parallelism, retry=c.retry, breaker=c.breaker, only=only)
+            if not c.scorer.remote or not c.breaker:
+                return ask_all(rows, c.parallelism)
+            # The breaker of the whole run: if the first items all fail alike, no other is asked.
+            first = store.settle(ask_all(rows.orderBy("item_first", "n").limit(c.breaker), 1))
+            rest = rows.join(first.select("item_first", "n"), ["item_first", "n"], "left_anti").select(*rows.columns)
+            got = first.groupBy("error").count().collect()  # a row for each of a few items at most
+            down = got[0].error if len(got) == 1 and (got[0]["count"] >= c.breaker or (got[0].error or "").startswith("refused: ")) else None
+            if down is None:
+                return first.unionByName(ask_all(rest, c.parallelism))
+            none = {n: F.lit(None).cast(first.schema[n].dataType) for n in ("answers", "model")}
+            return first.unionByName(rest.withColumns({**none, "error": F.lit(down if down.startswith("not asked: ") else f"not asked: {down}")}).select(*first.columns))
+
         if not c.cache_dir:
             return ask(requests).withColumn("cached", F.lit(0))
         known = cache.entries(spark, c.cache_dir)

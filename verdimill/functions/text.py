@@ -179,3 +179,12 @@ def wrap(text: str, width: int) -> list[str]:
                 at = f"{at} {word}" if at else word
         out.append(at)
     return out
+
+
+def ago(seconds: float) -> str:
+    """How long since something started: just now, 5 minutes ago, 1 hour ago, 3 days ago."""
+    for unit, size in (("day", 86400), ("hour", 3600), ("minute", 60)):
+        n = int(seconds // size)
+        if n:
+            return f"{n} {unit}{'s' if n > 1 else ''} ago"
+    return "just now"

@@ -8,6 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import store
+from ..questions import Noul
+from ..scorers import Scorer, score
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -113,3 +117,27 @@ def pack(segments: DataFrame, conversation: str, index: str, tokens: str, limit:
         return pd.DataFrame({conversation: pdf[conversation], index: pdf[index], "batch": pd.array(out, "Int64")})
 
     return segments.select(conversation, index, tokens).groupBy(conversation).applyInPandas(fold, f"`{conversation}` {kind[conversation].dataType.simpleString()}, `{index}` {kind[index].dataType.simpleString()}, batch long")
+
+
+#: The two questions about a segment.
+QUESTIONS = {"needed": Noul("Is this part needed to go on with the conversation?"), "verbatim": Noul("Must this part stay word for word?")}
+
+
+def compact(segments: DataFrame, conversation: str, index: str, rule: Rule, scorer: Scorer, tokens: str, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(decisions, totals by conversation, one row of totals) of conversations: pack, ask, select.
+
+    ``segments`` has text, size, short_size, short and pinned.  Segments that are
+    neither pinned nor too large for a request are asked about; those without an answer count as unscored.
+    """
+    packed = pack(segments.where(~F.col("pinned")), conversation, index, tokens, limit)
+    asked = segments.join(packed.where("batch IS NOT NULL"), [conversation, index])
+    answers = store.settle(score(asked.select(conversation, index, "batch", "text"), QUESTIONS, scorer, state="text"))
+    good = answers.where("error IS NULL").select(conversation, index, *(F.col("answers")[k]["noul"].alias(k) for k in QUESTIONS))
+    scored = segments.drop(*QUESTIONS, "scored").join(good, [conversation, index], "left").withColumn("scored", F.col("needed").isNotNull())
+    decisions = store.settle(select(scored, conversation, index, rule))
+    per = totals(segments, decisions, conversation, index)
+    known = F.when(F.col("error").isNull() & (F.coalesce("model", F.lit("")) != ""), F.col("model"))
+    used = answers.agg(F.count_distinct(conversation, "batch").alias("requests"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.sort_array(F.collect_set(known)).alias("models"))
+    size = asked.agg(F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens"))
+    whole = per.agg(F.sum("before").alias("before"), F.sum("after").alias("after"), F.sum("dropped").alias("dropped")).join(used).join(size)  # rows of one
+    return decisions, per, whole

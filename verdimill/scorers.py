@@ -92,6 +92,8 @@ class Scorer:
     #: The name it is asked for by, and what it reports itself as (the name, if empty).
     model = "none"
     version = ""
+    #: Whether calls can fail as a whole (a service that is down); then a run asks a few items first.
+    remote = False
 
     def ask(self, state: str, questions: dict) -> dict[str, dict]:
         raise NotImplementedError
@@ -206,7 +208,7 @@ def retry_after(header: str, now: datetime.datetime | None = None) -> float | No
     return max(0.0, (at - (now or datetime.datetime.now(datetime.timezone.utc))).total_seconds())
 
 
-def _within(call: Callable[[], dict], seconds: float) -> dict:
+def within(call: Callable[[], dict], seconds: float) -> dict:
     """The call's result, or TimeoutError after so many seconds; the call itself is left behind."""
     got: queue.SimpleQueue = queue.SimpleQueue()
 
@@ -229,7 +231,7 @@ def _within(call: Callable[[], dict], seconds: float) -> dict:
 def with_retry(call: Callable[[], dict], retry: Retry, sleep: Callable[[float], None] = time.sleep, jitter: Callable[[], float] = random.random) -> dict:
     for k in range(retry.retries + 1):
         try:
-            return _within(call, retry.attempt) if retry.attempt else call()
+            return within(call, retry.attempt) if retry.attempt else call()
         except Exception as e:
             if k == retry.retries or not retryable(e):
                 raise

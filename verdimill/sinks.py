@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import store
 from .functions import dist, text
 from .questions import Condition
 
@@ -86,9 +87,20 @@ def annotations(items: DataFrame, questions: dict) -> DataFrame:
     return items.withColumn("_level", level).where("_level IS NOT NULL").select(F.concat(F.lit("::"), "_level", F.lit(" "), where, F.lit("::"), text.workflow_escape(message)).alias("value"))
 
 
-def print_items(items: DataFrame, questions: dict) -> Iterator[str]:
-    """Lines of text, streamed to the driver partition by partition, in order."""
-    rows = items.orderBy("item_index").select("source", *(plain_answer(F.col(k), q).alias(k) for k, q in questions.items()))
+def append_summary(spark, items: DataFrame, questions: dict, title: str, path: str) -> None:
+    """Add the Markdown report to a summary file, as steps of a workflow do."""
+    store.write_text(spark, path, (store.read_text(spark, path) or "") + markdown_report(items, questions, title) + "\n")
+
+
+def print_items(items: DataFrame, questions: dict, full: bool = False) -> Iterator[str]:
+    """Lines of text, streamed to the driver partition by partition, in order: the item, then each answer with its verdict; ``full`` adds all probabilities, the most likely first."""
+    marks = [f"{k}_verdict" for k in questions if f"{k}_verdict" in items.columns]
+    ranked = [dist.ranked(F.col(f"{k}.probs")).alias(f"{k}_all") for k in questions] if full else []
+    rows = items.orderBy("item_index").select("source", *(plain_answer(F.col(k), q).alias(k) for k, q in questions.items()), *marks, *ranked)
     for r in rows.toLocalIterator():
         yield r["source"]
-        yield from (f"  {k}: {r[k]}" for k in questions)
+        for k in questions:
+            word = r[f"{k}_verdict"] if f"{k}_verdict" in marks else None
+            yield f"  {k}: {r[k]}" + (f" [{word}]" if word in ("flagged", "matched", "near") else "")
+            for p in (r[f"{k}_all"] or []) if full else []:
+                yield f"    {p.key} {round(100 * p.p)}%"

@@ -149,6 +149,17 @@ def parse(text: str) -> tuple[list[File], int]:
     return files, combined
 
 
+def is_new_side(file: File, root: str) -> bool:
+    """Whether the file below ``root`` is what the diff leads to: each line that the hunks show stands at its place.  Paths out of ``root`` are never read."""
+    path = os.path.realpath(os.path.join(root, file.path))
+    if os.path.commonpath([path, os.path.realpath(root)]) != os.path.realpath(root) or not os.path.isfile(path):
+        return False
+    with open(path, encoding="utf-8", errors="replace") as f:
+        lines = f.read().replace("\r\n", "\n").split("\n")
+    shown = ((new, text) for h in file.hunks for mark, _, new, text in h.numbered() if mark in (" ", "+"))
+    return all(0 < n <= len(lines) and lines[n - 1] == text.rstrip("\r") for n, text in shown)
+
+
 HUNK_ROWS = "name string, path string, old_path string, change string, commit string, skip string, hunk_no int, header string, context string, old_start int, new_start int, first_change int, lines array<string>"
 
 

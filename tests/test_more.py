@@ -11,6 +11,7 @@ from verdimill.engine import Engine, EngineConfig
 from verdimill.functions.text import ago, wrap
 from verdimill.operators import calibrate, checks, compact, funnel, metrics, paths, rank, runs
 from verdimill.questions import Choice, Noul, Template
+from verdimill.remote import WireScorer
 from verdimill.scorers import CallError, HashScorer, Retry, Scorer, UniformScorer, retry_after, score, with_retry
 from verdimill.sources import diff, files, media
 
@@ -248,3 +249,29 @@ def test_files_on_disk_are_compared_with_the_diff(tmp_path):
     (tmp_path / "a.py").write_text("x\ny\n")
     assert not diff.is_new_side(f, str(tmp_path))
     assert not diff.is_new_side(diff.File("../a.py", "../a.py"), str(tmp_path / "sub"))
+
+
+def test_scorers_over_a_transport():
+    sent = []
+
+    def transport(body):
+        sent.append(json.loads(body))
+        if len(sent) == 1:
+            return 429, {"Retry-After": "3"}, ""
+        return 200, {}, json.dumps({"model": "m-2", "answers": {"a": {"type": "noul", "noul": 0.25}}})
+
+    s = WireScorer(transport, "m")
+    with pytest.raises(CallError) as e:
+        s.ask("x", {"a": Noul("?")})
+    assert (e.value.status, e.value.after) == (429, 3.0)
+    assert s.ask("x", {"a": Noul("?")})["a"]["noul"] == 0.25 and s.reported == "m-2" and sent[1]["state"] == "x"
+    assert s.ask_media("x", [("image/png", b"abc")], {"a": Noul("?")})["a"]["noul"] == 0.25 and sent[2]["state"][1]["data"] == "YWJj"
+
+
+def test_benchmark_items(spark):
+    cases = spark.createDataFrame([(1, "a.java", "A"), (2, "b.java", "B"), (3, "c.java", "C")], "case int, path string, content string")
+    labels = spark.createDataFrame([(1, "sqli", True), (2, "xss", False)], "case int, category string, real boolean")
+    uses = spark.createDataFrame([(1, "z"), (1, "h"), (1, "h")], "case int, helper string")
+    helpers = spark.createDataFrame([("h", "H"), ("z", "Z")], "helper string, content string")
+    got = {r.case: (r.category, r.real, json.loads(r.state)) for r in metrics.bench_items(cases, labels, uses, helpers).collect()}
+    assert got == {1: ("sqli", True, {"path": "a.java", "content": "A", "called": [{"path": "h", "content": "H"}, {"path": "z", "content": "Z"}]}), 2: ("xss", False, {"path": "b.java", "content": "B"})}

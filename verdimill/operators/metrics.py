@@ -60,6 +60,19 @@ def label_scores(scored: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(path & F.concat(F.lit("."), "function").endswith(F.concat(F.lit("."), "name"))).drop("_bare", "_name")
 
 
+def bench_items(cases: DataFrame, labels: DataFrame, uses: DataFrame, helpers: DataFrame) -> DataFrame:
+    """case, category, real, state for each case (case, path, content) that has a label (case, category, real).
+
+    The state holds the case's source and those of the helpers (helper, content)
+    that it uses (case, helper), by name; a case without helpers has none.
+    """
+    used = uses.distinct().join(helpers.withColumnRenamed("content", "h"), "helper")
+    used = used.groupBy("case").agg(F.sort_array(F.collect_list(F.struct(F.col("helper").alias("path"), F.col("h").alias("content")))).alias("called"))
+    rows = cases.join(labels, "case").join(used, "case", "left")
+    state = F.to_json(F.struct("path", "content", F.when(F.size("called") > 0, F.col("called")).alias("called")))
+    return rows.select("case", "category", "real", state.alias("state"))
+
+
 def join_runs(one: DataFrame, other: DataFrame, value: str, on: tuple[str, ...] = ("source", "input")) -> DataFrame:
     """``on``, a, b: the values of two runs for what both have answered."""
     return one.select(*on, F.col(value).alias("a")).join(other.select(*on, F.col(value).alias("b")), list(on))

@@ -1,4 +1,5 @@
 import hashlib
+import pathlib
 import struct
 from collections import defaultdict
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from tests.llm.test_bpe import ENC
+from verdimill.llm.common import shared_dir
 from verdimill.llm.mixing import mix_documents
 from verdimill.llm.simhash import near_duplicates
 from verdimill.llm.toxicity import fit, score_documents
@@ -93,14 +95,11 @@ def test_extra_columns_of_any_name(spark, sf, k):
     assert all(r[c] == f"{c}-{r.doc_id}" for r in wide for c in CLASHES.split())
 
 
-def test_folders_of_stages_go(spark, sf, tmp_path):
-    old = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        cp.run(spark, sf)
-        assert [p.name.rsplit("-", 1)[0] for p in tmp_path.glob("stage-*")] == ["stage-mixing"]
-    finally:
-        spark.conf.set("spark.checkpoint.dir", old) if old else spark.conf.unset("spark.checkpoint.dir")
+def test_folders_of_stages_go(spark, sf):
+    shared = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.glob("stage-*"))
+    cp.run(spark, sf)
+    assert [p.name.rsplit("-", 1)[0] for p in set(shared.glob("stage-*")) - before] == ["stage-mixing"]
 
 
 def test_odd_rows(spark, tmp_path):

@@ -203,10 +203,23 @@ def _windows(h: np.ndarray, size: np.ndarray, sums: tuple):
     before, after = np.r_[False, near], np.r_[near, False]
     stretch = np.cumsum(~before) - 1
     first, last = np.flatnonzero(~before), np.flatnonzero(~after)
-    long = (r[order][last] - at[first] + SHINGLE - 1 + 2 * SIDE >= MIN_WORDS)[stretch]  # up to the end of the last one's range
+    # The whole stretch, up to the first words that differ from those a period before.
+    length = np.zeros(len(first), np.int64)
+    many = np.flatnonzero(last > first)
+    period = at[first[many] + 1] - at[first[many]]
+    text = own[order][first[many]]
+    for p in np.unique(period).tolist():
+        some = period == p
+        breaks = np.flatnonzero(h[p:] != h[:-p])
+        left, right = at[first[many[some]]] - SIDE, at[last[many[some]]] + SHINGLE + SIDE
+        stop = np.append(breaks + p, len(h))[np.searchsorted(breaks, right - p)]
+        start = np.insert(breaks + 1, 0, 0)[np.searchsorted(breaks, left)]
+        length[many[some]] = np.minimum(stop, end[text[some]]) - np.maximum(start, begin[text[some]])
+    long = (length >= MIN_WORDS)[stretch]
     alone, ends = ~(before | after), ~(before & after)
     use = alone | long & (ends | (at // STEP != np.r_[-1, at[:-1] // STEP]))
-    key[order[~alone]] = _mix(key[order[~alone]])
+    key &= ~_U(1)
+    key[order[~alone]] = _mix(key[order[~alone]]) | _U(1)
     rows = np.sort(order[use])
     own, base = own[rows], begin[own[rows]]
     return own, key[rows].view(np.int64), c[rows] - base, l[rows] - base, r[rows] - base
@@ -284,7 +297,7 @@ _PAIR, _MANY, _EQUAL = 0, 1, 2
 def candidate_links(rows: DataFrame) -> DataFrame:
     """Each window of a group (a, pos) and the group's first one (b, pos2); rows come sorted by key.
 
-    Groups of three windows or more (kind _MANY) have a row for each window, the
+    Groups of three windows or more, stretches apart, (kind _MANY) have a row for each window, the
     first included.  Rows of kind _EQUAL name a text and one with the same words.
     """
 
@@ -306,7 +319,8 @@ def candidate_links(rows: DataFrame) -> DataFrame:
             start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])])
             size = np.diff(np.r_[start, len(key)])
             lead = np.repeat(start, size)
-            kind = np.where(whole != 0, _EQUAL, np.repeat(np.where(size > 2, _MANY, _PAIR), size))
+            # All stretches of a group (odd keys) are passages, so each is linked to the first alone.
+            kind = np.where(whole != 0, _EQUAL, np.repeat(np.where((size > 2) & (key[start] & 1 == 0), _MANY, _PAIR), size))
             texts = np.repeat(doc[start] != doc[start + size - 1], size)
             use = texts & ((kind == _MANY) | (doc != doc[lead]))
             if use.any():

@@ -197,3 +197,33 @@ def test_copies_and_repeated_words(spark):
     got = spans(df)
     assert sorted(g for g in got if g[0] < 20) == [(5, 0, 80, 3, 0, 80), (9, 0, 80, 3, 0, 80)]
     assert {(g[0], g[3]) for g in got if g[0] >= 20} == {(21, 20)}
+
+
+def test_large_groups_compare_few_pairs(monkeypatch):
+    """A line that 300 texts hold, and 300 edited copies of one text: the links of all pairs compared, from few comparisons."""
+    rng = np.random.default_rng(14)
+    new = lambda n: rng.integers(0, 1 << 32, n).astype(np.uint32)
+    line, base, shared, texts, copies = new(30), new(133), new(25), [], []
+    for k in range(300):
+        texts.append(np.r_[new(51), line, shared if k in (40, 250) else new(25), new(27)])
+        x = base.copy()
+        for at in rng.choice(np.r_[4:45, 75:125], rng.integers(1, 12), replace=False):
+            x[at] = new(1)[0]
+        copies.append(x)
+    calls = []
+    for name in ("_dense", "_aligned"):
+        monkeypatch.setattr(substring, name, lambda *a, f=getattr(substring, name): calls.append(1) or f(*a))
+    for group, at in ((texts, 60), (copies, 60)):
+        calls.clear()
+        got = list(substring._partners(list(range(300)), [at] * 300, [0] + [1] * 299, [x.tobytes() for x in group]))
+        assert len(calls) < 4000  # all pairs: 44,850
+        open_runs: dict = {}
+        want = []
+        for i, x in enumerate(group):
+            left = {s: x[s : s + 25].tobytes() for s in range(at - 16, at - 3)}
+            for j in range(i):
+                if any(open_runs[j].get(s) == run for s, run in left.items()) and (spans := align(x, group[j])):
+                    want.append((i, j))
+                    left = {s: run for s, run in left.items() if not any(lo <= s and s + 25 <= hi for lo, hi, *_ in spans)}
+            open_runs[i] = left
+        assert got == want and got

@@ -30,6 +30,8 @@ both sides and a similarity of SIMILARITY.
 from __future__ import annotations
 
 import functools
+import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -56,7 +58,13 @@ GAP = 12
 #: Where words repeat with a short period, a text has equal keys one after the other.  Of a stretch of MIN_WORDS words or more both ends are kept and one in so many words.
 STEP = 32
 #: Words fetched on both sides of a token where a group is compared; members that one task compares.
-AROUND, LIMIT = 64, 4096
+AROUND, LIMIT = 64, 1 << 14
+#: Shingles that more members of a group hold are frequent there; shingles that a break in a chain costs the other text.
+RARE, BREAK = 32, 3
+#: In groups of so many, all pairs are compared.
+SMALL = 8
+#: A group's table of members by frequent shingles has at most two to this power cells: in large groups, more members make a shingle frequent.
+CELLS = 27
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -486,14 +494,61 @@ def _runs(w: bytes, at: int) -> Iterator[tuple[int, bytes]]:
             yield x, part
 
 
+def _reaches(hits: np.ndarray, break_cost: np.ndarray | float = 0.0) -> np.ndarray:
+    """Whether in some stretch of a row, as long as a passage, the share of hits (1; 0; beyond the text far below 0) reaches the similarity, if each break costs so much more."""
+    least = MIN_WORDS - SHINGLE + 1
+    over = np.zeros((hits.shape[0], hits.shape[1] + 1))
+    np.cumsum(hits - SIMILARITY - break_cost, axis=1, out=over[:, 1:])
+    return (over[:, least:] >= np.minimum.accumulate(over, axis=1)[:, :-least] - 1e-9).any(axis=1)
+
+
 def _dense(a: np.ndarray, other: np.ndarray) -> bool:
     """Whether in some stretch of shingles, as long as a passage, the share of ``other``'s (sorted) reaches the similarity: in every passage it does."""
-    least = MIN_WORDS - SHINGLE + 1
-    if len(a) < least or len(other) == 0:
+    if len(a) < MIN_WORDS - SHINGLE + 1 or len(other) == 0:
         return False
-    hit = other[np.minimum(np.searchsorted(other, a), len(other) - 1)] == a
-    over = np.r_[0.0, np.cumsum(hit - SIMILARITY)]
-    return bool((over[least:] >= np.minimum.accumulate(over)[:-least] - 1e-9).any())
+    return bool(_reaches((other[np.minimum(np.searchsorted(other, a), len(other) - 1)] == a)[None])[0])
+
+
+def _sharers(s: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each shingle its number, and how many of the n owners (rising) hold it; for each owner, whether it holds one twice."""
+    order = np.argsort(s, kind="stable")
+    v, o = s[order], owner[order]
+    new = np.r_[True, v[1:] != v[:-1]][: len(v)]
+    other = np.r_[True, new[1:] | (o[1:] != o[:-1])][: len(v)]
+    number = np.empty(len(v), np.int32)
+    rank = np.cumsum(new, dtype=np.int32)
+    number[order] = rank
+    return number, np.bincount(rank[other], minlength=1)[number], np.bincount(o[~other], minlength=n) > 0
+
+
+def _open(frequent: np.ndarray, h: np.ndarray, count: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which members can share a passage by their frequent shingles: at all; with one that has no shingle twice, nor has the member.  And in which two words come again within GAP.
+
+    Then a chain has all equal shingles from its first to its last.  Where it breaks, the
+    other text has shingles of its own, BREAK at least unless two words of this one come again within GAP.
+    Fewer equal shingles can make two breaks one, if those between them go: a break after less than four costs nothing.
+    """
+    at, any_way, once = np.cumsum(size) - size, np.zeros(len(size), bool), np.zeros(len(size), bool)
+    width = np.arange(max(int(count.max()), MIN_WORDS))
+    start = np.cumsum(count) - count
+    again = np.zeros(len(h), bool)
+    for k in range(1, min(GAP + 1, len(h) - 1)):
+        same = h[k:] == h[:-k]
+        again[: len(same) - 1] |= same[1:] & same[:-1]
+    seen = np.r_[0, np.cumsum(again)]
+    twice = seen[at + size] > seen[at]
+    for k in range(0, len(size), 2048):
+        part = slice(k, k + 2048)
+        inside = width < count[part, None]
+        hits = np.zeros(inside.shape)
+        hits[inside] = frequent[start[k] : start[k] + count[part].sum()]
+        hit = hits > 0
+        breaks = np.zeros(inside.shape, bool)
+        breaks[:, 4:] = hit[:, :-4] & hit[:, 1:-3] & hit[:, 2:-2] & hit[:, 3:-1] & ~hit[:, 4:]
+        hits[~inside] = -len(width)
+        any_way[part] = _reaches(hits)
+        once[part] = _reaches(hits, breaks * np.where(twice[part], 0.0, SIMILARITY * BREAK)[:, None])
+    return any_way, once, twice
 
 
 def _partners(docs: list[int], at: list[int], unproved: list[int], words: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -503,38 +558,91 @@ def _partners(docs: list[int], at: list[int], unproved: list[int], words: list[b
     least is ``unproved``, and runs in passages that earlier members hold are done:
     what two texts share beyond such a passage, if it is a run, has tokens of its
     own.  Members with the same words around them are compared once.
-    """
-
-    @functools.cache
-    def of_words(i: int) -> tuple[np.ndarray, np.ndarray]:
-        s = shingles(np.frombuffer(words[i], np.uint32).astype(np.uint64))
-        return s, np.sort(s)
 
-    by: tuple[dict, dict] = ({}, {})  # members by their runs: the proved, the others
+    A run can be a line that all members hold, and members can be one text with many edits, so not all
+    pairs that share a run are compared.  Members that have a shingle in common which
+    RARE at most hold are compared by that.  All others have only more frequent ones in common, so a
+    member whose frequent shingles are too thin for a passage (``_open``) shares none with them.
+    """
     same: dict[tuple[int, bytes], int] = {}
+    first = [same.setdefault((at[i], w), i) if len(w) >= 4 * MIN_WORDS else i for i, w in enumerate(words)]
+    alone = [i for i, j in enumerate(first) if i == j]
+    row = dict(zip(alone, range(len(alone)), strict=True))
+    size = np.array([len(words[i]) // 4 for i in alone])
+    count = np.maximum(size - SHINGLE + 1, 0)
+    h = np.frombuffer(b"".join([words[i] for i in alone]), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(alone)), count)
+    start = np.cumsum(count) - count
+    s = shingles(h)[np.arange(len(owner)) - start[owner] + (np.cumsum(size) - size)[owner]]
+    rare, cut, any_way, once, repeats = np.zeros(0, np.int32), [0] * (len(alone) + 1), *([False] * len(alone) for _ in range(3))
+    small = len(alone) <= SMALL
+    if not small:
+        number, many, repeats = _sharers(s, owner, len(alone))
+        few = max(RARE, len(alone) * len(s) >> CELLS) if len(alone) > RARE else 1
+        any_way, once, twice = _open(many > few, h, count, size)
+        rare = np.flatnonzero((many > 1) & (many <= few))
+        cut = np.searchsorted(rare, np.r_[start, len(s)]).tolist()
+        rare = number[rare]
+        # Which frequent shingles each member holds; none is in column 0.
+        of_number = np.zeros(int(number.max(initial=0)) + 1, np.int32)
+        of_number[number[many > few]] = 1
+        of_number = np.cumsum(of_number, dtype=np.int32) * of_number
+        column = of_number[number]
+        holds = np.zeros((len(alone), int(of_number.max()) + 1), bool)
+        holds[owner, column] = True
+        holds[:, 0] = False
+        del h, owner, number, many, of_number
+        any_way, once, repeated, repeats = any_way.tolist(), once.tolist(), repeats, repeats.tolist()
+
+    def close_by(k: int, rows: list[int]) -> list[bool]:
+        """Which of the rows without a rare shingle in common can share a passage with row k."""
+        hits = holds[np.array(rows)[:, None], column[start[k] : start[k] + count[k]]]
+        broken = np.zeros(hits.shape, bool)
+        broken[:, 1:] = hits[:, :-1] & ~hits[:, 1:]
+        either = repeated[rows] | bool(repeats[k] or twice[k])
+        return _reaches(hits, broken * np.where(either, 0.0, SIMILARITY * BREAK)[:, None]).tolist()
+
+    @functools.lru_cache(1 << 12)
+    def of(k: int) -> tuple[np.ndarray, np.ndarray]:
+        x = s[start[k] : start[k] + count[k]]
+        return x, np.sort(x)
+
+    # Earlier members with runs that are not done, the proved and the others: those that ``once`` admits, those that hold a shingle twice, the rest.
+    waiting: tuple = (([], [], []), ([], [], []))
+    by_rare: dict[int, list[int]] = {}
+    open_runs: dict[int, set[int]] = {}
+    run_ids: dict[tuple[int, bytes], int] = {}
     for i, w in enumerate(words):
-        if len(w) >= 4 * MIN_WORDS and (j := same.setdefault((at[i], w), i)) != i:
+        if (j := first[i]) != i:
             if docs[j] != docs[i] and (unproved[i] or unproved[j]):
                 yield i, j
             continue
-        runs = {(at[i] - x, part): x for x, part in _runs(w, at[i])}
-        found: dict[int, set[int]] = {}
-        for run, x in runs.items():
-            for of in by[not unproved[i] :]:
-                for j in of.get(run, ()):
-                    if docs[j] != docs[i]:
-                        found.setdefault(j, set()).add(x)
-        left = set(runs.values())
-        for j in sorted(found):
-            if left.isdisjoint(found[j]) or not _dense(of_words(i)[0], of_words(j)[1]):
-                continue
-            spans = _aligned(of_words(i)[0], of_words(j)[0])
-            if spans:
-                yield i, j
-                left = {x for x in left if not any(i0 <= x and x + RUN <= i1 for i0, i1, *_ in spans)}
-        for run, x in runs.items():
-            if x in left:
-                by[bool(unproved[i])].setdefault(run, []).append(i)
+        k = row[i]
+        left = {run_ids.setdefault((at[i] - x, part), len(run_ids)): x for x, part in _runs(w, at[i])}
+        numbers = set(rare[cut[k] : cut[k + 1]].tolist())
+        near = {j for j in (open_runs if small else itertools.chain.from_iterable(by_rare.get(n, ()) for n in numbers)) if unproved[i] or unproved[j]}
+        kind = 1 if repeats[k] else 0 if once[k] else 2
+        far: list[list[int]] = []
+        if any_way[k]:
+            far = [x for by_kind in waiting[not unproved[i] :] for x in by_kind[(0, 0, 1)[kind] : (2, 3, 2)[kind]]]
+        asked = (j for j, _ in itertools.groupby(heapq.merge(sorted(near), *far)))
+        block = 16
+        while left and (some := list(itertools.islice(asked, block))):
+            block = min(2 * block, 1024)
+            some = [j for j in some if docs[j] != docs[i] and not open_runs[j].isdisjoint(left)]
+            rest = [j for j in some if j not in near]
+            can = dict(zip(rest, close_by(k, [row[j] for j in rest]), strict=True)) if rest else {}
+            for j in some:
+                if open_runs[j].isdisjoint(left) or not (can[j] if j in can else _dense(of(k)[0], of(row[j])[1])):
+                    continue
+                if spans := _aligned(of(k)[0], of(row[j])[0]):
+                    yield i, j
+                    left = {run: x for run, x in left.items() if not any(i0 <= x and x + RUN <= i1 for i0, i1, *_ in spans)}
+        if left:
+            open_runs[i] = set(left)
+            waiting[bool(unproved[i])][kind].append(i)
+            for n in numbers:
+                by_rare.setdefault(n, []).append(i)
 
 
 def _bounded(words: DataFrame, limit: int) -> DataFrame:
